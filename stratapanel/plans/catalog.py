@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from stratapanel.plans import q_core, q_evidence  # noqa: F401
+from stratapanel.plans import q_core, q_evidence, q_events, q_groups  # noqa: F401
 from stratapanel.plans.registry import ORACLES, QUERIES  # noqa: F401
