@@ -38,14 +38,15 @@ def _tie_piece(df: DataFrame, tie: str):
     return F.lit(0)
 
 
-def _cells(df: DataFrame, keys: list[str], value: str, piece=None) -> DataFrame:
+def _cells(df: DataFrame, keys: list[str], value: str, piece=None, weight=None) -> DataFrame:
     """One row per (keys, value[, piece]) with its row count ``_n``, the number of rows
-    ``_before`` it in the group and the group size ``_size``."""
+    ``_before`` it in the group and the group size ``_size`` (or sums of ``weight``)."""
+    measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
     by = [F.col(value).alias("_v")] + ([piece.alias("_piece")] if piece is not None else [])
     order = ["_v"] + (["_piece"] if piece is not None else [])
     cells = (
         df.groupBy(*keys, *by)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(measure.alias("_n"))
         .withColumn("_grade", grade("_v"))
     )
     # A few thousand grades exist per group at most, so this window is small.
@@ -144,3 +145,22 @@ def quantiles_within(
     if count:
         cols.append(F.col("_size").alias(count))
     return found.select(*keys, *cols)
+
+
+def totals_above(
+    df: DataFrame, keys: list[str], value: str, weight: str, *, above: str, equal: str | None = None,
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Per row: the sum of ``weight`` over rows of the group with a larger value, and with the same value."""
+    df = stage(df)
+    if fits_one_task(df, keys, limit):
+        down = W.partitionBy(*keys).orderBy(F.col(value).desc())  # peers included
+        same = F.sum(weight).over(W.partitionBy(*keys, value))
+        out = df.withColumn(above, F.sum(weight).over(down) - same)
+        return out.withColumn(equal, same) if equal else out
+    cells = _cells(df, keys, value, weight=F.col(weight))
+    out = df.withColumn("_v", F.col(value)).join(cells, [*keys, "_v"])
+    out = out.withColumn(above, F.col("_size") - F.col("_before") - F.col("_n"))
+    if equal:
+        out = out.withColumn(equal, F.col("_n"))
+    return out.drop("_v", "_n", "_before", "_size")
