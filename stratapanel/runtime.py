@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df if getattr(df, "_stratapanel_staged", False) else materialize(df)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New folder name under the checkpoint folder, which every executor can reach."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 # A DATE column has at most 3.65 million values, so a table with one row per date and a
 # few scalar columns is bounded by its type, whatever the size of the fact table.
 def date_dimension(df: DataFrame, key: str) -> DataFrame:
