@@ -44,7 +44,7 @@ def incremental_extend(
 
 
 def append_new_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch whose key the target does not have yet."""
+    """Rows of the batch whose key the target does not have yet, one row per key."""
     return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
 
 
