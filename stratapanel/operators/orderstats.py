@@ -73,14 +73,15 @@ def _cells(df: DataFrame, keys: list[str], value: str, piece=None, weight=None)
 
 def ordinal_within(
     df: DataFrame, keys: list[str], value: str, tie: str, *, rank: str = "rank", size: str = "count",
-    limit: int = GROUP_LIMIT,
+    limit: int = GROUP_LIMIT, bounded: bool = False,
 ) -> DataFrame:
     """Unique 1-based ordinal per group, ascending by (value, tie), and the group size.
 
-    ``value`` must be finite and not NULL; (keys, tie) must be unique.
+    ``value`` must be finite and not NULL; (keys, tie) must be unique.  ``bounded`` skips
+    staging and measuring where groups are short by construction.
     """
-    df = stage(df)
-    if fits_one_task(df, keys, limit):
+    df = df if bounded else stage(df)
+    if bounded or fits_one_task(df, keys, limit):
         group = W.partitionBy(*keys)
         return df.withColumn(rank, F.row_number().over(group.orderBy(value, tie)).cast("long")).withColumn(
             size, F.count(F.lit(1)).over(group)

@@ -12,20 +12,21 @@ from stratapanel.operators.orderstats import ordinal_within
 from stratapanel.runtime import stage
 
 
-def rank_descending(df: DataFrame, keys: list[str], value: str, tie: str, *, rank: str) -> DataFrame:
+def rank_descending(df: DataFrame, keys: list[str], value: str, tie: str, *, rank: str, bounded: bool = False) -> DataFrame:
     """Unique rank per group, best first, ties by ascending ``tie``.
 
     Note the difference to a cross-sectional rank: here a smaller tie key wins.
     """
-    out = ordinal_within(df.where(F.col(value).isNotNull()).withColumn("_neg", -F.col(value)), keys, "_neg", tie, rank=rank, size="_n")
+    known = df.where(F.col(value).isNotNull()).withColumn("_neg", -F.col(value))
+    out = ordinal_within(known, keys, "_neg", tie, rank=rank, size="_n", bounded=bounded)
     return out.drop("_neg", "_n")
 
 
 def top_groups(
     groups: DataFrame, k: int, *, session: str = "session", value: str = "group_value", valid: str = "valid_group", code: str = "group_code"
 ) -> DataFrame:
-    """The k strongest valid groups per session with ``group_rank``."""
-    ranked = rank_descending(groups.where(yes(valid)), [session], value, code, rank="group_rank")
+    """The k strongest valid groups per session with ``group_rank``; a session has one row per group."""
+    ranked = rank_descending(groups.where(yes(valid)), [session], value, code, rank="group_rank", bounded=True)
     return ranked.where(F.col("group_rank") <= k)
 
 
@@ -40,8 +41,7 @@ def topk_of_topk_targets(
     entity: str = "entity", code: str = "group_code", liquidity: str = "liquidity", value: str = "group_value", valid: str = "valid_group",
 ) -> DataFrame:
     """Top members by liquidity inside the top groups by return, equally weighted."""
-    best = stage(top_groups(groups, k_groups, session=session, value=value, valid=valid, code=code).select(
-        session, code, "group_rank", value))
+    best = top_groups(groups, k_groups, session=session, value=value, valid=valid, code=code).select(session, code, "group_rank", value)
     inside = stage(members.join(best, [session, code]))
     ranked = rank_descending(inside, [session, code], liquidity, entity, rank="liquidity_rank")
     counts = inside.groupBy(session, code).agg(F.count(F.lit(1)).alias("eligible_members"))
@@ -63,8 +63,7 @@ def event_safe_targets(
     horizon = schedule.where(F.col("execution_session").isNotNull()).select(
         F.col("signal_session").alias(session), "execution_session",
         F.coalesce(F.lead("execution_session").over(line), F.lit(end).cast("date")).alias("_next"))
-    best = stage(top_groups(groups, k_groups, session=session, value=value, valid=valid, code=code).select(
-        session, code, "group_rank", value))
+    best = top_groups(groups, k_groups, session=session, value=value, valid=valid, code=code).select(session, code, "group_rank", value)
     inside = members.join(best, [session, code]).join(horizon, session)
     ranked = stage(rank_descending(inside, [session, code], liquidity, entity, rank="liquidity_rank"))
     marked = interval_event_crossing(ranked, events, entity=entity, start=session, end="_next")

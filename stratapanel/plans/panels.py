@@ -11,6 +11,7 @@ from stratapanel.operators.evidence import daily_statistics, signals_long, with_
 from stratapanel.operators.intervals import interval_panel_pit
 from stratapanel.operators.ranks import cross_sectional_rank
 from stratapanel.plans import views
+from stratapanel.runtime import stage
 
 FORMATIONS = (5, 10, 20)
 FUTURES = (1, 3, 5)
@@ -23,6 +24,17 @@ def positioned(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFra
     return session_position(panel)
 
 
+class Week:
+    """Weekly panel and its calendar, staged once for a query that reads them many times."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.panel = stage(positioned(spark, sf_dir, "week"))
+        self.calendar = stage(self.panel.select("session", "position").distinct())
+
+    def prices(self) -> DataFrame:
+        return self.panel.select("entity", "position", "session", F.col("close").alias("open"), "close")
+
+
 def calendar_of(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """Calendar straight from the ship dates: one scanned column."""
     dates = views.table(spark, sf_dir, "lineitem").select(

@@ -107,9 +107,11 @@ surprise AS (SELECT *, CASE WHEN valid_volume_baseline_{h} THEN volume / volume_
   FROM baseline)"""
 
 
-def crossed_panel(spark, d, horizons, unit="month"):
+def crossed_panel(spark, d, horizons, unit="month", week=None):
     ledger = views.event_ledger(spark, d).select("entity", "session")
-    return iv.with_crossings(pp.positioned(spark, d, unit), ledger, horizons, calendar=pp.calendar_of(spark, d, unit))
+    panel = week.panel if week else pp.positioned(spark, d, unit)
+    calendar = week.calendar if week else pp.calendar_of(spark, d, unit)
+    return iv.with_crossings(panel, ledger, horizons, calendar=calendar)
 
 
 def baseline_panel(spark, d, h=20):
@@ -172,8 +174,8 @@ one AS (SELECT *, coalesce(pc IS NOT NULL AND pq AND quality AND position - ppos
 COVERAGE = ("1995-06-01", "2001-06-30")
 
 
-def one_session(spark, d, unit="week"):
-    return ro.one_session_return(crossed_panel(spark, d, (1,), unit), crossing="crossing_1", coverage=COVERAGE)
+def one_session(spark, d, unit="week", week=None):
+    return ro.one_session_return(crossed_panel(spark, d, (1,), unit, week), crossing="crossing_1", coverage=COVERAGE)
 
 
 @query("one_session_return", final(

@@ -41,22 +41,23 @@ mem AS (SELECT p.session, p.position, p.entity, r.group_code, group_rank, group_
 tgt AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY session) AS target_weight FROM mem WHERE liquidity_rank <= 3)"""
 
 
-def group_values(spark, d):
-    ret = one_session(spark, d).join(views.groups_region(spark, d), "entity")
+def group_values(spark, d, week=None):
+    ret = one_session(spark, d, week=week or pp.Week(spark, d)).join(views.groups_region(spark, d), "entity")
     day = g.sector_daily_return(ret, minimum=3, keys=("session", "position", "group_code"))
     return ro.compound_return(day, (2, 4), (), key="group_code", value="group_return")
 
 
-def groups_and_members(spark, d):
-    groups = stage(group_values(spark, d))
+def groups_and_members(spark, d, week=None):
+    week = week or pp.Week(spark, d)
+    groups = stage(group_values(spark, d, week))
     named = groups.select("session", "position", "group_code", F.col("ret_4").alias("group_value"), F.col("valid_ret_4").alias("valid_group"))
-    members = pp.positioned(spark, d, "week").where("quality").join(views.groups_region(spark, d), "entity").select(
+    members = week.panel.where("quality").join(views.groups_region(spark, d), "entity").select(
         "session", "position", "entity", "group_code", F.col("turnover").alias("liquidity"))
     return named, members
 
 
-def targets(spark, d):
-    groups, members = groups_and_members(spark, d)
+def targets(spark, d, week=None):
+    groups, members = groups_and_members(spark, d, week)
     return sg.topk_of_topk_targets(groups, members)
 
 
@@ -75,10 +76,11 @@ sm AS (SELECT mem.*, execution_session, EXISTS (SELECT 1 FROM sev WHERE sev.enti
 sr AS (SELECT *, row_number() OVER (PARTITION BY session, group_code ORDER BY liquidity_rank) AS k FROM sm WHERE NOT bad)
 SELECT session, execution_session, entity, group_code, group_rank, liquidity_rank, round(1.0 / count(*) OVER (PARTITION BY session), 6) AS target_weight FROM sr WHERE k <= 3""")
 def _(spark, d):
-    groups, members = groups_and_members(spark, d)
+    week = pp.Week(spark, d)
+    groups, members = groups_and_members(spark, d, week)
     events = views.table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.08").select(
         F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("session"))
-    schedule = cal.weekly_schedule(pp.calendar_of(spark, d, "week"))
+    schedule = cal.weekly_schedule(week.calendar)
     out = sg.event_safe_targets(groups, members, events, schedule, "2001-12-31")
     return out.select("session", "execution_session", "entity", "group_code", "group_rank", "liquidity_rank", "target_weight")
 
@@ -133,11 +135,11 @@ mi AS (SELECT gh.strategy, CAST(r.group_code AS BIGINT) AS group_code, p.positio
 {hyst_sql('mi', 'strategy, group_code', 'mh')}"""
 
 
-def chosen_groups(spark, d):
-    gv = stage(group_values(spark, d))
+def chosen_groups(spark, d, week):
+    gv = stage(group_values(spark, d, week))
     parts = []
     for h in (4, 2):
-        r = sg.rank_descending(gv.where(F.col(f"valid_ret_{h}")), ["position"], f"ret_{h}", "group_code", rank="rank")
+        r = sg.rank_descending(gv.where(F.col(f"valid_ret_{h}")), ["position"], f"ret_{h}", "group_code", rank="rank", bounded=True)
         parts.append(r.select(F.lit(f"ret{h}").alias("strategy"), F.col("position").alias("signal_index"), F.col("group_code").alias("item"), "rank"))
     out = sg.hysteresis_select(parts[0].unionByName(parts[1]), keys=["strategy"])
     return stage(out.withColumnRenamed("item", "group_code"))
@@ -145,9 +147,10 @@ def chosen_groups(spark, d):
 
 @query("hysteresis_members", f"WITH RECURSIVE {GROUP_HYST} SELECT strategy, group_code, t AS signal_index, i AS entity, r AS liquidity_rank, selection_status FROM mh")
 def _(spark, d):
-    members = pp.positioned(spark, d, "week").where("quality").join(views.groups_region(spark, d), "entity").select(
+    week = pp.Week(spark, d)
+    members = week.panel.where("quality").join(views.groups_region(spark, d), "entity").select(
         F.col("position").cast("long").alias("signal_index"), "entity", "group_code", F.col("turnover").alias("liquidity"))
-    return sg.hysteresis_members(chosen_groups(spark, d), members, keys=["strategy"])
+    return sg.hysteresis_members(chosen_groups(spark, d, week), members, keys=["strategy"])
 
 
 @query("target_state_table", f"""WITH {TARGETS}, nw AS (SELECT 'v1' AS strategy, position AS t, entity FROM tgt), sigs AS (SELECT DISTINCT position AS t FROM tgt)
@@ -181,12 +184,13 @@ SELECT entity, session, purpose, CASE WHEN n IS NOT NULL THEN 'USED' WHEN p IS N
   CASE WHEN n IS NOT NULL THEN 'normalized' WHEN p IS NOT NULL THEN 'raw' ELSE 'none' END AS source_used,
   round(CASE WHEN n IS NOT NULL THEN n WHEN purpose = 'entry' AND s <> 'EQ' THEN NULL ELSE p END, 4) + 0.0 AS resolved_price FROM j""")
 def _(spark, d):
-    t = targets(spark, d)
-    nxt = pp.calendar_of(spark, d, "week").select(F.col("session").alias("execution"), (F.col("position") - 1).alias("position"))
+    week = pp.Week(spark, d)
+    t = targets(spark, d, week)
+    nxt = week.calendar.select(F.col("session").alias("execution"), (F.col("position") - 1).alias("position"))
     req = t.join(nxt, "position").select(
         "entity", F.col("execution").alias("session"), F.when(F.col("group_rank") == 1, "entry").otherwise("exit").alias("purpose"),
         (F.col("liquidity_rank") == 1).alias("held"))
-    normal = pp.positioned(spark, d, "week").where("volume >= 60").select("entity", "session", F.col("close").alias("open"))
+    normal = week.panel.where("volume >= 60").select("entity", "session", F.col("close").alias("open"))
     raw = views.table(spark, d, "lineitem").where("l_quantity >= 10").select(
         F.col("l_suppkey").alias("entity"), F.date_trunc("week", "l_shipdate").cast("date").alias("session"),
         F.when(F.col("l_linestatus") == "F", "EQ").otherwise("BE").alias("series"), F.col("l_extendedprice").alias("open"))
@@ -207,28 +211,25 @@ rets AS (SELECT gs.*, turnover, cost_bps, gross_return - turnover * cost_bps / 1
 EQUITY = f"{RETURNS}, eq AS (SELECT portfolio_id, session, signal_index, net_return, product(1 + net_return) OVER (PARTITION BY portfolio_id ORDER BY session) AS equity FROM rets)"
 
 
-def week_prices(spark, d):
-    return pp.positioned(spark, d, "week").select("entity", "position", "session", F.col("close").alias("open"), "close")
-
-
-def tradable_targets(spark, d):
+def tradable_targets(spark, d, week):
     """Targets whose next two sessions exist; two percent of the capital is invested, the rest is cash."""
-    last = pp.calendar_of(spark, d, "week").agg((F.max("position") - 2).alias("_last"))
-    t = targets(spark, d).select(
+    last = week.calendar.agg((F.max("position") - 2).alias("_last"))
+    t = targets(spark, d, week).select(
         F.col("position").alias("signal_index"), "entity", "group_code", (F.col("target_weight") * 0.02).alias("target_weight"),
         (F.col("position") + 1).alias("execution_position"), (F.col("position") + 2).alias("next_position"))
     return stage(t.join(F.broadcast(last), F.col("signal_index") <= F.col("_last")).drop("_last"))
 
 
-def returns(spark, d, t=None):
-    t = t if t is not None else tradable_targets(spark, d)
-    out = po.target_weight_returns(t, week_prices(spark, d), list(COSTS))
-    ends = pp.calendar_of(spark, d, "week").select("session", (F.col("position") - 2).alias("signal_index"))
+def returns(spark, d, t=None, week=None):
+    week = week or pp.Week(spark, d)
+    t = t if t is not None else tradable_targets(spark, d, week)
+    out = po.target_weight_returns(t, week.prices(), list(COSTS))
+    ends = week.calendar.select("session", (F.col("position") - 2).alias("signal_index"))
     return out.join(ends, "signal_index").withColumn("portfolio_id", F.concat(F.lit("bps"), F.col("cost_bps").cast("int").cast("string")))
 
 
-def equity(spark, d, t=None):
-    return stage(po.equity_from_returns(returns(spark, d, t), 1.0).select("portfolio_id", "session", "signal_index", "net_return", "equity"))
+def equity(spark, d, t=None, week=None):
+    return stage(po.equity_from_returns(returns(spark, d, t, week), 1.0).select("portfolio_id", "session", "signal_index", "net_return", "equity"))
 
 
 @query("target_weight_returns", final(
@@ -301,7 +302,8 @@ def _(spark, d):
 SELECT portfolio_id, start_session, end_session, round(l.close / f.close - 1, 6) + 0.0 AS benchmark_return FROM sp LEFT JOIN panel f ON f.session = start_session AND f.entity = 7
   LEFT JOIN panel l ON l.session = end_session AND l.entity = 7""")
 def _(spark, d):
-    return po.benchmark_return(equity(spark, d), week_prices(spark, d), 7)
+    week = pp.Week(spark, d)
+    return po.benchmark_return(equity(spark, d, week=week), week.prices(), 7)
 
 
 # Positions hold weight / price shares of the priced targets; fills are share changes.
@@ -329,10 +331,11 @@ class Book:
     """Positions, trades, anomalies and rebalances derived from the targets, staged once."""
 
     def __init__(self, spark, d):
-        t = tradable_targets(spark, d)
-        self.prices = stage(week_prices(spark, d))
-        self.equity = equity(spark, d, t)
-        line = pp.calendar_of(spark, d, "week")
+        week = pp.Week(spark, d)
+        t = tradable_targets(spark, d, week)
+        self.prices = week.prices()
+        self.equity = equity(spark, d, t, week)
+        line = week.calendar
         portfolios = [(f"bps{int(c)}", c) for c in COSTS]
         many = stage(explode_literals(t, portfolios, [("portfolio_id", "string"), ("cost_bps", "double")]))
         at = self.prices.select("entity", F.col("position").alias("execution_position"), "close")
@@ -483,8 +486,9 @@ m0 AS (SELECT hold.*, p.turnover AS own, fb.c AS alt FROM hold LEFT JOIN (SELECT
 m AS (SELECT *, last_value(coalesce(own, alt) IGNORE NULLS) OVER (PARTITION BY entity ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM m0)
 SELECT entity, session, round(mark, 4) + 0.0 AS mark, CASE WHEN own IS NOT NULL THEN 'OWN_CLOSE' WHEN alt IS NOT NULL THEN 'FALLBACK_CLOSE' WHEN mark IS NOT NULL THEN 'CARRIED' END AS mark_source FROM m""")
 def _(spark, d):
-    p = pp.positioned(spark, d, "week")
-    line = pp.calendar_of(spark, d, "week").agg(F.array_sort(F.collect_list("session")).alias("_all"))  # one date per session
+    week = pp.Week(spark, d)
+    p = week.panel
+    line = week.calendar.agg(F.array_sort(F.collect_list("session")).alias("_all"))  # one date per session
     held = p.select("entity").distinct().join(F.broadcast(line)).select(F.lit("all").alias("portfolio_id"), "entity", F.explode("_all").alias("session"))
     fb = views.table(spark, d, "lineitem").where("l_quantity < 20").select(
         F.col("l_suppkey").alias("entity"), F.date_trunc("week", "l_shipdate").cast("date").alias("session"), F.col("l_extendedprice").alias("close"))

@@ -1,7 +1,7 @@
 """Views over the star-schema test tables that give the operators a panel to work on.
 
 Entity = supplier, session = month or ISO week of shipping, price = revenue per unit.
-Sums run in decimals, so a price does not depend on the order of partial aggregates.
+Sums run in whole cents, so a price does not depend on the order of partial aggregates.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def _panel(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     return (
         lines.groupBy(F.col("l_suppkey").alias("entity"), session.alias("session"))
         .agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double").alias("turnover"),
-            F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("volume"),
+            (F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("turnover"),
+            (F.sum(F.rint(F.col("l_quantity") * 100).cast("long")) / 100.0).alias("volume"),
         )
         .withColumn("close", F.col("turnover") / F.col("volume"))
         .withColumn("quality", F.col("volume") >= 2)

@@ -18,6 +18,8 @@ def local_session(app: str = "stratapanel", cpus: str = "8", partitions: int | N
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Test panels are a few megabytes: keep them on all cores instead of one.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -41,13 +43,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, for a frame that several branches read.
+    """Write a frame that several branches read to the shared folder and read it back.
 
-    The data goes to the shared folder named by ``spark.checkpoint.dir``, so a lost
-    executor re-reads it instead of recomputing the branches differently.
+    The folder is the one named by ``spark.checkpoint.dir``.  A lost executor re-reads the
+    table instead of recomputing the branches, and readers get column pruning and real
+    sizes, so small tables are broadcast by the planner's own rule.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stratapanel_staged = True
     return out
 
