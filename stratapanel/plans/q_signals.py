@@ -213,11 +213,11 @@ EQUITY = f"{RETURNS}, eq AS (SELECT portfolio_id, session, signal_index, net_ret
 
 def tradable_targets(spark, d, week):
     """Targets whose next two sessions exist; two percent of the capital is invested, the rest is cash."""
-    last = week.calendar.agg((F.max("position") - 2).alias("_last"))
+    follows = week.calendar.select((F.col("position") - 2).alias("signal_index"))
     t = targets(spark, d, week).select(
         F.col("position").alias("signal_index"), "entity", "group_code", (F.col("target_weight") * 0.02).alias("target_weight"),
         (F.col("position") + 1).alias("execution_position"), (F.col("position") + 2).alias("next_position"))
-    return stage(t.join(F.broadcast(last), F.col("signal_index") <= F.col("_last")).drop("_last"))
+    return stage(t.join(follows, "signal_index", "left_semi"))
 
 
 def returns(spark, d, t=None, week=None):
@@ -481,15 +481,17 @@ def _(spark, d):
 
 
 @query("nullable_carry_mark", f"""WITH {TARGETS}, fb AS (SELECT l_suppkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS session, min(l_extendedprice) AS c FROM lineitem WHERE l_quantity < 20 GROUP BY 1, 2),
-hold AS (SELECT 'all' AS portfolio_id, e.entity, c.session FROM (SELECT DISTINCT entity FROM panel) e CROSS JOIN calendar c),
+hold AS (SELECT 'all' AS portfolio_id, e.entity, c.session FROM (SELECT entity, min(position) AS a, max(position) AS b FROM panel GROUP BY 1) e JOIN calendar c ON c.position BETWEEN a AND b),
 m0 AS (SELECT hold.*, p.turnover AS own, fb.c AS alt FROM hold LEFT JOIN (SELECT * FROM panel WHERE volume >= 40) p USING (entity, session) LEFT JOIN fb USING (entity, session)),
 m AS (SELECT *, last_value(coalesce(own, alt) IGNORE NULLS) OVER (PARTITION BY entity ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM m0)
 SELECT entity, session, round(mark, 4) + 0.0 AS mark, CASE WHEN own IS NOT NULL THEN 'OWN_CLOSE' WHEN alt IS NOT NULL THEN 'FALLBACK_CLOSE' WHEN mark IS NOT NULL THEN 'CARRIED' END AS mark_source FROM m""")
 def _(spark, d):
     week = pp.Week(spark, d)
     p = week.panel
-    line = week.calendar.agg(F.array_sort(F.collect_list("session")).alias("_all"))  # one date per session
-    held = p.select("entity").distinct().join(F.broadcast(line)).select(F.lit("all").alias("portfolio_id"), "entity", F.explode("_all").alias("session"))
+    # Held from the first to the last session of a supplier, gaps included.
+    span = p.groupBy("entity").agg(F.min("position").alias("_a"), F.max("position").alias("_b"))
+    held = span.select(F.lit("all").alias("portfolio_id"), "entity", F.explode(F.sequence("_a", "_b")).alias("position"))
+    held = held.join(week.calendar, "position").drop("position")
     fb = views.table(spark, d, "lineitem").where("l_quantity < 20").select(
         F.col("l_suppkey").alias("entity"), F.date_trunc("week", "l_shipdate").cast("date").alias("session"), F.col("l_extendedprice").alias("close"))
     own = p.where("volume >= 40").select("entity", "session", F.col("turnover").alias("close"))
