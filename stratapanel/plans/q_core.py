@@ -308,7 +308,7 @@ def _(spark, d):
     return out.select("entity", "session", *[c for c in out.columns if "return_" in c or "future_" in c])
 
 
-PIT = s.pit(pp.FORMATIONS, pp.FUTURES)
+PIT = s.pit_windows(pp.FORMATIONS, pp.FUTURES)
 RANKED = f"{M}, {PIT}, {s.ranked(pp.FORMATIONS, pp.FUTURES)}"
 
 

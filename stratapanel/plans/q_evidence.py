@@ -11,7 +11,7 @@ from stratapanel.operators import evidence as ev
 from stratapanel.operators import ranks as rk
 from stratapanel.plans import panels as pp
 from stratapanel.plans import sql as s
-from stratapanel.plans.q_core import DAILY, M, RANKED, baseline_panel
+from stratapanel.plans.q_core import DAILY, M, RANKED
 from stratapanel.plans.registry import final, query
 
 PAIR = "formation, future"

@@ -13,12 +13,12 @@ from stratapanel.operators.ranks import cross_sectional_rank
 from stratapanel.plans import panels as pp
 from stratapanel.plans import sql as s
 from stratapanel.plans import views
-from stratapanel.plans.q_core import DAILY, M, PIT, RANKED
+from stratapanel.plans.q_core import DAILY, M
 from stratapanel.plans.q_evidence import COUNTS, PAIR, summary_sql
 from stratapanel.plans.registry import final, query
 from stratapanel.runtime import stage
 
-SMALL = f"{M}, {s.pit((5,), (1, 3))}, {s.ranked((5,), (1, 3))}"
+SMALL = f"{M}, {s.pit_windows((5,), (1, 3))}, {s.ranked((5,), (1, 3))}"
 KEY = f"{PAIR}, session"
 
 
@@ -128,7 +128,7 @@ def interaction(spark, d, futures=pp.FUTURES):
     return il.residualize_same_date(both, "y", "p5", "p20")
 
 
-@query("residualize_same_date", final(f"{M}, {s.pit((5, 20), pp.FUTURES)}, {s.ranked((5, 20), pp.FUTURES)}, {RESID}",
+@query("residualize_same_date", final(f"{M}, {s.pit_windows((5, 20), pp.FUTURES)}, {s.ranked((5, 20), pp.FUTURES)}, {RESID}",
                                       "entity, session", "resid", "y residual"))
 def _(spark, d):
     return interaction(spark, d).select("entity", "session", "y", "residual")
@@ -141,7 +141,7 @@ INC = f"""ro AS (SELECT r.session, r.position, round(residual, 9) AS residual, f
 
 
 @query("incremental_ic", final(
-    f"""{M}, {s.pit((5, 20), pp.FUTURES)}, {s.ranked((5, 20), pp.FUTURES)}, {RESID}, {INC},
+    f"""{M}, {s.pit_windows((5, 20), pp.FUTURES)}, {s.ranked((5, 20), pp.FUTURES)}, {RESID}, {INC},
     yr AS (SELECT future, year(session) AS y, avg(ic) AS m FROM inc GROUP BY 1, 2),
     yf AS (SELECT future, count(CASE WHEN m > 0 THEN 1 END) / CAST(count(*) AS DOUBLE) AS positive_year_fraction FROM yr GROUP BY 1),
     ii AS (SELECT future, avg(ic) AS mean_ic, median(ic) AS median_ic, 100.0 * count(CASE WHEN ic > 0 THEN 1 END) / count(*) AS ic_positive_pct,

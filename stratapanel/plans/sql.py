@@ -61,6 +61,23 @@ def pit(formations, futures, source: str = "panel", events: bool = False, covera
             + ",\n  ".join(cols) + f"\nFROM {source} p\n" + "\n".join(joins) + ")")
 
 
+def pit_windows(formations, futures) -> str:
+    """The same intervals without events and coverage, from RANGE frames (quick form for derived queries)."""
+    cols, keep = [], []
+    for h in formations:
+        cols += [f"count(*) OVER (PARTITION BY entity ORDER BY position RANGE BETWEEN {h} PRECEDING AND CURRENT ROW) AS n{h}",
+                 f"lag(close, {h}) OVER (PARTITION BY entity ORDER BY position) AS c{h}"]
+        ok = f"(quality AND n{h} = {h + 1} AND c{h} IS NOT NULL)"
+        keep += [f"{ok} AS valid_factor_primary_{h}", f"CASE WHEN {ok} THEN close / c{h} - 1 END AS ret_{h}"]
+    for h in futures:
+        cols += [f"count(*) OVER (PARTITION BY entity ORDER BY position RANGE BETWEEN CURRENT ROW AND {h} FOLLOWING) AS m{h}",
+                 f"lead(close, {h}) OVER (PARTITION BY entity ORDER BY position) AS d{h}"]
+        ok = f"(quality AND m{h} = {h + 1} AND d{h} IS NOT NULL)"
+        keep += [f"{ok} AS valid_future_primary_{h}", f"CASE WHEN {ok} THEN d{h} / close - 1 END AS future_ret_{h}"]
+    return (f"pit0 AS (SELECT *, {', '.join(cols)} FROM panel),\n"
+            f"pit AS (SELECT entity, session, position, close, volume, turnover, quality, {', '.join(keep)} FROM pit0)")
+
+
 def ranked(formations, futures, single: float = 0.5) -> str:
     """signals -> ranked -> paired (long form of factor ranks with outcomes)."""
     sig = " UNION ALL ".join(
