@@ -25,14 +25,17 @@ def _drain(stream, sink: str, check: str, **options):
 SELECT entity, bar_start, bar_start + INTERVAL 1 HOUR AS bar_end, bar_start + INTERVAL 1 HOUR AS bar_available_at, open, high, low, close, volume FROM b
 WHERE bar_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def _(spark, d):
+    # The source has no zone: its clock is read as UTC, where windows align to the hour.
     # Every file of the source is one batch; bars still open at the last watermark stay unreported.
     path = scratch_path(spark, "ticks")
     views.table(spark, d, "events").select(
-        F.col("event_type").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")).write.parquet(path)
+        F.col("event_type").alias("entity"), F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"), F.col("value").alias("price")).write.parquet(path)
     ticks = spark.readStream.schema("entity string, ts timestamp, price double").parquet(path)
     sink = scratch_path(spark, "bars-out")
     _drain(st.stream_bars(ticks, length="1 hour", delay="2 hours"), sink, scratch_path(spark, "bars-check"))
-    return ntz(spark.read.parquet(sink))
+    out = spark.read.parquet(sink)
+    clock = [F.to_utc_timestamp(c, F.current_timezone()).alias(c) for c in ("bar_start", "bar_end", "bar_available_at")]
+    return ntz(out.select("entity", *clock, "open", "high", "low", "close", "volume"))
 
 
 @query("stream_increment", final(M, "entity, session", "panel", "turnover"))

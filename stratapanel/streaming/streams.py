@@ -14,13 +14,17 @@ from stratapanel.operators.quality import append_new_keys
 
 
 def stream_bars(
-    ticks: DataFrame, *, length: str, delay: str, entity: str = "entity", ts: str = "ts", price: str = "price", volume: str | None = None
+    ticks: DataFrame, *, length: str, delay: str, entity: str = "entity", ts: str = "ts", price: str = "price", volume: str | None = None,
+    start: str = "0 seconds",
 ) -> DataFrame:
-    """Tumbling OHLCV bars; a bar is final once the watermark passes its end, later ticks are dropped."""
+    """Tumbling OHLCV bars; a bar is final once the watermark passes its end, later ticks are dropped.
+
+    Windows align to UTC; ``start`` shifts them.
+    """
     size = F.count(F.lit(1)) if volume is None else F.sum(volume)
     return (
         ticks.withWatermark(ts, delay)
-        .groupBy(F.window(ts, length).alias("w"), entity)
+        .groupBy(F.window(ts, length, startTime=start).alias("w"), entity)
         .agg(
             F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"),
             size.alias("volume"), F.max(ts).alias("last_tick"),
