@@ -51,10 +51,13 @@ def with_crossings(
     calendar = calendar if calendar is not None else session_calendar(panel, session=session)
     stream = _stream(panel, event_positions(events, calendar, entity=entity, session=session), entity, position)
     w = W.partitionBy(entity).orderBy(position)
-    cols = [(F.sum("_event").over(w.rangeBetween(-(h - 1), 0)) > 0).alias(f"{prefix}_{h}") for h in horizons]
-    cols += [
-        yes(F.sum("_event").over(w.rangeBetween(1, h)) > 0).alias(f"{prefix}_ahead_{h}") for h in forward
-    ]
+
+    # Running counts only: a growing frame costs one step per row, whatever the horizon.
+    def upto(k):
+        return F.coalesce(F.sum("_event").over(w.rangeBetween(W.unboundedPreceding, k)), F.lit(0))
+
+    cols = [(upto(0) > upto(-h)).alias(f"{prefix}_{h}") for h in horizons]
+    cols += [(upto(h) > upto(0)).alias(f"{prefix}_ahead_{h}") for h in forward]
     return stream.select("*", *cols).where(F.col("_row") == 1).drop("_row", "_event")
 
 
@@ -172,24 +175,20 @@ def interval_panel_pit(
     stream = _stream(panel, events, entity, position)
     w = W.partitionBy(entity).orderBy(position)
     start, end = (F.lit(x).cast("date") for x in coverage) if coverage else (None, None)
-    row = F.col("_row") == 1
+    # Events up to each row are counted once; event rows then leave the stream, and the row
+    # h back lies h sessions back exactly when no session between is missing.  Both windows
+    # share the exchange and the order.
+    counted = stream.withColumn("_e", F.sum("_event").over(w)).where(F.col("_row") == 1)
+    steps = (*formations, *[-f for f in futures])
     frames = []
-    for h in (*formations, *[-f for f in futures]):
-        a, b = (-h, 0) if h > 0 else (0, -h)
-        lo, hi = (-(h - 1), 0) if h > 0 else (1, -h)
-        at = w.rangeBetween(-h, -h)
-        frames += [
-            F.max(F.when(row, F.col(close))).over(at).alias(f"_c_{h}"),
-            F.max(F.when(row, F.col(session))).over(at).alias(f"_d_{h}"),
-            F.sum("_row").over(w.rangeBetween(a, b)).alias(f"_n_{h}"),
-            F.coalesce(F.sum("_event").over(w.rangeBetween(lo, hi)), F.lit(0)).alias(f"_e_{h}"),
-        ]
-    wide = stream.select("*", *frames).where(row)
+    for h in steps:
+        frames += [F.lag(c, h).over(w).alias(f"{n}_{h}") for n, c in (("_c", close), ("_d", session), ("_p", position), ("_e", "_e"))]
+    wide = counted.select("*", *frames)
     out = []
-    for h in (*formations, *[-f for f in futures]):
+    for h in steps:
         k = abs(h)
         base = yes(
-            F.col(quality) & F.col(f"_c_{h}").isNotNull() & (F.col(f"_n_{h}") == k + 1) & (F.col(f"_e_{h}") == 0)
+            F.col(quality) & F.col(f"_c_{h}").isNotNull() & (F.col(position) - F.col(f"_p_{h}") == h) & (F.col("_e") == F.col(f"_e_{h}"))
         )
         here, there = F.col(session), F.col(f"_d_{h}")
         first, last = (there, here) if h > 0 else (here, there)
