@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratapanel.llm import lattice_lm
 from stratapanel.llm.packing import Packing, pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,12 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bpe_path() -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def remainder(modulus: int):
+    """crc32 of the document id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), Packing(path=bpe_path()))
+    return pack(table(spark, sf_dir, "documents"), Packing(path=vocabulary_path("byte_bpe_50k.json")))
+
+
+@query("op9_lattice_lm")
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = lattice_lm.LatticeParams(path=vocabulary_path("piece_bpe_32k.model"))
+    out = lattice_lm.score(table(spark, sf_dir, "documents"), remainder(7) != 2, params)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
