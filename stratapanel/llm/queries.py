@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.llm import lattice_lm
+from stratapanel.llm.decontaminate import leaks
 from stratapanel.llm.packing import Packing, pack
+from stratapanel.llm.winnowing import edited_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,14 @@ def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = lattice_lm.LatticeParams(path=vocabulary_path("piece_bpe_32k.model"))
     out = lattice_lm.score(table(spark, sf_dir, "documents"), remainder(7) != 2, params)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "start", "n_tokens", "n_equal")
+
+
+@query("op4_winnowing")
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
