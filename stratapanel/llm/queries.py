@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratapanel.llm import lattice_lm
 from stratapanel.llm.decontaminate import leaks
 from stratapanel.llm.packing import Packing, pack
+from stratapanel.llm.simhash import near_duplicates
 from stratapanel.llm.winnowing import edited_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_winnowing")
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return out.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
