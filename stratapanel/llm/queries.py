@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.llm import lattice_lm
 from stratapanel.llm.decontaminate import leaks
+from stratapanel.llm.language_id import identify
 from stratapanel.llm.packing import Packing, pack
 from stratapanel.llm.simhash import near_duplicates
 from stratapanel.llm.winnowing import edited_neighbours
@@ -70,3 +71,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared language of a document is its ``lang``, its host its ``source``; it has no address."""
+    return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
