@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import lattice_lm
+from stratapanel.llm import lattice_lm, toxicity
 from stratapanel.llm.decontaminate import leaks
 from stratapanel.llm.language_id import identify
 from stratapanel.llm.packing import Packing, pack
@@ -77,3 +77,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared language of a document is its ``lang``, its host its ``source``; it has no address."""
     return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return out.select("doc_id", (F.coalesce(remainder(4), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
