@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapanel.llm.arrays import U64, PrefixHash, lower_table, mix, pieces, words_of
+from stratapanel.llm.bits import bit_table, marked
 from stratapanel.runtime import materialize
 
 #: Tokens are runs of letters, digits and non-ASCII bytes.
@@ -91,18 +92,6 @@ def _benchmark(items: DataFrame, id_column: str, text_column: str, params: SeedP
     return items.select(id_column, text_column).mapInArrow(run, f"item {kind}, item_tokens array<bigint>, seeds array<bigint>, at array<bigint>")
 
 
-def _bit_table(seeds: DataFrame, most_bits: int) -> tuple[int, np.ndarray]:
-    """Marks the upper bits of all benchmark seeds; at most 2**most_bits bits whatever the benchmark's size."""
-    n = seeds.count()
-    bits = min(most_bits, max(16, (16 * n).bit_length()))
-    slots = seeds.select(F.shiftrightunsigned(F.col("seed"), 64 - bits).alias("slot"))
-    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("v"))
-    table = np.zeros(1 << (bits - 6), np.int64)
-    for word, v in words.collect():
-        table[word] = v
-    return bits, table.view(U64)
-
-
 def _training_hits(docs: DataFrame, id_column: str, text_column: str, params: SeedParams, short: list[int], bits: int, table: np.ndarray) -> DataFrame:
     """Runs of positions whose seeds may be in the benchmark, each with its tokens and seeds."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -111,15 +100,14 @@ def _training_hits(docs: DataFrame, id_column: str, text_column: str, params: Se
     schema = f"row bigint, doc {kind}, run int, first bigint, tokens array<bigint>, seeds array<bigint>, at array<bigint>"
 
     def run(batches):
-        marked = shared.value
+        filled = shared.value
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(2)):
                 tokens, owner = tokens_of(data, offsets)
                 at, seed = [], []
                 for m in masks:
                     p, h = seeds_of(tokens, owner, m)
-                    slot = h >> U64(64 - bits)
-                    on = (marked[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+                    on = marked(filled, bits, h)
                     at.append(p[on])
                     seed.append(h[on])
                 at, seed = np.concatenate(at), np.concatenate(seed)
@@ -175,7 +163,7 @@ def leaks(
     seeds = bench.select("bench", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("at").alias("bench_at"))).alias("s")).select("bench", "s.seed", "s.bench_at")
     shortest = min(map(len, params.masks))
     short = [r[0] for r in bench.where(F.size("item_tokens") < shortest).select(F.size("item_tokens")).distinct().collect()]  # lengths below a mask's
-    bits, table = _bit_table(seeds, params.filter_bits)
+    bits, table = bit_table(seeds, F.col("seed"), params.filter_bits)
     runs = materialize(_training_hits(docs, id_column, text_column, params, sorted(short), bits, table))
     hits = runs.select("row", "run", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("at").alias("doc_at"))).alias("s")).select("row", "run", "s.seed", "s.doc_at")
     lines = hits.join(seeds, "seed").select("row", "run", "bench", (F.col("doc_at") - F.col("bench_at")).alias("shift")).distinct()

@@ -11,6 +11,7 @@ from stratapanel.llm import lattice_lm, toxicity
 from stratapanel.llm.decontaminate import leaks
 from stratapanel.llm.language_id import identify
 from stratapanel.llm.packing import Packing, pack
+from stratapanel.llm.repeats import remove_repeats
 from stratapanel.llm.simhash import near_duplicates
 from stratapanel.llm.winnowing import edited_neighbours
 
@@ -83,3 +84,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
     return out.select("doc_id", (F.coalesce(remainder(4), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_suffix_repeats")
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
