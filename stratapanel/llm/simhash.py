@@ -12,6 +12,11 @@ A bucket is searched breadth first over the nodes not reached yet and gives one
 dense bucket is left after a few passes and never gives all its pairs.  A bucket of more than ``bucket_limit`` nodes is
 dealt out again by the same rule over the bits that it leaves open; no bucket of that second deal can hold more
 than 2**19 different fingerprints, however large the input.
+
+``words`` makes fingerprints of several times 64 bits, from as many hashes of each shingle; they measure the similarity of texts well
+enough for distances at which blocks no longer guarantee a meeting.  Then ``samples`` fixed random choices of
+``sample_bits`` bits take the place of the blocks: a pair that differs in a share q of the bits meets with probability
+1 - (1 - (1 - q)**sample_bits)**samples.
 """
 
 from __future__ import annotations
@@ -40,36 +45,63 @@ class SimHashParams:
     second_blocks: int = 8
     pivots: int = 16
     bucket_limit: int = 1 << 13
+    words: int = 1
+    sample_bits: int = 0
+    samples: int = 0
+
+
+#: Texts whose five-word shingles are alike (cosine of 0.8, so up to 52 of 256 bits); for sets, a Jaccard similarity of 0.8 is
+#: a cosine of 0.89 and differs in 39 bits on average.
+LIKE_TEXTS = SimHashParams(shingle=5, distance=52, words=4, sample_bits=18, samples=56)
 
 
-def fingerprint(raw: bytes, params: SimHashParams) -> int:
-    """Majority bits of the shingles' XXH64; 0 without words, ties give 0."""
+def fingerprint(raw: bytes, params: SimHashParams) -> np.ndarray:
+    """Majority bits of the shingles' XXH64 (and of its further mixes); 0 without words, ties give 0."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(params.words, U64)
     size = min(params.shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
     n, seed, digest = len(starts), params.seed, xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), U64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
-        counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    out = np.zeros(params.words, U64)
+    for k in range(params.words):
+        own = mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 1 << 15):
+            counts += np.unpackbits(own[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """One number for each fingerprint (rows); the fingerprint itself if it has 64 bits."""
+    out = fps[:, 0].copy()
+    for k in range(1, fps.shape[1]):
+        out = mix(out * U64(0x9E3779B97F4A7C15) + fps[:, k])
+    return out
+
+
+def names_of(params: SimHashParams) -> list[str]:
+    return [f"f{k}" for k in range(params.words)]
 
 
 def fingerprints(docs: DataFrame, params: SimHashParams, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Id and fingerprint (bits of a signed long) of every row; null texts have no words."""
+    """Id, node and fingerprint (bits of signed longs f0, f1 ...) of every row; null texts have no words."""
     kind = docs.schema[id_column].dataType.simpleString()
+    names = names_of(params)
 
     def run(batches):
         for batch in batches:
             for i, j, _, _ in pieces(batch.column(1)):
-                found = np.array([fingerprint(t or b"", params) for t in batch.column(1)[i:j].to_pylist()], U64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(found.view(np.int64))], names=["id", "fp"])
+                found = np.array([fingerprint(t or b"", params) for t in batch.column(1)[i:j].to_pylist()], U64).reshape(-1, params.words)
+                columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(params.words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node_of(found).view(np.int64)), *columns], names=["id", "node", *names])
 
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    schema = f"id {kind}, node bigint, " + ", ".join(f"{n} bigint" for n in names)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 @functools.cache
@@ -79,9 +111,38 @@ def choices(places: tuple[int, ...], blocks: int, distance: int) -> list[int]:
     return [functools.reduce(int.__or__, part) for part in combinations(cut, blocks - distance)]
 
 
+@functools.cache
+def sampled(words: int, bits: int, samples: int, seed: int) -> np.ndarray:
+    """Masks (rows, one number for each word) of fixed random choices of bits."""
+    rng, out = np.random.Generator(np.random.PCG64(seed)), np.zeros((samples, words), U64)
+    for row in out:
+        for p in rng.choice(64 * words, bits, replace=False).tolist():
+            row[p // 64] |= U64(1 << (p % 64))
+    return out
+
+
+def first_masks(params: SimHashParams) -> np.ndarray:
+    if params.samples:
+        return sampled(params.words, params.sample_bits, params.samples, 1)
+    return np.array(choices(tuple(range(64)), params.blocks, params.distance), U64)[:, None]
+
+
+def second_masks(params: SimHashParams, mask: np.ndarray) -> np.ndarray:
+    """For the nodes of a bucket that agree under ``mask``."""
+    if params.samples:
+        return sampled(params.words, params.sample_bits, params.samples, 2)
+    open_bits = tuple(p for p in range(64) if not int(mask[0]) >> p & 1)
+    return np.array(choices(open_bits, params.second_blocks, params.distance), U64)[:, None]
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints (rows) to pivots (columns)."""
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+    return np.stack([hamming(fps, p) for p in pivots], axis=1)
 
 
 def bucket_edges(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -98,7 +159,7 @@ def bucket_edges(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tupl
             if not len(near):
                 continue
             survives = np.abs(table[near] - table[v]).max(axis=1) <= distance
-            survives[survives] = np.bitwise_count(fps[near[survives]] ^ fps[v]) <= distance
+            survives[survives] = hamming(fps[near[survives]], fps[v]) <= distance
             if survives.any():
                 reached = near[survives].tolist()
                 edges += [(root, u) for u in reached]
@@ -108,15 +169,17 @@ def bucket_edges(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tupl
 
 
 def _search(buckets: DataFrame, params: SimHashParams, limit: int | None) -> DataFrame:
-    """Edges (a, b) of buckets (key, choice, fp); buckets above ``limit`` come back as rows with a new key in place of ``b``."""
-    schema = "again boolean, a bigint, b bigint"
-    names = ["again", "a", "b"]
-    pivots = mix(np.arange(1, params.pivots + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-    def edges_of(fps: np.ndarray, size: np.ndarray, heads: np.ndarray):
-        """``heads`` and ``size`` describe whole buckets that lie one after the other in ``fps``."""
-        table = pivot_table(fps, pivots)
-        out = []
+    """Edges (a, b) of buckets (key, choice, f0 ...); those above ``limit`` come back as fingerprints with new keys.
+
+    A streamed bucket is held up to ``limit`` nodes (without a limit: whole, see above for its bound).
+    """
+    names = names_of(params)
+    schema = "again boolean, a bigint, b bigint, key bigint, " + ", ".join(f"{n} bigint" for n in names)
+    pivots = mix(np.arange(1, params.pivots * params.words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(params.pivots, params.words)
+
+    def edges_of(fps: np.ndarray, size: np.ndarray):
+        """``size``: nodes of each whole bucket; the buckets lie one after the other in ``fps``."""
+        table, heads = pivot_table(fps, pivots), np.cumsum(size) - size
         small = size <= 8
         bucket = np.repeat(np.arange(len(size)), size)
         for step in range(1, int(size[small].max(initial=1))):
@@ -124,88 +187,91 @@ def _search(buckets: DataFrame, params: SimHashParams, limit: int | None) -> Dat
             for a in range(0, len(i), 1 << 16):
                 x = i[a : a + (1 << 16)]
                 x = x[np.abs(table[x] - table[x + step]).max(axis=1) <= params.distance]
-                x = x[np.bitwise_count(fps[x] ^ fps[x + step]) <= params.distance]
-                out.append((fps[x], fps[x + step]))
+                x = x[hamming(fps[x], fps[x + step]) <= params.distance]
+                yield fps[x], fps[x + step]
         for k in np.flatnonzero(~small).tolist():
             part = slice(int(heads[k]), int(heads[k] + size[k]))
             found = np.array(bucket_edges(fps[part], table[part], params.distance), np.int64).reshape(-1, 2)
-            out.append((fps[part][found[:, 0]], fps[part][found[:, 1]]))
-        return out
-
-    def batch_of(again: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), again)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
-
-    def dealt_again(key: int, mask: int, fps: np.ndarray):
-        open_bits = tuple(p for p in range(64) if not mask >> p & 1)
-        for k, m in enumerate(choices(open_bits, params.second_blocks, params.distance)):
+            yield fps[part][found[:, 0]], fps[part][found[:, 1]]
+
+    def batch_of(again: bool, a, b, key, fps) -> pa.RecordBatch:
+        n = len(a if a is not None else key)
+        blank = pa.nulls(n, pa.int64())
+        whole = lambda x: blank if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
+        columns = [whole(a), whole(b), whole(key), *(whole(None if fps is None else fps[:, k]) for k in range(params.words))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, again)), *columns], names=["again", "a", "b", "key", *names])
+
+    def linked(fps: np.ndarray, size: np.ndarray):
+        for a, b in edges_of(fps, size):
+            if len(a):
+                yield batch_of(False, node_of(a), node_of(b), None, None)
+
+    def dealt_again(key: int, mask: np.ndarray, fps: np.ndarray):
+        for k, m in enumerate(second_masks(params, mask)):
             salt = mix(np.array([(key * 131 + k) % 2**64], U64))
-            yield batch_of(True, fps, mix((fps & U64(m)) ^ salt))
+            yield batch_of(True, None, None, mix(node_of(fps & m) ^ salt), fps)
 
     def run(batches):
-        masks = choices(tuple(range(64)), params.blocks, params.distance)
-        key = np.zeros(0, np.int64)
-        choice, fps = np.zeros(0, np.int32), np.zeros(0, U64)
+        masks = first_masks(params)
+        key, choice, fps = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, params.words), U64)
         hot = None  # key of a bucket that is dealt again as it streams by
         for batch in batches:
+            if not len(batch):
+                continue
             key = np.concatenate([key, batch.column("key").to_numpy()])
             choice = np.concatenate([choice, batch.column("choice").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(U64)])
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            fps = np.concatenate([fps, np.stack([batch.column(n).to_numpy().view(U64) for n in names], axis=1)])
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(heads, len(key)))
-            done = heads < cut
             large = (size > limit) if limit else np.zeros(len(size), bool)
-            if hot is not None and len(key):
-                large[0] |= key[0] == hot
+            large[0] |= hot is not None and key[0] == hot
             for k in np.flatnonzero(large):
                 part = slice(int(heads[k]), int(heads[k] + size[k]))
                 yield from dealt_again(int(key[part][0]), masks[int(choice[part][0])], fps[part])
-            keep = np.flatnonzero(done & ~large & (size > 1))
-            if len(keep):
-                at = np.concatenate([np.arange(heads[k], heads[k] + size[k]) for k in keep]) if len(keep) < 1000 else np.flatnonzero(np.repeat(done & ~large & (size > 1), size))
-                own = size[keep]
-                for a, b in edges_of(fps[at], own, np.cumsum(own) - own):
-                    if len(a):
-                        yield batch_of(False, a, b)
-            hot = int(key[-1]) if len(key) and large[-1] else None
-            if hot is not None:
-                cut = len(key)
+            whole = ~large & (size > 1)
+            whole[-1] = False  # the last bucket may go on
+            if whole.any():
+                yield from linked(fps[np.repeat(whole, size)], size[whole])
+            hot = int(key[-1]) if large[-1] else None
+            cut = len(key) if large[-1] else int(heads[-1])
             key, choice, fps = key[cut:], choice[cut:], fps[cut:]
         if len(fps) > 1:
-            for a, b in edges_of(fps, np.array([len(fps)]), np.array([0])):
-                if len(a):
-                    yield batch_of(False, a, b)
+            yield from linked(fps, np.array([len(fps)]))
 
-    return buckets.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, schema)
+    return buckets.repartition("key").sortWithinPartitions("key", *names).mapInArrow(run, schema)
 
 
 def links(nodes: DataFrame, params: SimHashParams) -> DataFrame:
-    """Edges (a, b) that connect the nodes (distinct ``fp``) as all pairs within the distance do."""
-    masks = choices(tuple(range(64)), params.blocks, params.distance)
-    one = lambda k, m: F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits"))
-    keyed = nodes.select("fp", F.explode(F.array(*(one(k, m) for k, m in enumerate(masks)))).alias("c"))
-    buckets = keyed.select(F.xxhash64("c.choice", "c.bits").alias("key"), F.col("c.choice").alias("choice"), "fp")
+    """Edges (a, b) between nodes that connect the distinct fingerprints f0 ... as all pairs within the distance do."""
+    names = names_of(params)
+    signed = lambda m: F.lit(int(m) - (1 << 64) if int(m) >> 63 else int(m)).cast("long")
+    keys = [
+        F.struct(F.lit(k).alias("choice"), F.xxhash64(F.lit(k), *(F.col(n).bitwiseAND(signed(m)) for n, m in zip(names, row, strict=True))).alias("key"))
+        for k, row in enumerate(first_masks(params).tolist())
+    ]
+    buckets = nodes.select(F.explode(F.array(*keys)).alias("c"), *names).select("c.key", "c.choice", *names)
     first = materialize(_search(buckets, params, params.bucket_limit))
-    again = first.where("again").select(F.col("b").alias("key"), F.lit(0).alias("choice"), F.col("a").alias("fp"))
-    second = _search(again.distinct(), params, None)
-    return first.where("not again").union(second.where("not again")).select("a", "b")
+    again = first.where("again").select("key", F.lit(0).alias("choice"), *names)
+    second = _search(again, params, None)
+    return first.where("not again").select("a", "b").union(second.where("not again").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, fp (bits as a signed long) and component, the smallest id that links reach.
+    """Per row: id, fp (the first 64 bits as a signed long) and component, the smallest id that links reach.
 
     Null and empty texts have fingerprint 0 and are linked like any other.  Repeated rows are one node and come
     back row by row.  Null ids stay and name no component unless it has no other.  An empty table gives an
     empty result.  Other columns are ignored.
     """
     params = params or SimHashParams()
+    names = names_of(params)
     rows = materialize(fingerprints(docs, params, id_column, text_column))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = components(links(nodes.select("fp"), params)).select(F.col("node").alias("fp"), "root")
-    named = nodes.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(n).alias(n) for n in names)))
+    roots = components(links(nodes.select(*names), params))
+    named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    groups = named.join(least, "root").select("fp", "component")
-    return rows.join(groups, "fp").select(F.col("id").alias(id_column), "fp", "component")
+    groups = named.join(least, "root").select("node", "component")
+    return rows.join(groups, "node").select(F.col("id").alias(id_column), F.col("f0").alias("fp"), "component")
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams | None = None, id_column: str = "doc_id") -> DataFrame:
