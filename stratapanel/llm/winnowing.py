@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratapanel.llm.arrays import PrefixHash, window_minima
@@ -85,7 +85,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 CELLS, BUCKET_ROWS = 1 << 16, 1000
 
 
-def _buckets(docs: DataFrame, key) -> DataFrame:
+def _looked_up(values: list[int], index: Column) -> Column:
+    """Entry of a list of numbers (0 and above) at a row's index; the list travels as one binary literal."""
+    packed = F.lit(bytearray(b"".join(v.to_bytes(8) for v in values)))
+    return F.conv(F.hex(F.substring(packed, (index * 8 + 1).cast("int"), F.lit(8))), 16, 10).cast("long")
+
+
+def _buckets(docs: DataFrame, key: Column) -> DataFrame:
     """Rows dealt to buckets of consecutive keys (column ``bucket``), the first rows of each also to the bucket before it as guests.
 
     Only a histogram with a bounded number of cells and one row for each bucket reach the driver.
@@ -96,26 +102,25 @@ def _buckets(docs: DataFrame, key) -> DataFrame:
     width = max(1.0, (high - low + 1) / CELLS)
     cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor((key - F.lit(low)) / F.lit(width))), F.lit(0)).cast("int")
     counts = dict(docs.groupBy(cell.alias("cell")).count().collect())
-    bucket_of, bucket, filled = [], 0, 0
+    bucket_of, last, filled = [], 0, 0
     for c in range(CELLS):
         n = counts.get(c, 0)
         if filled and filled + n > BUCKET_ROWS:
-            bucket, filled = bucket + 1, 0
-        bucket_of.append(bucket)
+            last, filled = last + 1, 0
+        bucket_of.append(last)
         filled += n
-    bucket = F.element_at(F.lit(bucket_of), cell + 1)
-    firsts = dict(docs.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")).collect())
-    order = sorted(firsts)
+    bucket = _looked_up(bucket_of, cell)
+    # Null keys lie in the first bucket, in front of all others.
+    found = docs.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first"), F.max(key.isNull()).alias("nulls")).collect()
+    order = sorted(r["bucket"] for r in found)
+    first = {r["bucket"]: r["first"] for r in found}
+    nulls = any(r["nulls"] for r in found)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    n = (order[-1] if order else 0) + 1
-    previous = F.element_at(F.lit([before.get(b, 0) for b in range(n)]), bucket + 1)
-    has = [b for b in order if firsts[b] is not None]
-    first = F.element_at(F.lit([firsts[b] if b in has else low for b in range(n)]), bucket + 1)
+    previous = _looked_up([before.get(b, 0) for b in range(last + 1)], bucket)
+    least = _looked_up([(first.get(b) if first.get(b) is not None else low) - low for b in range(last + 1)], bucket) + F.lit(low)
+    leads = key.isNull() | ((key == least) & (bucket != F.lit(order[0]))) if nulls else key == least
     stays = F.struct(bucket.alias("bucket"), F.lit(0).alias("guest"))
     visits = F.struct(previous.alias("bucket"), F.lit(1).alias("guest"))
-    leads = (key == first) | (key.isNull() & (bucket == F.lit(order[0] if order else 0)))
-    if order and any(firsts[b] is None for b in order):
-        leads = leads | key.isNull()
     both = F.when(leads, F.array(stays, visits)).otherwise(F.array(stays))
     return docs.withColumn("_place", F.explode(both)).select("*", "_place.bucket", "_place.guest").drop("_place")
 
