@@ -140,10 +140,10 @@ def best_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
     """Start, end and number of equal tokens of the best-scoring stretch of an aligned pair."""
     if not len(equal):
         return 0, 0, 0
-    value = np.where(equal, 1.0 - similarity, -similarity)
-    sums = np.concatenate([[0.0], np.cumsum(value)])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums[1:] - low[:-1])) + 1
+    value = np.where(equal, round(1000 * (1 - similarity)), -round(1000 * similarity))
+    sums = np.concatenate([[0], np.cumsum(value)])
+    gains = sums[1:] - np.minimum.accumulate(sums)[:-1]
+    end = len(gains) - int(np.argmax(gains[::-1]))  # the longest of the best
     start = int(np.argmin(sums[:end]))
     return start, end, int(np.count_nonzero(equal[start:end]))
 
