@@ -99,14 +99,3 @@ def percent_true(condition: Column, base: Column | None = None) -> Column:
     """100 * share of rows where ``condition`` holds, over rows where ``base`` holds."""
     total = F.count(F.lit(1)) if base is None else F.count_if(base)
     return 100 * ratio(F.count_if(condition), total)
-
-
-def grade(value, steps: int = 256) -> Column:
-    """Non-decreasing integer function of a finite number.
-
-    Sorting by (grade, value) equals sorting by value, so a group can be cut into many
-    independent pieces by grade and put back together from the piece sizes.  Steps of
-    ln(1 + |v| * 2^20) / steps keep about 0.4 % relative resolution over all magnitudes.
-    """
-    v = col(value).cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * F.lit(1048576.0)) * F.lit(float(steps)))).cast("int")

@@ -1,118 +1,109 @@
-"""Exact ranks and quantiles per group, safe when one group holds most of the rows.
-
-The input is staged once (see ``runtime.stage``) and the largest group is measured.  Up
-to ``limit`` rows per group the ordinary window or percentile is used: one shuffle.  Past
-it the group is cut up: rows collapse to cells (group, value) with map-side counts, so
-copies of one value cost nothing; cells are cut by an order-preserving grade, a small
-(group, grade) histogram gives every piece its starting position, and sorting happens
-inside the pieces.  Both forms give the same result.
+"""Exact ranks and quantiles per group; one group may hold most of the rows.
+
+One form serves all sizes.  Boundaries of the whole sort key (group, value, tie) come from a sample of
+bounded size, so rows fall into about equally many per piece wherever they crowd: in one
+group, in a narrow range of values or among the ties of one value.  Sorting happens inside (group, piece), a small
+sum over the pieces of a group gives every piece its starting position, and joins are null-safe.  Where only
+values matter, rows first collapse to cells (group, value) with map-side counts.
+
+NULL is a group key like any other.  NULL values rank first as one value, infinite ones at the
+ends and NaN last, as Spark sorts them; quantiles leave NULLs out.
+
+Three passes read the input (sample, piece sizes, rows), so it is written once (``runtime.stage``) unless it already is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stratapanel.functions.scalars import grade
 from stratapanel.runtime import stage
 
-# Rows one task may sort for one group; a narrow million rows stays far below a task's memory.
-GROUP_LIMIT = 1_000_000
+#: Sampled sort keys for each piece, and the most pieces that are used.
+SAMPLED, MOST_PIECES = 32, 1024
 
 
-def fits_one_task(staged: DataFrame, keys: list[str], limit: int) -> bool:
-    """One number comes to the driver: the size of the largest group."""
-    top = staged.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (top or 0) <= limit
+def _literal(row, schema) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
 
 
-def _tie_piece(df: DataFrame, tie: str):
-    """Coarse order-preserving part of the tie-break key: cuts a hot value into pieces."""
-    kind = df.schema[tie].dataType
-    if isinstance(kind, T.NumericType):
-        return grade(tie, 16)
-    if isinstance(kind, T.StringType):
-        return F.substring(tie, 1, 6)
-    return F.lit(0)
+def _piece(df: DataFrame, order: list[str], pieces: int | None = None) -> Column:
+    """Number of the piece in which a row's sort key lies; rises with the key.
 
-
-def _cells(df: DataFrame, keys: list[str], value: str, piece=None, weight=None) -> DataFrame:
-    """One row per (keys, value[, piece]) with its row count ``_n``, the number of rows
-    ``_before`` it in the group and the group size ``_size`` (or sums of ``weight``)."""
+    The sample is the rows with the smallest hashes of their sort key: its size is fixed, and it is spread over all
+    keys.  A search over every k-th boundary, then over the k behind it, finds the piece.
+    """
+    pieces = pieces or min(MOST_PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    names = keyed.columns
+    sample = keyed.orderBy(F.xxhash64(*names)).limit(SAMPLED * pieces).orderBy(*names).collect()
+    step = max(1, len(sample) / pieces)
+    at = sorted({int(i * step) for i in range(1, pieces) if int(i * step) < len(sample)})
+    bounds = [_literal(sample[i], keyed.schema) for i in at]
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    width = math.isqrt(len(bounds) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda b: b < key))
+    blocks = [F.array(*bounds[i : i + width]) for i in range(0, len(bounds), width)]
+    if len(blocks) == 1:
+        return below(blocks[0])
+    block = below(F.array(*[bounds[i] for i in range(width, len(bounds), width)]))
+    return block * width + below(F.element_at(F.array(*blocks), block + 1))
+
+
+def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on equally named columns; those of ``a`` stay."""
+    renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in b.columns])
+    match = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return a.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
+
+
+def _starts(pieces: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """(keys, _piece, _start, _size): rows of the group before each piece, and in the group."""
+    sums = pieces.groupBy(*keys, "_piece").agg(n.alias("_g"))
+    group = W.partitionBy(*keys)  # one row for each piece of a group
+    running = F.sum("_g").over(group.orderBy("_piece").rowsBetween(W.unboundedPreceding, 0))
+    return sums.select(*keys, "_piece", (running - F.col("_g")).alias("_start"), F.sum("_g").over(group).alias("_size"))
+
+
+def _cells(df: DataFrame, keys: list[str], value: str, weight: Column | None = None, pieces: int | None = None) -> DataFrame:
+    """One row per (keys, value ``_v``) with its row count ``_n``, the number of rows ``_before`` it in the
+    group and the group size ``_size`` (or sums of ``weight``)."""
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    by = [F.col(value).alias("_v")] + ([piece.alias("_piece")] if piece is not None else [])
-    order = ["_v"] + (["_piece"] if piece is not None else [])
-    cells = (
-        df.groupBy(*keys, *by)
-        .agg(measure.alias("_n"))
-        .withColumn("_grade", grade("_v"))
-    )
-    # A few thousand grades exist per group at most, so this window is small.
-    group = W.partitionBy(*keys)
-    start = (
-        cells.groupBy(*keys, "_grade")
-        .agg(F.sum("_n").alias("_g"))
-        .select(
-            *keys,
-            "_grade",
-            (F.sum("_g").over(group.orderBy("_grade")) - F.col("_g")).alias("_start"),
-            F.sum("_g").over(group).alias("_size"),
-        )
-    )
-    inside = W.partitionBy(*keys, "_grade").orderBy(*order)
-    return cells.join(start, [*keys, "_grade"]).select(
-        *keys,
-        *order,
-        "_n",
-        (F.col("_start") + F.sum("_n").over(inside) - F.col("_n")).alias("_before"),
-        "_size",
-    )
+    cells = df.groupBy(*keys, F.col(value).alias("_v")).agg(measure.alias("_n"))
+    cells = cells.withColumn("_piece", _piece(df.withColumn("_v", F.col(value)), [*keys, "_v"], pieces))
+    placed = _same(cells, _starts(cells, keys, F.sum("_n")), [*keys, "_piece"])
+    inside = W.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    return placed.select(*keys, "_v", "_n", (F.col("_start") + F.sum("_n").over(inside) - F.col("_n")).alias("_before"), "_size")
 
 
 def ordinal_within(
-    df: DataFrame, keys: list[str], value: str, tie: str, *, rank: str = "rank", size: str = "count",
-    limit: int = GROUP_LIMIT, bounded: bool = False,
+    df: DataFrame, keys: list[str], value: str, tie: str, *, rank: str = "rank", size: str = "count", bounded: bool = False, pieces: int | None = None,
 ) -> DataFrame:
     """Unique 1-based ordinal per group, ascending by (value, tie), and the group size.
 
-    ``value`` must be finite and not NULL; (keys, tie) must be unique.  ``bounded`` skips
-    staging and measuring where groups are short by construction.
+    (keys, tie) must be unique.  ``bounded``: groups are short by construction, a plain window will do.
     """
-    df = df if bounded else stage(df)
-    if bounded or fits_one_task(df, keys, limit):
+    if bounded:
         group = W.partitionBy(*keys)
-        return df.withColumn(rank, F.row_number().over(group.orderBy(value, tie)).cast("long")).withColumn(
-            size, F.count(F.lit(1)).over(group)
-        )
-    cells = _cells(df, keys, value, _tie_piece(df, tie))
-    local = W.partitionBy(*keys, "_v", "_piece").orderBy(tie)
-    return (
-        df.withColumn("_v", F.col(value))
-        .withColumn("_piece", _tie_piece(df, tie))
-        .join(cells, [*keys, "_v", "_piece"])
-        .withColumn(rank, F.col("_before") + F.row_number().over(local))
-        .withColumnRenamed("_size", size)
-        .drop("_v", "_piece", "_n", "_before")
-    )
-
-
-def average_ranks_within(
-    df: DataFrame, keys: list[str], ranks: dict[str, str], *, size: str | None = None, limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Tie-averaged ranks per group; ``ranks`` maps output name to value column."""
+        return df.withColumn(rank, F.row_number().over(group.orderBy(value, tie)).cast("long")).withColumn(size, F.count(F.lit(1)).over(group))
     df = stage(df)
-    out = df
-    if fits_one_task(df, keys, limit):
-        group = W.partitionBy(*keys)
-        for name, value in ranks.items():
-            tied = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-            out = out.withColumn(name, F.rank().over(group.orderBy(value)) + (tied - 1) / 2)
-        return out.withColumn(size, F.count(F.lit(1)).over(group)) if size else out
+    cut = df.withColumn("_piece", _piece(df, [*keys, value, tie], pieces))
+    placed = _same(cut, _starts(cut, keys, F.count(F.lit(1))), [*keys, "_piece"])
+    local = W.partitionBy(*keys, "_piece").orderBy(value, tie)
+    return placed.withColumn(rank, F.col("_start") + F.row_number().over(local)).withColumnRenamed("_size", size).drop("_piece", "_start")
+
+
+def average_ranks_within(df: DataFrame, keys: list[str], ranks: dict[str, str], *, size: str | None = None, pieces: int | None = None) -> DataFrame:
+    """Tie-averaged ranks per group; ``ranks`` maps output name to value column."""
+    out = df = stage(df)
     for i, (name, value) in enumerate(ranks.items()):
-        cells = _cells(df, keys, value)
-        out = out.withColumn("_v", F.col(value)).join(cells, [*keys, "_v"])
+        cells = _cells(df, keys, value, pieces=pieces)
+        out = _same(out.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
         out = out.withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2)
         if size and i == 0:
             out = out.withColumn(size, F.col("_size"))
@@ -121,16 +112,11 @@ def average_ranks_within(
 
 
 def quantiles_within(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, count: str | None = None,
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, count: str | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group; NULLs are left out."""
-    df = stage(df)
-    known = df.where(F.col(value).isNotNull())
-    if fits_one_task(known, keys, limit):
-        aggs = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
-        return known.groupBy(*keys).agg(*aggs, *([F.count(value).alias(count)] if count else []))
-    cells = _cells(known, keys, value)
+    known = stage(df).where(F.col(value).isNotNull())
+    cells = _cells(known, keys, value, pieces=pieces)
     first, last = F.col("_before"), F.col("_before") + F.col("_n")
     aggs = [F.max("_size").alias("_size")]
     at = {name: (F.col("_size") - 1) * F.lit(float(p)) for name, p in probs.items()}
@@ -141,26 +127,19 @@ def quantiles_within(
     found = cells.groupBy(*keys).agg(*aggs)
     cols = []
     for name in probs:
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (hi - lo) * (at[name] - F.floor(at[name]))).alias(name))
+        lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at[name] - F.floor(at[name])
+        # At a whole position only one value counts, so infinite neighbours do no harm.
+        cols.append(F.when((part == 0) | (lo == hi), lo.cast("double")).otherwise(lo + (hi - lo) * part).alias(name))
     if count:
         cols.append(F.col("_size").alias(count))
     return found.select(*keys, *cols)
 
 
-def totals_above(
-    df: DataFrame, keys: list[str], value: str, weight: str, *, above: str, equal: str | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def totals_above(df: DataFrame, keys: list[str], value: str, weight: str, *, above: str, equal: str | None = None, pieces: int | None = None) -> DataFrame:
     """Per row: the sum of ``weight`` over rows of the group with a larger value, and with the same value."""
     df = stage(df)
-    if fits_one_task(df, keys, limit):
-        down = W.partitionBy(*keys).orderBy(F.col(value).desc())  # peers included
-        same = F.sum(weight).over(W.partitionBy(*keys, value))
-        out = df.withColumn(above, F.sum(weight).over(down) - same)
-        return out.withColumn(equal, same) if equal else out
-    cells = _cells(df, keys, value, weight=F.col(weight))
-    out = df.withColumn("_v", F.col(value)).join(cells, [*keys, "_v"])
+    cells = _cells(df, keys, value, weight=F.col(weight), pieces=pieces)
+    out = _same(df.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
     out = out.withColumn(above, F.col("_size") - F.col("_before") - F.col("_n"))
     if equal:
         out = out.withColumn(equal, F.col("_n"))

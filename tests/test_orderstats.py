@@ -1,63 +1,86 @@
-"""The cut-up forms must equal the one-window forms, hot values included."""
+"""The split forms must equal plain windows, wherever rows crowd."""
 
 import random
 
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratapanel.functions.scalars import grade
 from stratapanel.operators.orderstats import average_ranks_within, ordinal_within, quantiles_within, totals_above
 
+INF = float("inf")
 
-def frame(spark, seed=3, n=400):
-    rng = random.Random(seed)
+
+def frame(spark, kind):
+    rng = random.Random(3)
     rows = []
-    for i in range(n):
-        kind = rng.random()
-        # A third of the rows share one value; the rest spreads over many magnitudes.
-        v = 0.0 if kind < 0.34 else rng.choice([-1, 1]) * 10 ** rng.uniform(-7, 6)
-        rows.append((("hot" if rng.random() < 0.7 else "cold"), i, v, float(rng.randint(1, 5))))
-    return spark.createDataFrame(rows, "k string, e long, v double, w double")
+    for i in range(400):
+        key = rng.choice(["hot"] * 7 + ["cold"] * 2 + [None])
+        if kind == "spread":
+            v = 0.0 if rng.random() < 0.34 else rng.choice([-1, 1]) * 10 ** rng.uniform(-7, 6)
+        elif kind == "narrow":
+            v = 100 + rng.random()
+        else:  # NULL, infinite and NaN values, and one hot value
+            v = rng.choice([None, INF, -INF, float("nan"), 1.0, 1.0, 1.0, rng.random()])
+        rows.append((key, i, f"a long shared beginning {i:05d}", v, float(rng.randint(1, 5))))
+    return spark.createDataFrame(rows, "k string, e long, s string, v double, w double")
 
 
 def rows(df, cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted(tuple(repr(r[c]) for c in cols) for r in df.collect())
 
 
-def test_grade_never_decreases(spark):
-    df = spark.createDataFrame([(x,) for x in sorted([-1e9, -3.5, -1e-9, 0.0, 1e-12, 1e-9, 0.1, 0.1000001, 1.0, 2.0, 1e6, 1e12])], "v double")
-    g = [r[0] for r in df.select(grade("v")).collect()]
-    assert g == sorted(g)
+KINDS = pytest.mark.parametrize("kind", ["spread", "narrow", "odd"])
+PIECES = pytest.mark.parametrize("pieces", [1, 7, 100])
 
 
-def test_ordinal_pieces_equal_window(spark):
-    df = frame(spark)
-    for tie in ("e", "s"):
-        data = df.withColumn("s", F.concat(F.lit("entity"), F.col("e").cast("string")))
-        a = rows(ordinal_within(data, ["k"], "v", tie), ["k", "e", "rank", "count"])
-        b = rows(ordinal_within(data, ["k"], "v", tie, limit=0), ["k", "e", "rank", "count"])
-        assert a == b
+@KINDS
+@PIECES
+@pytest.mark.parametrize("tie", ["e", "s"])
+def test_ordinal(spark, kind, pieces, tie):
+    df = frame(spark, kind)
+    group = W.partitionBy("k")
+    want = df.withColumn("rank", F.row_number().over(group.orderBy("v", tie))).withColumn("count", F.count(F.lit(1)).over(group))
+    assert rows(ordinal_within(df, ["k"], "v", tie, pieces=pieces), ["k", "e", "rank", "count"]) == rows(want, ["k", "e", "rank", "count"])
 
 
-def test_average_rank_pieces_equal_window(spark):
-    df = frame(spark)
-    a = rows(average_ranks_within(df, ["k"], {"rv": "v", "rw": "w"}, size="n"), ["k", "e", "rv", "rw", "n"])
-    b = rows(average_ranks_within(df, ["k"], {"rv": "v", "rw": "w"}, size="n", limit=0), ["k", "e", "rv", "rw", "n"])
-    assert a == b
+@KINDS
+@PIECES
+def test_average_ranks_and_totals(spark, kind, pieces):
+    df = frame(spark, kind)
+    group = W.partitionBy("k")
+    tied = lambda c: F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("k", c)) - 1) / 2
+    want = df.withColumns({"rv": tied("v"), "rw": tied("w"), "n": F.count(F.lit(1)).over(group)})
+    cols = ["k", "e", "rv", "rw", "n"]
+    assert rows(average_ranks_within(df, ["k"], {"rv": "v", "rw": "w"}, size="n", pieces=pieces), cols) == rows(want, cols)
+    same = F.sum("w").over(W.partitionBy("k", "v"))
+    total = df.withColumn("up", F.sum("w").over(group) - F.sum("w").over(group.orderBy("v"))).withColumn("eq", same)
+    assert rows(totals_above(df, ["k"], "v", "w", above="up", equal="eq", pieces=pieces), ["k", "e", "up", "eq"]) == rows(total, ["k", "e", "up", "eq"])
 
 
-def test_quantile_pieces_equal_percentile(spark):
-    df = frame(spark)
+@PIECES
+@pytest.mark.parametrize("kind", ["spread", "narrow"])
+def test_quantiles(spark, kind, pieces):
+    df = frame(spark, kind)
     probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e9": 0.99, "f": 1.0}
-    a = quantiles_within(df, ["k"], "v", probs, count="n").orderBy("k").collect()
-    b = quantiles_within(df, ["k"], "v", probs, count="n", limit=0).orderBy("k").collect()
-    for x, y in zip(a, b):
-        for name in probs:
-            assert abs(x[name] - y[name]) <= 1e-9 * max(1.0, abs(x[name]))
-        assert x["n"] == y["n"]
-
-
-def test_totals_above_pieces_equal_window(spark):
-    df = frame(spark)
-    a = rows(totals_above(df, ["k"], "v", "w", above="up", equal="eq"), ["k", "e", "up", "eq"])
-    b = rows(totals_above(df, ["k"], "v", "w", above="up", equal="eq", limit=0), ["k", "e", "up", "eq"])
-    assert a == b
+    got = {r["k"]: r for r in quantiles_within(df, ["k"], "v", probs, count="n", pieces=pieces).collect()}
+    want = {r["k"]: r for r in df.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()], F.count("v").alias("n")).collect()}
+    assert set(got) == set(want) == {"hot", "cold", None}
+    for k, x in want.items():
+        assert got[k]["n"] == x["n"] and all(abs(got[k][n] - x[n]) <= 1e-9 * max(1.0, abs(x[n])) for n in probs)
+
+
+def test_quantiles_of_infinite_values(spark):
+    df = spark.createDataFrame([(None, v) for v in (-INF, -INF, 1.0, 2.0, INF, None)], "k string, v double")
+    r = quantiles_within(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}, count="n").collect()
+    assert [tuple(x) for x in r] == [(None, -INF, 1.0, INF, 5)]
+
+
+def test_pieces_are_even(spark):
+    """A group inside [100, 101] and a value with a shared tie prefix both split."""
+    from stratapanel.operators.orderstats import _piece
+
+    narrow = spark.range(20_000).select(F.lit("k").alias("k"), (100 + F.rand(1)).alias("v"), F.lit(1.0).alias("same"), F.concat(F.lit("entity "), "id").alias("s"))
+    for order in (["k", "v", "s"], ["k", "same", "s"]):
+        sizes = [r["count"] for r in narrow.withColumn("p", _piece(narrow, order, 16)).groupBy("p").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 3 * 20_000 / 16
