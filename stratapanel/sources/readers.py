@@ -56,8 +56,15 @@ def _trimmed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.trim(F.col(f"`{header[c]}`")).alias(n) for c, n in names.items()], "_source_file")
 
 
+def _strings(spark: SparkSession, path) -> DataFrame:
+    """CSV rows as strings; a file whose header differs from the first file's fails the job instead of swapping columns."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def _csv(spark: SparkSession, path) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = _strings(spark, path)
     return raw.withColumn("_source_file", file_name(F.col("_metadata.file_path")))
 
 
@@ -112,7 +119,7 @@ def scan_event_ledger(spark: SparkSession, path) -> DataFrame:
     An event id hashes file, record and the copy number among equal records of the file,
     so repeated rows stay apart without relying on line order.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = _strings(spark, path)
     if raw.columns != LEDGER_COLUMNS:
         raise ValueError(f"unexpected ledger columns: {raw.columns}")
     raw = raw.fillna("")

@@ -153,3 +153,16 @@ def test_identity_is_exact_and_conflicts_block(spark):
     obs = spark.createDataFrame([("A", "I1"), ("A", "I2")], "entity string, isin string")
     got = {(r["entity"], r["isin"]): (r["identity_status"], r["safety"]) for r in identity_attach(ev, obs).collect()}
     assert got == {("A", "I1"): ("IDENTIFIER_OBSERVED", "OK"), ("A", "I9"): ("IDENTIFIER_CONFLICT", "REVIEW_REQUIRED_BLOCKED"), ("Z", "I1"): ("NOT_OBSERVED", "OK")}
+
+
+def test_a_file_with_swapped_columns_fails(spark, tmp_path):
+    from stratapanel.sources import readers
+
+    names = readers.LEDGER_COLUMNS
+    swapped = [names[0], names[2], names[1], *names[3:]]
+    for i, header in enumerate((names, swapped)):
+        row = {n: "1" for n in names} | {"DATE": "20240102", "SYMBOL": f"S{i}", "SERIES": "EQ"}
+        (tmp_path / f"{i}.csv").write_text(",".join(header) + "\n" + ",".join(row[n] for n in header) + "\n")
+    assert readers.scan_event_ledger(spark, str(tmp_path / "0.csv")).count() == 1
+    with pytest.raises(Exception, match="header"):
+        readers.scan_event_ledger(spark, str(tmp_path)).collect()
