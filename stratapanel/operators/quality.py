@@ -117,21 +117,24 @@ def check_suite(df: DataFrame, table: str, checks: dict[str, Column], *, keys: l
     )
 
 
-def table_fingerprint(df: DataFrame, columns: list[str] | None = None, *, portable: bool = False) -> DataFrame:
-    """Order-independent identity of a table: row count, sum and xor of row hashes.
+def row_text(columns: list[str]) -> Column:
+    """One text per row in which every field has its length in front, or a mark for NULL: different rows give different texts."""
+    field = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("n"))
+    return F.concat_ws(",", *[field(c) for c in columns])
 
-    ``portable`` hashes an md5 of the row's text, which other engines can repeat.
-    """
-    columns = columns or df.columns
-    if portable:
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-        h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    else:
-        h = F.xxhash64(*columns)
-    return df.select(h.alias("_h")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.col("_h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-        F.bit_xor("_h").alias("hash_xor"),
+
+def row_hashes(columns: list[str]) -> tuple[Column, Column]:
+    """Two 60-bit numbers, 120 bits in all, from the SHA-256 of a row's text; other engines can repeat them."""
+    digest = F.sha2(row_text(columns), 256)
+    return tuple(F.conv(F.substring(digest, start, 15), 16, 10).cast("long") for start in (1, 16))
+
+
+def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Order-independent identity of a table: row count, sums and xors of both row hashes."""
+    one, two = row_hashes(columns or df.columns)
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.select(one.alias("_h1"), two.alias("_h2")).agg(
+        F.count(F.lit(1)).alias("rows"), total("_h1").alias("hash_sum"), total("_h2").alias("hash_sum_2"), F.bit_xor("_h1").alias("hash_xor"), F.bit_xor("_h2").alias("hash_xor_2"),
     )
 
 

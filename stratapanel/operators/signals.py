@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stratapanel.functions.scalars import yes
 from stratapanel.operators.events import interval_event_crossing
 from stratapanel.operators.orderstats import ordinal_within
+from stratapanel.operators.quality import row_hashes
 from stratapanel.runtime import stage
 
 
@@ -157,12 +158,12 @@ def list_fingerprint(candidates: DataFrame, columns: list[str], *, keys: list[st
     Rows carry their rank in ``columns``, so summing and xoring row hashes pins the order
     without collecting the list anywhere.
     """
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    sums = candidates.select(*keys, h.alias("_h")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("candidates"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("_s"), F.bit_xor("_h").alias("_x"))
-    body = F.concat_ws(":", F.col("candidates").cast("string"), F.col("_s").cast("string"), F.col("_x").cast("string"))
-    return sums.withColumn("fingerprint", F.sha2(body, 256)).drop("_s", "_x")
+    one, two = row_hashes(columns)
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    sums = candidates.select(*keys, one.alias("_h1"), two.alias("_h2")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidates"), total("_h1").alias("_s1"), total("_h2").alias("_s2"), F.bit_xor("_h1").alias("_x1"), F.bit_xor("_h2").alias("_x2"))
+    body = F.concat_ws(":", *[F.col(c).cast("string") for c in ("candidates", "_s1", "_s2", "_x1", "_x2")])
+    return sums.withColumn("fingerprint", F.sha2(body, 256)).drop("_s1", "_s2", "_x1", "_x2")
 
 
 def quote_resolve(

@@ -130,11 +130,10 @@ def _(spark, d):
         "label_set": F.col("l_returnflag").isin("A", "N", "R")}, keys=["l_orderkey", "l_linenumber"])
 
 
-@query("table_fingerprint", """WITH h AS (SELECT CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_returnflag), 1, 12) AS BIGINT) AS h FROM lineitem)
-SELECT count(*) AS rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h""")
+@query("table_fingerprint", f"""WITH h AS (SELECT {s.row_hashes(["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])} FROM lineitem)
+SELECT count(*) AS rows, CAST(sum(h1) AS VARCHAR) AS hash_sum, CAST(sum(h2) AS VARCHAR) AS hash_sum_2, bit_xor(h1) AS hash_xor, bit_xor(h2) AS hash_xor_2 FROM h""")
 def _(spark, d):
-    li = views.table(spark, d, "lineitem")
-    return qa.table_fingerprint(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"], portable=True)
+    return qa.table_fingerprint(views.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
 
 
 @query("lossless_check", """WITH d AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < 0.1), sk AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2),

@@ -162,9 +162,9 @@ def _(spark, d):
     return sg.target_state_table(t, keys=["strategy"], signals=t)
 
 
-@query("list_fingerprint", f"""WITH {TARGETS}, h AS (SELECT session, CAST('0x' || substr(md5(group_rank || '|' || liquidity_rank || '|' || entity), 1, 12) AS BIGINT) AS h FROM mem),
-a AS (SELECT session, count(*) AS candidates, sum(h) AS s, bit_xor(h) AS x FROM h GROUP BY 1)
-SELECT session, candidates, sha256(candidates || ':' || s || ':' || x) AS fingerprint FROM a""")
+@query("list_fingerprint", f"""WITH {TARGETS}, h AS (SELECT session, {s.row_hashes(["group_rank", "liquidity_rank", "entity"])} FROM mem),
+a AS (SELECT session, count(*) AS candidates, sum(h1) AS s1, sum(h2) AS s2, bit_xor(h1) AS x1, bit_xor(h2) AS x2 FROM h GROUP BY 1)
+SELECT session, candidates, sha256(concat_ws(':', candidates, s1, s2, x1, x2)) AS fingerprint FROM a""")
 def _(spark, d):
     groups, members = groups_and_members(spark, d)
     best = sg.top_groups(groups, 3).select("session", "group_code", "group_rank")

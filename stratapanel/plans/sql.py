@@ -157,3 +157,10 @@ def monotonicity(q: int) -> str:
     return (f"CASE WHEN NOT ({null}) THEN (SELECT corr(i, r) FROM (SELECT i, rank() OVER (ORDER BY m) + "
             f"(count(*) OVER (PARTITION BY m) - 1) / 2.0 AS r FROM (SELECT unnest({arr}) AS m, "
             f"unnest(range(1, {q + 1})) AS i))) END")
+
+
+def row_hashes(columns: list[str]) -> str:
+    """Both row hashes (h1, h2) of ``columns``: every field with its length in front, or a mark for NULL."""
+    text = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+    digest = f"sha256(concat_ws(',', {text}))"
+    return f"CAST('0x' || substr({digest}, 1, 15) AS BIGINT) AS h1, CAST('0x' || substr({digest}, 16, 15) AS BIGINT) AS h2"

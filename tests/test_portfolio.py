@@ -135,6 +135,9 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     c = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, v string")
     f = [qa.table_fingerprint(x).first() for x in (a, b, c)]
     assert f[0] == f[1] != f[2]
+    pairs = [(None, "x"), ("x", None), ("~", "x"), ("a|b", "c"), ("a", "b|c"), ("1:a", "b"), ("n", "x")]
+    prints = {tuple(qa.table_fingerprint(spark.createDataFrame([p], "a string, b string")).first()) for p in pairs}
+    assert len(prints) == len(pairs)
     assert not qa.lossless_check(a, c).first()["lossless"] and qa.lossless_check(a, b).first()["lossless"]
 
 
