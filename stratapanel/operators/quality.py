@@ -44,8 +44,11 @@ def incremental_extend(
 
 
 def append_new_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch whose key the target does not have yet, one row per key."""
-    return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """Rows of the batch whose key the target does not have yet; of rows with one key the least, by all other columns, is taken."""
+    rest = [c for c in batch.columns if c not in keys]
+    least = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else batch.select(*keys).distinct()
+    one = least.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*batch.columns)
+    return one.join(target.select(*keys), keys, "left_anti")
 
 
 def set_operation(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:

@@ -44,7 +44,7 @@ def calendar_of(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFr
 
 
 def intervals(spark, sf_dir, formations=FORMATIONS, futures=FUTURES, unit="month", events=False, coverage=None):
-    ledger = views.event_ledger(spark, sf_dir).select("entity", "session") if events else None
+    ledger = views.impact_days(spark, sf_dir) if events else None
     return interval_panel_pit(
         positioned(spark, sf_dir, unit), formations, futures, events=ledger,
         calendar=calendar_of(spark, sf_dir, unit), coverage=coverage,

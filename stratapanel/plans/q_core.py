@@ -108,7 +108,7 @@ surprise AS (SELECT *, CASE WHEN valid_volume_baseline_{h} THEN volume / volume_
 
 
 def crossed_panel(spark, d, horizons, unit="month", week=None):
-    ledger = views.event_ledger(spark, d).select("entity", "session")
+    ledger = views.impact_days(spark, d)
     panel = week.panel if week else pp.positioned(spark, d, unit)
     calendar = week.calendar if week else pp.calendar_of(spark, d, unit)
     return iv.with_crossings(panel, ledger, horizons, calendar=calendar)
@@ -269,7 +269,7 @@ def full_intervals(spark, d, formations=(2, 5), futures=(1, 3)):
     p = pp.positioned(spark, d, "week").withColumn("eligible", F.col("volume") >= 10).withColumn(
         "contaminated", F.col("close") > 2500)
     return iv.interval_panel(
-        p, formations, futures, events=views.event_ledger(spark, d).select("entity", "session"),
+        p, formations, futures, events=views.impact_days(spark, d),
         calendar=pp.calendar_of(spark, d, "week"), coverage_end="2001-03-31")
 
 
@@ -303,7 +303,7 @@ def _(spark, d):
     ids = views.groups_nation(spark, d).select("entity", (~F.col("identity_ambiguous")).alias("identity_safe"))
     p = pp.positioned(spark, d, "week").join(ids, "entity")
     out = iv.interval_panel_strict(
-        p, (4,), (2,), events=views.event_ledger(spark, d).select("entity", "session"),
+        p, (4,), (2,), events=views.impact_days(spark, d),
         calendar=pp.calendar_of(spark, d, "week"), certified_end="2001-03-31")
     return out.select("entity", "session", *[c for c in out.columns if "return_" in c or "future_" in c])
 

@@ -107,21 +107,20 @@ def _(spark, d):
     return e.blocking_events(views.event_ledger(spark, d), ["UNKNOWN"], series=["EQ"])
 
 
-@query("event_map_union", f"""WITH {M}, {s.EVENTS}, ext AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS session FROM lineitem
-  WHERE l_returnflag = 'R' AND l_discount >= 0.09 AND l_quantity >= 48)
-SELECT entity, session FROM events_ledger UNION SELECT entity, session FROM ext""")
+@query("event_map_union", f"""WITH {M}, {s.EVENTS}, ext AS (SELECT l_suppkey AS entity, CAST(o_orderdate AS DATE) AS session FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT entity, session FROM ev UNION SELECT entity, session FROM ext""")
 def _(spark, d):
-    ext = views.table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.09 AND l_quantity >= 48").select(
-        F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("session"))
-    return e.event_map_union(views.event_ledger(spark, d), ext)
+    li, o = views.table(spark, d, "lineitem"), views.table(spark, d, "orders")
+    ext = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").alias("entity"), F.col("o_orderdate").cast("date").alias("session"))
+    return e.event_map_union(views.impact_days(spark, d), ext)
 
 
 WIDE_EVENTS = """wide_ev AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS session, l_orderkey * 10 + l_linenumber AS event_id,
-  CASE WHEN l_linestatus = 'F' THEN 'MATERIAL' ELSE 'UNKNOWN' END AS impact, l_returnflag AS action_class FROM lineitem WHERE l_discount >= 0.09)"""
+  CASE WHEN l_linestatus = 'F' THEN 'MATERIAL' ELSE 'UNKNOWN' END AS impact, l_returnflag AS action_class FROM lineitem)"""
 
 
 def wide_events(spark, d):
-    return views.table(spark, d, "lineitem").where("l_discount >= 0.09").select(
+    return views.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("session"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
         F.when(F.col("l_linestatus") == "F", "MATERIAL").otherwise("UNKNOWN").alias("impact"),
@@ -142,7 +141,7 @@ evn AS (SELECT entity, session, (SELECT count(*) FROM calendar c WHERE c.session
 SELECT entity, session, position, EXISTS (SELECT 1 FROM evn WHERE evn.entity = panel.entity
   AND panel.position BETWEEN b - 2 AND b + 3 - (1 - x)) AS event_excluded FROM panel""")
 def _(spark, d):
-    window = e.exclusion_window(views.event_ledger(spark, d), pp.calendar_of(spark, d, "week"), 2, 3)
+    window = e.exclusion_window(views.impact_days(spark, d), pp.calendar_of(spark, d, "week"), 2, 3)
     return e.flag_excluded(pp.positioned(spark, d, "week"), window).select("entity", "session", "position", "event_excluded")
 
 
@@ -155,7 +154,7 @@ def _(spark, d):
     iv = li.join(o, li.l_orderkey == o.o_orderkey).select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity"),
         F.col("o_orderdate").cast("date").alias("start_date"), F.col("l_shipdate").cast("date").alias("end_date"))
-    out = e.interval_event_crossing(iv, views.event_ledger(spark, d))
+    out = e.interval_event_crossing(iv, views.impact_days(spark, d))
     return out.select("l_orderkey", "l_linenumber", "crosses_event")
 
 
@@ -163,7 +162,7 @@ def _(spark, d):
 SELECT entity, session, EXISTS (SELECT 1 FROM evs WHERE evs.entity = panel.entity AND abs(evs.position - panel.position) <= 5) AS near_event FROM panel""")
 def _(spark, d):
     out = e.event_proximity_flag(
-        day_panel(spark, d), views.event_ledger(spark, d), 5, calendar=pp.calendar_of(spark, d, "day"))
+        day_panel(spark, d), views.impact_days(spark, d), 5, calendar=pp.calendar_of(spark, d, "day"))
     return out.select("entity", "session", "near_event")
 
 

@@ -208,7 +208,7 @@ def _(spark, d):
     return g.universe_counts(universe_rows(spark, d, ("entity", "session")).drop("year"), ref)
 
 
-@query("identity_aliases", """WITH d AS (SELECT l_suppkey AS entity, l_partkey AS isin, CAST(l_shipdate AS DATE) AS session FROM lineitem WHERE l_quantity >= 40),
+@query("identity_aliases", """WITH d AS (SELECT l_suppkey AS entity, l_partkey AS isin, CAST(l_shipdate AS DATE) AS session FROM lineitem),
 base AS (SELECT entity, min(session) AS first_session, max(session) AS last_session, count(*) AS observed_sessions FROM d GROUP BY 1),
 p AS (SELECT DISTINCT entity, isin FROM d), g AS (SELECT isin FROM p GROUP BY 1 HAVING count(*) > 1),
 pick AS (SELECT entity, max(isin) AS isin FROM p WHERE isin IN (SELECT isin FROM g) GROUP BY 1),
@@ -218,7 +218,7 @@ SELECT entity, first_session, last_session, observed_sessions, coalesce(known_al
   CASE WHEN known_alias IS NOT NULL THEN 'SHARED_IDENTIFIER_NOT_STITCHED' WHEN identifier_count > 1 THEN 'SEVERAL_IDENTIFIERS' ELSE 'OBSERVED_NOT_STITCHED' END AS continuity_status,
   known_alias IS NOT NULL OR identifier_count > 1 AS identity_ambiguous FROM base LEFT JOIN al USING (entity) JOIN ids USING (entity)""")
 def _(spark, d):
-    rows = views.table(spark, d, "lineitem").where("l_quantity >= 40").select(
+    rows = views.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("isin"), F.col("l_shipdate").cast("date").alias("session"))
     return g.identity_aliases(rows)
 

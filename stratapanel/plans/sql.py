@@ -18,10 +18,10 @@ panel AS (
 
 EVENTS = """events_ledger AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line, l_suppkey AS entity, CAST(l_shipdate AS DATE) AS session,
-         CASE WHEN l_linestatus = 'F' THEN 'MATERIAL' ELSE 'UNKNOWN' END AS impact,
+         CASE WHEN NOT (l_returnflag = 'R' AND l_discount >= 0.10 AND l_quantity >= 49) THEN 'NONE' WHEN l_linestatus = 'F' THEN 'MATERIAL' ELSE 'UNKNOWN' END AS impact,
          CASE WHEN l_tax >= 0.04 THEN 'EQ' ELSE 'BE' END AS series, l_extendedprice AS amount
-  FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.10 AND l_quantity >= 49),
-ev AS (SELECT DISTINCT entity, session FROM events_ledger),
+  FROM lineitem),
+ev AS (SELECT DISTINCT entity, session FROM events_ledger WHERE impact <> 'NONE'),
 evp AS (
   SELECT DISTINCT entity, (SELECT min(c.position) FROM calendar c WHERE c.session >= ev.session) AS position FROM ev)"""
 

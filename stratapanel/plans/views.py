@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratapanel.operators.events import blocking_events
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,22 +40,24 @@ def panel_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned, fully discounted, large lines act as events of a supplier."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.10) & (F.col("l_quantity") >= 49))
-        .select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line"),
-            F.col("l_suppkey").alias("entity"),
-            F.col("l_shipdate").cast("date").alias("session"),
-            F.when(F.col("l_linestatus") == "F", "MATERIAL").otherwise("UNKNOWN").alias("impact"),
-            F.when(F.col("l_tax") >= 0.04, "EQ").otherwise("BE").alias("series"),
-            F.col("l_extendedprice").alias("amount"),
-        )
+    """Every line as an event of its supplier; returned, fully discounted, large lines have an impact."""
+    large = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.10) & (F.col("l_quantity") >= 49)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_suppkey").alias("entity"),
+        F.col("l_shipdate").cast("date").alias("session"),
+        F.when(~large, "NONE").when(F.col("l_linestatus") == "F", "MATERIAL").otherwise("UNKNOWN").alias("impact"),
+        F.when(F.col("l_tax") >= 0.04, "EQ").otherwise("BE").alias("series"),
+        F.col("l_extendedprice").alias("amount"),
     )
 
 
+def impact_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, session) of all events with an impact."""
+    return blocking_events(event_ledger(spark, sf_dir), ["MATERIAL", "UNKNOWN"])
+
+
 def groups_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return s.join(n, s.s_nationkey == n.n_nationkey).select(
