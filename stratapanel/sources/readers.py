@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratapanel.operators.quality import row_hashes
+
 # Column names of the two daily file layouts and of the event sources.
 OLD_COLUMNS = {"DATE1": "date", "SYMBOL": "symbol", "SERIES": "series", "OPEN_PRICE": "open", "HIGH_PRICE": "high",
                "LOW_PRICE": "low", "CLOSE_PRICE": "close", "TTL_TRD_QNTY": "volume", "TURNOVER_LACS": "turnover"}
@@ -93,13 +95,15 @@ def pick_canonical_file(audit: DataFrame) -> DataFrame:
         (~F.col("_b.mismatch")).alias("file_date_matches"), "candidate_files")
 
 
-def scan_headerless_membership(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def scan_headerless_membership(spark: SparkSession, path, *, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, issues) of one-column files named <group>_<code>.csv, one entity per line.
 
+    ``name`` derives the file's name from its path (``_metadata.file_path``) where it is not the last part.
+
     Blank, malformed and duplicated records are reported; duplicates stay members once.
     """
     raw = spark.read.text(path).select(
-        file_name(F.col("_metadata.file_path")).alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("line"))
+        (file_name(F.col("_metadata.file_path")) if name is None else name).alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("line"))
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
     rows = raw.select(
         "source_file", F.trim("line").alias("entity"),
@@ -152,12 +156,22 @@ def scan_json_events(spark: SparkSession, path, *, lines: bool = False) -> DataF
         day("exDate").alias("ex_date"), day("recDate").alias("record_date"), day("exDate").alias("session"))
 
 
-def file_inventory(spark: SparkSession, path, *, pattern: str = "*") -> DataFrame:
-    """Name, size, modification time and sha256 of every file; contents stay on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        file_name(F.col("path")).alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"))
+def file_inventory(spark: SparkSession, path, *, pattern: str = "*", name: Column | None = None) -> DataFrame:
+    """Size, modification time, lines and content hash of every text file that has a line.
+
+    Files of any size are read in splits: a file's hash combines the hashes of its lines, copies counted, so only their order
+    escapes it.  ``name`` derives the file's name from its path (``_metadata.file_path``).
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    meta, (one, two) = F.col("_metadata"), row_hashes(["value"])
+    named = file_name(meta.file_path) if name is None else name
+    per_file = lines.select(
+        named.alias("file"), meta.file_path.alias("_path"), meta.file_size.alias("size"), meta.file_modification_time.alias("modified"), one.alias("_h1"), two.alias("_h2"))
+    total = [F.sum(F.col(c).cast("decimal(38,0)")).alias(f"_s{c}") for c in ("_h1", "_h2")]
+    sums = per_file.groupBy("file", "_path").agg(
+        F.max("size").alias("size"), F.max("modified").alias("modified"), F.count(F.lit(1)).alias("rows"), *total, F.bit_xor("_h1").alias("_x1"), F.bit_xor("_h2").alias("_x2"))
+    body = F.concat_ws(":", *[F.col(c).cast("string") for c in ("rows", "_s_h1", "_s_h2", "_x1", "_x2")])
+    return sums.select("file", "size", "modified", "rows", F.sha2(body, 256).alias("sha256"))
 
 
 def inventory_changes(current: DataFrame, stored: DataFrame) -> DataFrame:

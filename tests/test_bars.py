@@ -108,10 +108,12 @@ def test_json_events_and_inventory(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps([record]))
     (r,) = rd.scan_json_events(spark, str(tmp_path / "e.json")).collect()
     assert str(r["ex_date"]) == "2024-08-05" and r["record_date"] is None
-    import hashlib
-
     inv = rd.file_inventory(spark, str(tmp_path))
-    assert inv.first()["sha256"] == hashlib.sha256((tmp_path / "e.json").read_bytes()).hexdigest()
+    before = inv.first()
+    assert before["rows"] == 1 and before["size"] == (tmp_path / "e.json").stat().st_size
+    (tmp_path / "e.json").write_text(json.dumps([record | {"subject": "Bonus 1:2"}]))
+    inv = rd.file_inventory(spark, str(tmp_path))
+    assert inv.first()["size"] == before["size"] and inv.first()["sha256"] != before["sha256"]
     gone = spark.createDataFrame([("old.json", "x"), ("e.json", "y")], "file string, sha256 string")
     assert {x["file"]: x["status"] for x in rd.inventory_changes(inv, gone).collect()} == {"old.json": "REMOVED", "e.json": "CHANGED"}
 
