@@ -1,18 +1,25 @@
 """Document likelihood under a word model that backs off to a subword lattice.
 
 Tokens are lower-cased words and one end per text.  With c(t) the count of a token among the
-training texts, N all of them and V distinct ones, the model's probability is
+training texts, N all of them and V distinct ones, the model's word probability is
 
     P(t) = (c(t) + (V + 1) b(t)) / (N + V + 1)
 
 b(end) is 1 / (V + 2); for a word, b is (V + 1) / (V + 2) times its lattice likelihood: the sum
 over all segmentations of the word into vocabulary pieces, closed by an end-of-word piece, found by
-a log-space forward recursion.  Words do not share pieces, so the document's marginal
-likelihood is the product over its tokens.  All these sum to one over all words, known or not.
+a log-space forward recursion.  Words do not share pieces, so a text's segmentations are those of its words.  All these sum
+to one over all words, known or not.
 
 The pieces are those of an existing vocabulary and the single bytes.  Their probabilities start
 from the vocabulary's scores (its ranks, by Zipf's law) and are fitted to the distinct training words by
 expectation maximisation: the posterior of every arc, from a forward and a backward pass.
+
+A text belongs to one of a few classes z (its language, say), whose word probabilities shrink to P:
+
+    q(t | z) = (c(t, z) + V(z) P(t)) / (N(z) + V(z))
+
+Inside a text words repeat: the token at place k + 1, seen n times before in the text, has probability
+(s q(t | z) + n) / (s + k) (a Polya urn).  The marginal likelihood of the text sums over its classes as well.
 """
 
 from __future__ import annotations
@@ -38,12 +45,16 @@ HELD_WORDS = 200_000
 
 @dataclass(frozen=True)
 class LatticeParams:
-    """``path``: vocabulary file.  ``frequent``: bound of the word table sent to every task; other words are joined."""
+    """``path``: vocabulary file.  ``frequent``: bound of the word table sent to every task; other words are joined.
+
+    ``classes`` bounds the values of the class column that count, the most frequent ones; ``urn`` is the strength s."""
 
     path: str
     rounds: int = 2
     frequent: int = 1 << 17
     frequent_bytes: int = 64
+    classes: int = 8
+    urn: float = 3000.0
 
 
 @functools.cache
@@ -175,28 +186,32 @@ class Lattice:
         return alpha[n] + self.log_stop
 
 
-def word_counts(texts: DataFrame, text_column: str) -> DataFrame:
-    """Counts of the words and, under the empty word, of the ends."""
+def word_counts(texts: DataFrame, classes: int) -> DataFrame:
+    """(word, c, by_class) from (class, text): counts of the words and, under the empty word, of the ends."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: list[Counter] = [Counter() for _ in range(classes)]
         for batch in batches:
-            for i, j, _, _ in pieces(batch.column(0)):
-                for text in batch.column(0)[i:j].to_pylist():
-                    held.update((text or b"").lower().split())
-                    held[b""] += 1
-                if len(held) > HELD_WORDS:
-                    yield _counted(held)
-                    held = Counter()
-        if held:
-            yield _counted(held)
-
-    binary = texts.select(F.col(text_column).cast("binary").alias("text"))
-    return binary.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            which = batch.column(0).to_pylist()
+            for i, j, _, _ in pieces(batch.column(1)):
+                for k, text in zip(which[i:j], batch.column(1)[i:j].to_pylist(), strict=True):
+                    held[k].update((text or b"").lower().split())
+                    held[k][b""] += 1
+                if sum(map(len, held)) > HELD_WORDS:
+                    yield from counted(held)
+                    held = [Counter() for _ in range(classes)]
+        yield from counted(held)
+
+    def counted(held):
+        for k, own in enumerate(held):
+            if own:
+                columns = [pa.array(list(own), pa.binary()), pa.array(np.full(len(own), k, np.int32)), pa.array(list(own.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "class", "c"])
+
+    rows = texts.mapInArrow(run, "word binary, class int, c bigint")
+    each = [F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
+    summed = rows.groupBy("word").agg(F.sum("c").alias("c"), *each)
+    return summed.select("word", "c", F.array(*(F.col(f"c{k}") for k in range(classes))).alias("by_class"))
 
 
 def fit(words: DataFrame, params: LatticeParams) -> tuple[np.ndarray, float]:
@@ -234,121 +249,168 @@ def fit(words: DataFrame, params: LatticeParams) -> tuple[np.ndarray, float]:
 
 
 def score(
-    docs: DataFrame, training, params: LatticeParams, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, training, params: LatticeParams, id_column: str = "doc_id", text_column: str = "text", class_column: str | None = None
 ) -> DataFrame:
     """Likelihood of every text; ``training`` is a condition that picks the texts to learn from.
 
     Returns id, training (boolean), n_tokens, n_known, train_tokens, base_score (add-one word model) and
-    score, both log10.  Null texts are empty: one end.  A null condition counts as false.  Repeated rows and
-    ids are scored row by row.  Without training texts words are scored by the lattice alone.  An empty table
-    gives an empty result.  Only the named columns are read.
+    score, both log10.  ``class_column`` names what the training texts are grouped by; it is not read from the texts that are
+    scored.  Null texts are empty: one end.  A null condition counts as false, a null or rare class as one more class.  Repeated
+    rows and ids are scored row by row.  Without training texts words are scored by the lattice alone.  An empty table gives an
+    empty result.  Only the named columns are read.
     """
     spark = docs.sparkSession
     learn = F.coalesce(training, F.lit(False))
-    words = materialize(word_counts(docs.where(learn), text_column))
-    train_tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    group = F.lit("") if class_column is None else F.coalesce(F.col(class_column).cast("string"), F.lit(""))
+    sizes = docs.where(learn).groupBy(group.alias("class")).count().orderBy(F.desc("count"), "class").limit(params.classes).collect()
+    names = [r["class"] for r in sizes]
+    number = F.coalesce(F.array_position(F.lit(names), group) - 1, F.lit(0)) if names else F.lit(0)
+    number = F.when(number < 0, F.lit(len(names))).otherwise(number).cast("int")
+    z = len(names) + 1
+    texts = docs.where(learn).select(number.alias("class"), F.col(text_column).cast("binary").alias("text"))
+    words = materialize(word_counts(texts, z))
+    at = lambda k: F.element_at("by_class", k + 1)
+    sums = [F.coalesce(F.sum(at(k)), F.lit(0)) for k in range(z)] + [F.count_if(at(k) > 0) for k in range(z)]
+    ends = [F.coalesce(F.sum(F.when(F.length("word") == 0, at(k))), F.lit(0)) for k in range(z)]
+    found = [int(x) for x in words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *sums, *ends).first()]
+    train_tokens, distinct = found[:2]
+    counts = _Counts(train_tokens, distinct, *(np.array(found[2 + k * z : 2 + (k + 1) * z], float) for k in range(3)))
     probability, stop = fit(words, params)
-    table = _frequent(words, params)
-    model = spark.sparkContext.broadcast((probability, stop, table, train_tokens, distinct))
-    path = params.path
+    model = spark.sparkContext.broadcast((probability, stop, _frequent(words, params), counts))
+    path, urn = params.path, params.urn
     kind = docs.schema[id_column].dataType.simpleString()
+    sum_names = [f"s{k}" for k in range(z)]
+    value_names = ["row", "id", "learned", "n_tokens", "n_known", "base", *sum_names]
 
     def scan(batches):
-        own_probability, own_stop, known, n_all, n_distinct = model.value
-        scorer = _Scorer(Lattice(vocabulary(path)[0], own_probability, own_stop), n_all, n_distinct)
-        names = list(known)
-        p = scorer.log10(names, np.array([known[w] for w in names], np.float64))
-        logs = {w: (a, math.log10(known[w] + 1)) for w, a in zip(names, p.tolist(), strict=True)}
-        get = logs.get
+        own_probability, own_stop, (keys, c, by_class), sizes = model.value
+        scorer = _Scorer(Lattice(vocabulary(path)[0], own_probability, own_stop), sizes)
+        q, log_c, index = scorer.shares(keys, c, by_class), np.log10(c + 1.0), {w: k for k, w in enumerate(keys)}
         for batch in batches:
             for i, j, _, _ in pieces(batch.column(3)):
                 part = batch.slice(i, j - i)
-                row, doc, learned, out = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), []
-                for r, d, is_learned, text in zip(row, doc, learned, part.column(3).to_pylist(), strict=True):
-                    tokens = (text or b"").lower().split()
-                    counted = Counter(tokens)
+                rows = part.column(0).to_numpy()
+                known, of_known, doc_known, rare, of_rare, doc_rare, tokens = [], [], [], [], [], [], []
+                for d, text in enumerate(part.column(3).to_pylist()):
+                    own = (text or b"").lower().split()
+                    tokens.append(len(own) + 1)
+                    counted = Counter(own)
                     counted[b""] = 1
-                    s = b = 0.0
-                    k = 0
                     for w, n in counted.items():
-                        got = get(w)
-                        if got is None:
-                            out.append((r, None, None, 0, 0, 0.0, 0.0, w, n))
+                        k = index.get(w)
+                        if k is None:
+                            rare.append(w)
+                            of_rare.append(n)
+                            doc_rare.append(d)
                         else:
-                            s += n * got[0]
-                            b += n * got[1]
-                            k += n
-                    # The row's own line has a key that no word has, as words hold no blank.
-                    out.append((r, d, is_learned, len(tokens) + 1, k, b, s, b" %d" % r, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields(part.schema), strict=True)], schema=pa.schema(fields(part.schema)))
-
-    def fields(schema):
-        return [
-            pa.field("row", pa.int64()), pa.field("id", schema.field(1).type), pa.field("learned", pa.bool_()), pa.field("n_tokens", pa.int64()),
-            pa.field("n_known", pa.int64()), pa.field("base", pa.float64()), pa.field("score", pa.float64()), pa.field("word", pa.binary()), pa.field("n", pa.int64()),
-        ]
+                            known.append(k)
+                            of_known.append(n)
+                            doc_known.append(d)
+                n, doc = np.array(of_known, np.int64), np.array(doc_known, np.int64)
+                gained = log_rising(urn * q[known], n) if known else np.zeros((0, z))
+                add = lambda v: np.bincount(doc, v, len(part))  # noqa: B023, E731
+                # A row's own line has a key that no word has, as words hold no blank.
+                keys_of = [b" %d" % r for r in rows.tolist()]
+                here = lambda a, t: pa.concat_arrays([a, pa.nulls(len(rare), t)])  # noqa: B023, E731
+                zero = lambda v, kind: pa.array(np.concatenate([v, np.zeros(len(rare))]).astype(kind))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, rows[np.array(doc_rare, np.int64)]])), here(part.column(1), part.schema.field(1).type), here(part.column(2), pa.bool_()),
+                        zero(tokens, np.int64), zero(add(n), np.int64), zero(add(n * log_c[known]), float), *(zero(add(gained[:, k]), float) for k in range(z)),
+                        pa.array([*keys_of, *rare], pa.binary()), pa.array(np.concatenate([np.zeros(len(rows)), of_rare]).astype(np.int64)),
+                    ],
+                    names=[*value_names, "word", "n"],
+                )
 
     def rest(batches):
-        own_probability, own_stop, _, n_all, n_distinct = model.value
-        scorer = _Scorer(Lattice(vocabulary(path)[0], own_probability, own_stop), n_all, n_distinct)
+        own_probability, own_stop, _, sizes = model.value
+        scorer = _Scorer(Lattice(vocabulary(path)[0], own_probability, own_stop), sizes)
         for batch in batches:
             n = batch.column("n").to_numpy()
             ask = np.flatnonzero(n > 0)
-            base, score_, known = (batch.column(c).to_numpy().copy() for c in ("base", "score", "n_known"))
+            base, known = (batch.column(c).to_numpy().copy() for c in ("base", "n_known"))
+            gained = np.stack([batch.column(c).to_numpy() for c in sum_names], axis=1)
             if len(ask):
                 encoded = batch.column("word").take(pa.array(ask)).dictionary_encode()
                 which = encoded.indices.to_numpy()
                 c = batch.column("c").fill_null(0).to_numpy()[ask]
-                of_word = np.zeros(len(encoded.dictionary))
-                of_word[which] = c
+                lists = batch.column("by_class").to_pylist()
+                per_class = np.array([lists[k] or [0] * z for k in ask.tolist()], float)
+                of_word, of_class = np.zeros(len(encoded.dictionary)), np.zeros((len(encoded.dictionary), z))
+                of_word[which], of_class[which] = c, per_class
+                q = scorer.shares(encoded.dictionary.to_pylist(), of_word, of_class)
                 base[ask] = n[ask] * np.log10(c + 1.0)
-                score_[ask] = n[ask] * scorer.log10(encoded.dictionary.to_pylist(), of_word)[which]
+                gained[ask] = log_rising(urn * q[which], n[ask])
                 known[ask] = np.where(c > 0, n[ask], 0)
-            columns = [batch.column("row"), batch.column("id"), batch.column("learned"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(score_)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "learned", "n_tokens", "n_known", "base", "score"])
+            columns = [batch.column(c) for c in ("row", "id", "learned", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.array(base), *(pa.array(gained[:, k]) for k in range(z))], names=value_names)
 
-    values = f"row bigint, id {kind}, learned boolean, n_tokens bigint, n_known bigint, base double, score double"
+    values = f"row bigint, id {kind}, learned boolean, n_tokens bigint, n_known bigint, base double, " + ", ".join(f"{c} double" for c in sum_names)
     lines = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), learn.alias("learned"), F.col(text_column).cast("binary").alias("text")
     ).mapInArrow(scan, f"{values}, word binary, n bigint")
-    joined = lines.join(words, "word", "left").select("row", "id", "learned", "n_tokens", "n_known", "base", "score", "word", "n", "c")
-    sums = joined.mapInArrow(rest, values).groupBy("row").agg(
-        F.max("id").alias(id_column), F.max("learned").alias("training"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base"), F.sum("score").alias("score"),
-    )
+    joined = lines.join(words, "word", "left").select(*value_names, "word", "n", "c", "by_class")
+    totals = joined.mapInArrow(rest, values).groupBy("row").agg(
+        F.max("id").alias(id_column), F.max("learned").alias("training"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", *sum_names))
+    )
     unit = math.log10(train_tokens + distinct + 1)
-    return sums.select(
-        id_column, "training", "n_tokens", "n_known", F.lit(int(train_tokens)).alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score",
+    prior = (counts.ends + 1) / (counts.ends.sum() + z)
+    part = F.array(*(F.col(c) + float(np.log(p)) for c, p in zip(sum_names, prior, strict=True)))
+    top = F.array_max(part)
+    mixed = top + F.log(F.aggregate(part, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    # The urn's denominator: the product of s, s + 1 ... s + n_tokens - 1, by Stirling's series.
+    stirling = lambda x: (x - 0.5) * F.log(x) - x + 1 / (12 * x) - 1 / (360 * x * x * x)
+    drawn = stirling(F.col("n_tokens") + F.lit(urn)) - stirling(F.lit(urn))
+    return totals.select(
+        id_column, "training", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), ((mixed - drawn) / math.log(10)).alias("score"),
     )
 
 
+def log_rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of a (a + 1) ... (a + n - 1) for each row of ``a``."""
+    out = np.log(a)
+    for i in range(1, min(64, int(n.max(initial=1)))):
+        on = np.flatnonzero(n > i)
+        out[on] += np.log(a[on] + i)
+    on = np.flatnonzero(n > 64)
+    if len(on):
+        stirling = lambda x: (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)
+        out[on] += stirling(a[on] + n[on, None]) - stirling(a[on] + 64)
+    return out
+
+
+@dataclass(frozen=True)
+class _Counts:
+    """Training tokens and distinct ones, in all and by class, and texts by class."""
+
+    tokens: int
+    distinct: int
+    by_class: np.ndarray
+    distinct_by_class: np.ndarray
+    ends: np.ndarray
+
+
 class _Scorer:
-    def __init__(self, lattice: Lattice, n_all: int, n_distinct: int):
-        self.lattice, self.n_all, self.v = lattice, float(n_all), float(n_distinct)
+    def __init__(self, lattice: Lattice, counts: _Counts):
+        self.lattice, self.counts = lattice, counts
 
-    def log10(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """log10 P of words (the empty one is the end) with their training counts."""
-        back = np.zeros(len(words))
-        size = 1 << 14
+    def shares(self, words: list[bytes], c: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+        """q(word | class) of words (the empty one is the end) with their training counts; at least 1e-300."""
+        v, n = float(self.counts.distinct), float(self.counts.tokens)
+        back, size = np.zeros(len(words)), 1 << 14
         for i in range(0, len(words), size):
             own = words[i : i + size]
-            p = np.exp(self.lattice.run(own)) * (self.v + 1) / (self.v + 2)
-            p[[k for k, w in enumerate(own) if not w]] = 1.0 / (self.v + 2)
+            p = np.exp(self.lattice.run(own)) * (v + 1) / (v + 2)
+            p[[k for k, w in enumerate(own) if not w]] = 1.0 / (v + 2)
             back[i : i + size] = p
-        unseen = np.log10((self.v + 1) / (self.n_all + self.v + 1))
-        with np.errstate(divide="ignore"):
-            direct = np.log10((c + (self.v + 1) * back) / (self.n_all + self.v + 1))
-        if np.isfinite(direct).all():
-            return direct
-        # Very long unseen words: their likelihood is below what a double holds, its logarithm is not.
-        for k in np.flatnonzero(~np.isfinite(direct)):
-            direct[k] = unseen + self.lattice.run([words[k]])[0] / math.log(10) + math.log10((self.v + 1) / (self.v + 2))
-        return direct
-
-
-def _frequent(words: DataFrame, params: LatticeParams) -> dict[bytes, int]:
-    """The most frequent words, ``frequent`` at most: those above a count that a histogram gives."""
+        whole = (c + (v + 1) * back) / (n + v + 1)
+        strength = np.maximum(self.counts.distinct_by_class, 1.0)
+        return np.maximum((by_class + strength * whole[:, None]) / (self.counts.by_class + strength), 1e-300)
+
+
+def _frequent(words: DataFrame, params: LatticeParams) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The most frequent words with their counts, ``frequent`` at most: those above a count that a histogram gives."""
     short = words.where(F.length("word") <= params.frequent_bytes)
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     rows = short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # a few hundred levels
@@ -358,6 +420,9 @@ def _frequent(words: DataFrame, params: LatticeParams) -> dict[bytes, int]:
         if total > params.frequent:
             break
         lowest = at
+    classes = words.select(F.max(F.size("by_class"))).first()[0] or 1
     if lowest is None:
-        return {}
-    return {bytes(w): c for w, c in short.where(level >= lowest).collect()}
+        return [], np.zeros(0), np.zeros((0, classes))
+    kept = short.where(level >= lowest).toArrow()
+    flat = kept["by_class"].combine_chunks().flatten().to_numpy().astype(float)
+    return kept["word"].to_pylist(), kept["c"].to_numpy().astype(float), flat.reshape(len(kept), classes)

@@ -54,7 +54,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lattice_lm")
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = lattice_lm.LatticeParams(path=vocabulary_path("piece_bpe_32k.model"))
-    out = lattice_lm.score(table(spark, sf_dir, "documents"), remainder(7) != 2, params)
+    out = lattice_lm.score(table(spark, sf_dir, "documents"), remainder(7) != 2, params, class_column="lang")
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
