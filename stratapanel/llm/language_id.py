@@ -36,26 +36,30 @@ class LanguageParams:
     temper: float = 0.2
     trust: float = 0.95
     strength: float = 20.0
-    undetermined: float = 1e-3
+    undetermined: float = 1e-4
     least: float = 0.5
     smoothing: float = 0.5
 
 
+#: Letters in lower case (all bytes above 127 count as letters); every other byte is a blank.
+_FOLDED = np.where((np.arange(256) > 127) | np.isin(np.arange(256), np.r_[65:91, 97:123]), lower_table(), 32).astype(np.uint32)
+
+
 def trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of a piece and the first of each text; trigrams do not cross texts."""
-    low = lower_table()[data].astype(np.uint32)
-    lengths = np.maximum(np.diff(offsets) - 2, 0)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    if not first[-1]:
-        return np.zeros(0, np.int64), first
+    """Hashed trigrams of a piece and the first of each text.
+
+    Only those with a letter in the middle count: numbers and signs are no evidence of a language.  Trigrams do not cross texts.
+    """
+    low = _FOLDED[data]
+    if len(low) < 3:
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     h = (low[:-2] | (low[1:-1] << np.uint32(8)) | (low[2:] << np.uint32(16))) * np.uint32(2654435761) >> np.uint32(32 - bits)
-    inside = np.ones(len(h), bool)
+    inside = low[1:-1] != 32
     for back in (1, 2):  # starts whose trigram would leave the text
         at = offsets[1:] - back
-        at = at[(at >= 0) & (at < len(h))]
-        inside[at] = False
-    # Texts below three bytes end within two bytes of the next one's start.
-    return h[inside].astype(np.int64), first
+        inside[at[(at >= 0) & (at < len(h))]] = False
+    before = np.concatenate([[0], np.cumsum(inside)])
+    return h[inside].astype(np.int64), before[np.minimum(offsets, len(h))]
 
 
 def _learn(docs: DataFrame, languages: list[str], params: LanguageParams) -> np.ndarray:

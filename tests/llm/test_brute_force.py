@@ -64,8 +64,8 @@ def test_lines(spark):
     for a in norm:
         for b in norm:
             if a < b and bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 3:
-                longer = max(len(norm[a]), len(norm[b]))
-                if edits(norm[a], norm[b]) <= math.floor(longer * 0.2 + 1e-9):
+                one, two = norm[a].split(), norm[b].split()
+                if edits(one, two) <= math.floor(max(len(one), len(two)) * 0.2 + 1e-9):
                     group[root(a)] = root(b)
     line_of = {v: k for k, v in norm.items()}
     seen, want = set(), {}
@@ -352,6 +352,16 @@ def test_lattice_query(spark, sf, texts):
         assert r["score"] < 0
 
 
+def test_trigrams():
+    texts = [b"", b"a", b"ab", b"a1b", b"Abcd", b"", b"xy", b"Hi, you 12"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    h, first = language_id.trigrams(np.frombuffer(b"".join(texts), np.uint8), offsets, 15)
+    for k, t in enumerate(texts):
+        t = bytes(c if chr(c).isalpha() else 32 for c in t.lower())
+        want = [((t[i] | t[i + 1] << 8 | t[i + 2] << 16) * 2654435761 % 2**32) >> 17 for i in range(len(t) - 2) if t[i + 1] != 32]
+        assert h[first[k] : first[k + 1]].tolist() == want
+
+
 def test_language(spark, sf):
     want = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
     out = rows(spark, sf, "op10_language_id")
