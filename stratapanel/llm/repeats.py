@@ -122,6 +122,13 @@ def _numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))
 
 
+def _slices(batches):
+    """Parts of a few rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), 128):
+            yield batch.slice(k, 128)
+
+
 def _anchor_table(numbered: DataFrame, params: RepeatParams) -> DataFrame:
     """(row, place, run, around) of all anchors; ``place`` holds the first string, the last one and the anchor."""
 
@@ -176,16 +183,20 @@ def _surroundings(numbered: DataFrame, chosen: DataFrame, params: RepeatParams)
     texts = _only(numbered.select("row", "text"), chosen.select("row").distinct())
 
     def cut(batches):
-        for batch in batches:
-            for raw, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
-                for f in found:
-                    lo, size, at = f["place"] >> 20, f["place"] >> 10 & 1023, f["place"] & 1023
-                    out.append((f["run"], f["around"], -at, size - at, raw[lo : lo + size + params.length]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=["run", "around", "first", "last", "text"],
-                )
+        for part in _slices(batches):
+            lists = part.column(1)
+            ends, values = lists.offsets.to_numpy(), lists.values
+            place, run, around = (values.field(k).to_numpy() for k in ("place", "run", "around"))
+            lo, size, at = place >> 20, place >> 10 & 1023, place & 1023
+            texts = []
+            for k, raw in enumerate(part.column(0)):
+                raw = raw.as_py()
+                texts += [raw[lo[x] : lo[x] + size[x] + params.length] for x in range(ends[k], ends[k + 1])]
+            own = slice(int(ends[0]), int(ends[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(run[own]), pa.array(around[own]), pa.array((-at[own]).astype(np.int32)), pa.array((size - at)[own].astype(np.int32)), pa.array(texts, pa.binary())],
+                names=["run", "around", "first", "last", "text"],
+            )
 
     return texts.join(lists, "row").select("text", "found").mapInArrow(cut, "run bigint, around bigint, first int, last int, text binary")
 
@@ -197,10 +208,15 @@ def _compared(around: DataFrame, params: RepeatParams) -> DataFrame:
     names = ["again", "run", "around", "first", "last", "string"]
 
     def taken_apart(run, members):
-        for c, a, b, text in members:
-            h = PrefixHash(np.frombuffer(text, np.uint8)).windows(params.length).view(np.int64)
-            for k, d in enumerate(range(a, b + 1)):
-                yield (True, run, c, d, d, int(h[k]))
+        """A batch for a few members at a time."""
+        for k in range(0, len(members), 64):
+            some = members[k : k + 64]
+            at = np.concatenate([np.arange(a, b + 1, dtype=np.int32) for _, a, b, _ in some])
+            sizes = [b - a + 1 for _, a, b, _ in some]
+            h = np.concatenate([PrefixHash(np.frombuffer(text, np.uint8)).windows(params.length) for *_, text in some])
+            n = len(at)
+            around = np.repeat(np.array([m[0] for m in some], np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, True)), pa.array(np.full(n, run)), pa.array(around), pa.array(at), pa.array(at), pa.array(h.view(np.int64))], names=names)
 
     def closed(run, members):
         if len(members) > 1:
@@ -212,26 +228,27 @@ def _compared(around: DataFrame, params: RepeatParams) -> DataFrame:
     def run(batches):
         at, members, large, out = None, [], False, []
 
-        def flush(limit):
+        def ready(limit):
             nonlocal out
             if len(out) > limit:
-                ready, out = out, []
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
+                rows, out = out, []
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for key, c, a, b, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != at:
-                    out.extend(taken_apart(at, members) if large else closed(at, members))
+                    if not large:
+                        out.extend(closed(at, members))
                     at, members, large = key, [], False
-                    yield from flush(20_000)
+                    yield from ready(20_000)
                 members.append((c, a, b, text))
                 if large or len(members) > params.group_limit:
                     large = True
-                    out.extend(taken_apart(at, members))
+                    yield from taken_apart(at, members)
                     members = []
-                    yield from flush(20_000)
-        out.extend(taken_apart(at, members) if large else closed(at, members))
-        yield from flush(0)
+        if not large:
+            out.extend(closed(at, members))
+        yield from ready(0)
 
     return around.repartition("run").sortWithinPartitions("run").mapInArrow(run, schema)
 
@@ -277,28 +294,30 @@ def remove_repeats(docs: DataFrame, params: RepeatParams | None = None, id_colum
     schema = f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
-    def finished(ids, texts, starts):
+    def finished(ids: pa.Array, texts: pa.Array, starts: list[list[tuple[int, int]]]):
         out = []
-        for raw, intervals in zip(texts, starts, strict=True):
-            raw = raw or b""
-            runs = _union([(s["lo"], s["hi"] + params.length - 1) for s in intervals or ()])
+        for text, intervals in zip(texts, starts, strict=True):
+            raw = text.as_py() or b""
+            runs = _union([(lo, hi + params.length - 1) for lo, hi in intervals])
             at, kept = 0, []
             for lo, hi in runs:
                 kept.append(raw[at:lo])
                 at = hi + 1
-            rest = b"".join([*kept, raw[at:]])
+            rest = b"".join([*kept, raw[at:]]) if kept else raw
             out.append((len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest()) + (rest,) * with_text)
         kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_text
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
 
     def untouched(batches):
-        for batch in batches:
-            yield finished(batch.column(0), batch.column(1).to_pylist(), [None] * len(batch))
+        for part in _slices(batches):
+            yield finished(part.column(0), part.column(1), [[]] * len(part))
 
     def cut(batches):
-        for batch in batches:
-            yield finished(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        for part in _slices(batches):
+            lists = part.column(2)
+            ends, lo, hi = lists.offsets.to_numpy(), lists.values.field("lo").to_numpy(), lists.values.field("hi").to_numpy()
+            starts = [list(zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield finished(part.column(0), part.column(1), starts)
 
     touched = numbered.mapInArrow(_chosen(spans, numbered, True), numbered.schema)
     others = numbered.mapInArrow(_chosen(spans, numbered, False), numbered.schema)
