@@ -42,7 +42,7 @@ class SeedParams:
     least_item: int = 5
     similarity: float = 0.8
     context: int = 64
-    filter_bits: int = 26
+    filter_bits: int = 24
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
