@@ -3,7 +3,7 @@
 A line is normalised to its lower-cased words.  Its SimHash takes, bit by bit, the weighted majority of its words' hashes; longer
 words weigh more, since they tell lines apart.  Lines whose fingerprints differ in at most ``distance`` bits agree in at
 least ``blocks - distance`` of the blocks into which the 64 bits are cut, so an equi-join on every such choice of blocks finds
-them all.  Pairs are verified by edit similarity and joined into groups; of each group the first
+them all.  Pairs are verified by the edit similarity of their words and joined into groups; of each group the first
 occurrence stays.
 """
 
@@ -41,25 +41,30 @@ def normalised(line: Column) -> Column:
 
 def _lines(numbered: DataFrame, params: LineParams) -> DataFrame:
     """(row, id, at, norm, line): the lines that can be duplicates; ``line`` is the hash of the normalised form."""
-    split = numbered.select("row", "id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    norm = split.select("row", "id", "at", normalised(F.col("raw")).alias("norm"))
+    # Normalised inside the generator: as a column it would be worked out anew wherever it is used.
+    norm = numbered.select("row", "id", F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "norm"))
     spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
     return norm.where((F.length("norm") > 0) & (spaces >= params.least_words - 1)).withColumn("line", F.xxhash64("norm"))
 
 
 def _fingerprints(lines: DataFrame, params: LineParams) -> DataFrame:
-    """Adds the fingerprint ``fp`` in place of the text; two bits share a sum, one in each half."""
-    words = lines.select("row", "id", "at", "line", F.explode(F.split("norm", " ")).alias("w"))
+    """Adds the fingerprint ``fp`` in place of the text; four bits share a sum, in lanes of 16 bits.
+
+    A weight is at most 16, so lanes hold lines of 2,047 heavy words; in longer lines every word weighs 1, up to 32,767 words, beyond
+    which lanes may run over and a fingerprint says less (equal lines still have equal ones).
+    """
+    # Counted below the generator; beside it, the words would be counted anew for each of them.
+    sized = lines.select("row", "id", "at", "line", "norm", F.size(F.split("norm", " ")).alias("words"))
+    words = sized.select("row", "id", "at", "line", "words", F.explode(F.split("norm", " ")).alias("w"))
     size = F.least(F.length("w"), F.lit(params.heaviest))
-    hashed = words.select("row", "id", "at", "line", F.xxhash64("w").alias("h"), (size * size).cast("long").alias("n"))
-    halves = F.lit(0x0000000100000001).cast("long")
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(halves) * F.col("n")).alias(f"s{k}") for k in range(32)]
+    weight = F.when(F.col("words") > 2047, 1).otherwise(F.greatest(F.lit(1), F.ceil(size * size * (16 / params.heaviest**2))))
+    hashed = words.select("row", "id", "at", "line", F.xxhash64("w").alias("h"), weight.cast("long").alias("n"))
+    lanes = F.lit(0x0001000100010001).cast("long")
+    sums = [F.try_sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes) * F.col("n")).alias(f"s{k}") for k in range(16)]
     counted = hashed.groupBy("row", "id", "at", "line").agg(F.sum("n").alias("n"), *sums)
-    low = lambda k: F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = lambda k: F.shiftrightunsigned(f"s{k}", 32)
-    bit = lambda k, c: F.when(c * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    bits = [bit(k, low(k)) for k in range(32)] + [bit(k + 32, high(k)) for k in range(32)]
-    return counted.select("row", "id", "at", "line", reduce(Column.bitwiseOR, bits).alias("fp"))
+    lane = lambda k: F.shiftrightunsigned(f"s{k % 16}", 16 * (k // 16)).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    bit = lambda k: F.when(lane(k) * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return counted.select("row", "id", "at", "line", reduce(Column.bitwiseOR, [bit(k) for k in range(64)]).alias("fp"))
 
 
 def _blocks(params: LineParams) -> list[list[tuple[int, int]]]:
@@ -69,18 +74,34 @@ def _blocks(params: LineParams) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(cut, params.blocks - params.distance)]
 
 
-def _pairs(nodes: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) of lines within the distance."""
+def _keyed(nodes: DataFrame, params: LineParams) -> DataFrame:
+    """(line, fp, key) for every choice of blocks; the key holds the choice and the bits of its blocks."""
     keys = []
     for number, choice in enumerate(_blocks(params)):
         key = F.lit(number).cast("long")
         for first, size in choice:
             key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         keys.append(key)
-    keyed = nodes.select("line", "fp", F.explode(F.array(*keys)).alias("key"))
-    one, two = keyed.alias("one"), keyed.alias("two")
-    near = (F.col("one.line") < F.col("two.line")) & (F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= params.distance)
-    return one.join(two, (F.col("one.key") == F.col("two.key")) & near).select(F.col("one.line").alias("a"), F.col("two.line").alias("b")).distinct()
+    return nodes.select("line", "fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def _near(one: str, two: str, params: LineParams) -> Column:
+    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= params.distance
+
+
+def _led(keyed: DataFrame, params: LineParams) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest line and the lines near it."""
+    leader = keyed.groupBy("key").agg(F.min(F.struct("line", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first.*")
+    found = keyed.join(leader.select("key", F.col("line").alias("a"), F.col("fp").alias("afp")), "key")
+    return found.where((F.col("a") != F.col("line")) & _near("fp", "afp", params)).select("a", F.col("line").alias("b")).distinct()
+
+
+def _apart(keyed: DataFrame, roots: DataFrame, params: LineParams) -> DataFrame:
+    """Pairs (a, b) within the distance whose lines are not connected yet."""
+    named = keyed.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", "fp", F.coalesce("root", "line").alias("root"))
+    one, two = named.alias("one"), named.alias("two")
+    new = (F.col("one.line") < F.col("two.line")) & (F.col("one.root") != F.col("two.root")) & _near("one.fp", "two.fp", params)
+    return one.join(two, (F.col("one.key") == F.col("two.key")) & new).select(F.col("one.line").alias("a"), F.col("two.line").alias("b")).distinct()
 
 
 def _slot(hashed: str) -> Column:
@@ -93,18 +114,35 @@ def _thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_slot", _slot(key)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs whose texts are alike: 1 - edits / longer length is at least ``similarity``."""
+def _word_letters(norm: Column) -> Column:
+    """One letter (of 20,000, by a hash) for each word, so that the edit distance counts words."""
+    letter = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00)
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), letter), "")), "UTF-16BE")
+
+
+def _alike(pairs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
+    """The pairs whose texts are alike: 1 - edited words / words of the longer one is at least ``similarity``."""
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
     texts = _thinned(lines.select("line", "norm"), ends, "line").join(ends, "line", "left_semi").dropDuplicates(["line"])
-    texts = materialize(texts)
-    left, right = (texts.select(F.col("line").alias(x), F.col("norm").alias(f"t{x}")) for x in "ab")
+    coded = materialize(texts.select("line", _word_letters(F.col("norm")).alias("t")))
+    left, right = (coded.select(F.col("line").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    longer = F.greatest(F.length("ta"), F.length("tb"))
-    most = both.withColumn("most", F.floor(longer * (1 - params.similarity) + 1e-9).cast("int")).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
+    most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - params.similarity) + 1e-9).cast("int")
+    near = both.withColumn("most", most).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
     # A narrow band first: most pairs need no more, and it keeps very long lines cheap.
-    alike = F.expr("levenshtein(ta, tb, cast(most / 16 as int)) >= 0 or levenshtein(ta, tb, most) >= 0")
-    return most.where(alike).select("a", "b")
+    return materialize(near.where(F.expr("levenshtein(ta, tb, cast(most / 16 as int)) >= 0 or levenshtein(ta, tb, most) >= 0")).select("a", "b"))
+
+
+def _connected(nodes: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
+    """(node, root) as all alike pairs within the distance connect the lines.
+
+    Lines are first compared with the smallest line of each of their buckets; after that only pairs are made whose lines
+    are not connected yet.  So a large group of like lines does not give all its pairs.
+    """
+    keyed = _keyed(nodes, params)
+    first = _alike(materialize(_led(keyed, params)), lines, params)
+    second = _alike(materialize(_apart(keyed, components(first), params)), lines, params)
+    return components(first.union(second))
 
 
 def removed_lines(numbered: DataFrame, params: LineParams) -> DataFrame:
@@ -113,8 +151,7 @@ def removed_lines(numbered: DataFrame, params: LineParams) -> DataFrame:
     found = materialize(_fingerprints(lines, params))
     first = F.min(F.struct("id", "row", "at")).alias("first")
     distinct = materialize(found.groupBy("line").agg(F.count("*").alias("n"), first, F.min("fp").alias("fp")))
-    pairs = materialize(_pairs(distinct.select("line", "fp"), params))
-    roots = components(_verified(pairs, lines, params)).select(F.col("node").alias("line"), "root")
+    roots = _connected(distinct.select("line", "fp"), lines, params).select(F.col("node").alias("line"), "root")
     named = distinct.join(roots, "line", "left").select("line", "n", "first", F.coalesce("root", "line").alias("root"))
     groups = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("keep")).where("n > 1")
     members = named.join(groups.select("root", "keep"), "root").select("line", "keep")
