@@ -3,7 +3,7 @@
 A mask is a short pattern over consecutive tokens; only its marked positions are hashed, so a
 substituted token at an open position leaves the seed unchanged.  Seeds of the benchmark and of the
 training texts meet in an equi-join.  Around every hit the two token sequences are laid on the hit's
-diagonal and the best stretch is found with +1 for an equal token and a penalty for a substituted one.
+diagonal and the longest stretch with the wanted share of equal tokens is found from prefix sums.
 """
 
 from __future__ import annotations
@@ -31,13 +31,14 @@ class SeedParams:
     """Masks, and what counts as a leak.
 
     A leak is a stretch of at least ``least_tokens`` tokens (or the whole item, if it is shorter but has
-    ``least_item`` tokens) of which a share of ``similarity`` is equal.  Items shorter than a mask are
-    looked up by a full mask of their own length.  ``context`` tokens around a run of hits are kept for
+    ``least_item`` tokens) of which a share of ``similarity`` is equal.  With a share of 0.8 the four masks hit
+    every such stretch of 7 tokens or more, wherever its tokens are substituted.  Items shorter than the longest mask are
+    also looked up by masks that leave out one of their tokens.  ``context`` tokens around a run of hits are kept for
     the verification; it bounds how much of a longer stretch is measured, not what is found.
     ``filter_bits`` bounds the bit table that every task holds: it only thins out what is shuffled.
     """
 
-    masks: tuple[str, ...] = ("1101011", "1110011", "1011101")
+    masks: tuple[str, ...] = ("1101011", "1110011", "1011101", "111011")
     least_tokens: int = 13
     least_item: int = 5
     similarity: float = 0.8
@@ -66,6 +67,14 @@ def seeds_of(tokens: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarr
     return at, mix(h[at])
 
 
+def masks_of(n: int, params: SeedParams) -> list[str]:
+    """Masks for an item of n tokens; for one shorter than the longest mask also those with any one token left out."""
+    fit = [m for m in params.masks if len(m) <= n]
+    if n >= max(map(len, params.masks)):
+        return fit
+    return list(dict.fromkeys([*fit, "1" * max(1, n - 1), *("1" * k + "0" + "1" * (n - k - 1) for k in range(1, n - 1))]))
+
+
 def _benchmark(items: DataFrame, id_column: str, text_column: str, params: SeedParams) -> DataFrame:
     """One row for each item with tokens: item, tokens, and its seeds with their positions."""
     kind = items.schema[id_column].dataType.simpleString()
@@ -79,8 +88,7 @@ def _benchmark(items: DataFrame, id_column: str, text_column: str, params: SeedP
                     own = tokens[owner == k]
                     if len(own) < params.least_item:
                         continue
-                    masks = [m for m in params.masks if len(m) <= len(own)] or ["1" * len(own)]
-                    found = [seeds_of(own, np.zeros(len(own), np.int64), m) for m in masks]
+                    found = [seeds_of(own, np.zeros(len(own), np.int64), m) for m in masks_of(len(own), params)]
                     at, seed = (np.concatenate([f[x] for f in found]) for x in (0, 1))
                     rows.append((ids[k], own.view(np.int64), seed.view(np.int64), at))
                 if rows:
@@ -96,7 +104,7 @@ def _training_hits(docs: DataFrame, id_column: str, text_column: str, params: Se
     """Runs of positions whose seeds may be in the benchmark, each with its tokens and seeds."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    masks = [*params.masks, *("1" * n for n in short)]
+    masks = list(dict.fromkeys([*params.masks, *(m for n in short for m in masks_of(n, params))]))
     schema = f"row bigint, doc {kind}, run int, first bigint, tokens array<bigint>, seeds array<bigint>, at array<bigint>"
 
     def run(batches):
@@ -148,21 +156,32 @@ def best_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
     return start, end, int(np.count_nonzero(equal[start:end]))
 
 
+def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """Start, end and number of equal tokens of the longest stretch of an aligned pair with a share of ``similarity`` equal; the first of several."""
+    value = np.where(equal, round(1000 * (1 - similarity)), -round(1000 * similarity))
+    sums = np.concatenate([[0], np.cumsum(value)])
+    # The first start whose sum is not above that of the end: running minima only fall, so it is searched for among them.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(np.arange(len(sums)) - starts))
+    start = int(starts[end])
+    return start, end, int(np.count_nonzero(equal[start:end]))
+
+
 def leaks(
     docs: DataFrame, items: DataFrame, params: SeedParams | None = None, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text"
 ) -> DataFrame:
     """Pairs of a document row and a benchmark item that share a stretch of tokens.
 
     Returns row (number of the document's row within this call), the document's id, the item's id, start (token
-    number in the document), n_tokens and n_equal of the best stretch.  Null and empty texts have no tokens and no leaks.  Items that
+    number in the document), n_tokens and n_equal of the longest stretch (over several diagonals: the one with most equal tokens).  Null and empty texts have no tokens and no leaks.  Items that
     repeat each give their own pair; repeated documents are found row by row.  Null ids are kept.  Empty tables give
     no pairs.  Other columns are ignored.
     """
     params = params or SeedParams()
     bench = materialize(_benchmark(items, item_column, text_column, params).withColumn("bench", F.monotonically_increasing_id()))
     seeds = bench.select("bench", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("at").alias("bench_at"))).alias("s")).select("bench", "s.seed", "s.bench_at")
-    shortest = min(map(len, params.masks))
-    short = [r[0] for r in bench.where(F.size("item_tokens") < shortest).select(F.size("item_tokens")).distinct().collect()]  # lengths below a mask's
+    widest = max(map(len, params.masks))
+    short = [r[0] for r in bench.where(F.size("item_tokens") < widest).select(F.size("item_tokens")).distinct().collect()]  # lengths below a mask's
     bits, table = bit_table(seeds, F.col("seed"), params.filter_bits)
     runs = materialize(_training_hits(docs, id_column, text_column, params, sorted(short), bits, table))
     hits = runs.select("row", "run", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("at").alias("doc_at"))).alias("s")).select("row", "run", "s.seed", "s.doc_at")
@@ -178,8 +197,8 @@ def leaks(
             for k, (row, doc, no, item, first, shift) in enumerate(zip(*columns, strict=True)):
                 a, b = texts[k].values.to_numpy(), wanted[k].values.to_numpy()
                 lo, hi = max(0, shift), min(len(a), shift + len(b))
-                start, end, same = best_stretch(a[lo:hi] == b[lo - shift : hi - shift], params.similarity)
-                if end - start >= min(params.least_tokens, len(b)) and same >= params.similarity * (end - start):
+                start, end, same = longest_stretch(a[lo:hi] == b[lo - shift : hi - shift], params.similarity)
+                if end - start >= min(params.least_tokens, len(b)):
                     rows.append((row, doc, no, item, first + lo + start, end - start, same))
             if rows:
                 kinds = [pa.int64(), batch.schema.field("doc").type, pa.int64(), batch.schema.field("item").type, *[pa.int64()] * 3]

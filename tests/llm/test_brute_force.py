@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -399,3 +400,36 @@ def test_pipeline(spark, sf, texts):
     assert not any(x in r["text"] for r in left.values() for x in items)
     assert all(r["n_chars"] == len(r["text"]) for r in left.values())
     assert {r["doc_id"] for r in c.run(spark, sf).collect()} == set(left)
+
+
+def test_longest_stretch():
+    random.seed(6)
+    for _ in range(2000):
+        equal = np.array(random.choices([True, False], [random.choice([3, 8]), 1], k=random.randint(0, 40)), bool)
+        fits = [b - a for a in range(len(equal) + 1) for b in range(a, len(equal) + 1) if 5 * int(equal[a:b].sum()) >= 4 * (b - a)]
+        start, end, same = decontaminate.longest_stretch(equal, 0.8)
+        assert end - start == max(fits) and same == equal[start:end].sum() and 5 * same >= 4 * (end - start)
+
+
+def test_leaks_with_substitutions_anywhere(spark):
+    """Every way to substitute a fifth of a short item's tokens, those near its ends among them; one more is no leak."""
+    cases, items, docs, want = [(5, 1), (6, 1), (7, 1), (8, 1), (10, 2), (13, 1), (13, 2), (15, 2), (15, 3)], [], [], set()
+    for k, n in enumerate(sorted({n for n, _ in cases})):
+        items.append((n, " ".join(f"t{k}x{i}" for i in range(n))))
+    for n, x in items:
+        most = n // 5
+        for count in (*{c for m, c in cases if m == n}, most + 1):
+            for places in itertools.combinations(range(n), count):
+                if count > most and len(docs) % 7:
+                    docs.append((len(docs), ""))
+                    continue
+                w = x.split()
+                for p in places:
+                    w[p] = f"other{p}"
+                # A stretch of 13 tokens or more may do without a substituted end.
+                sums = [0, *itertools.accumulate(-4 if p in places else 1 for p in range(n))]
+                if any(sums[b] >= sums[a] for a in range(n + 1) for b in range(a + min(13, n), n + 1)):
+                    want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["before"] * 3 + w + ["after"] * 3)))
+    out = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == want
