@@ -29,9 +29,12 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``languages`` bounds the classes: the most often declared ones; ``bits`` the trigram table."""
+    """``languages`` bounds the memory for classes (128 KB each): the most often declared ones.  Rows that declare a further one keep it.
 
-    languages: int = 32
+    ``bits`` bounds the trigram table.
+    """
+
+    languages: int = 256
     bits: int = 15
     temper: float = 0.2
     trust: float = 0.95
@@ -90,8 +93,9 @@ def _learn(docs: DataFrame, languages: list[str], params: LanguageParams) -> np.
 
 def _counts_of(rows: DataFrame, key: str, languages: list[str]) -> DataFrame:
     """Declared languages of each key, as an array in the order of ``languages``."""
-    each = F.array(*(F.sum(F.when(F.col("declared") == name, 1.0).otherwise(0.0)) for name in languages))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(each.alias(f"{key}_counts"))
+    counted = rows.where(F.col(key).isNotNull() & F.col("declared").isin(languages)).groupBy(key, "declared").agg(F.count("*").cast("double").alias("n"))
+    known = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("declared", "n"))).alias("m"))
+    return known.select(key, F.transform(F.lit(languages), lambda name: F.coalesce(F.try_element_at("m", name), F.lit(0.0))).alias(f"{key}_counts"))
 
 
 def identify(
@@ -106,7 +110,8 @@ def identify(
     """Per row: id, language, confidence and keep.
 
     A missing or null piece of evidence has no say; so a null or empty text is judged by its declaration and priors.  Declared
-    languages are compared by their lower-cased part before ``-`` or ``_``; rare ones beyond the bound are no evidence.
+    languages are compared by their lower-cased part before ``-`` or ``_``.  A row that declares one beyond the bound keeps
+    it, with ``trust`` as its confidence: no class can speak for or against it.
     Repeated rows are judged row by row and null ids kept; ties go to the language declared more often.  Without any
     declared language all rows are undetermined.  An empty table gives an empty result.
     """
@@ -148,9 +153,9 @@ def identify(
     keyed = rows.withColumn("suffix_key", F.coalesce("suffix", alone)).withColumn("host_key", F.coalesce("host", alone))
     by_suffix, by_host = (_counts_of(rows, k, languages).withColumnRenamed(k, f"{k}_key") for k in ("suffix", "host"))
     joined = keyed.join(by_suffix, "suffix_key", "left").join(by_host, "host_key", "left")
-    own = F.array(*(F.when(F.col("declared") == n, 1.0).otherwise(0.0) for n in languages))
-    zeros = F.array(*(F.lit(0.0) for _ in languages))
-    base = F.array(*(F.lit(p) for p in overall))
+    names = F.lit(languages)
+    own = F.transform(names, lambda n: F.when(F.col("declared") == n, 1.0).otherwise(0.0))
+    zeros, base = F.lit([0.0] * len(languages)), F.lit(overall)
     others = lambda c: F.coalesce(F.zip_with(c, own, lambda x, y: F.greatest(x - y, F.lit(0.0))), zeros)
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     k = F.lit(params.strength)
@@ -159,14 +164,17 @@ def identify(
     priors = leveled.select("id", "fit", "declared", "h", shrink(F.col("s"), base).alias("sp")).select("id", "fit", "declared", shrink(F.col("h"), F.col("sp")).alias("prior"))
     wrong = (1.0 - params.trust) / max(1, len(languages) - 1)
     listed = F.col("declared").isin(languages)
-    says = F.array(*(F.when(F.col("declared") == n, params.trust).when(listed, wrong).otherwise(1.0) for n in languages))
+    says = F.transform(names, lambda n: F.when(F.col("declared") == n, params.trust).when(listed, wrong).otherwise(1.0))
     evidence = F.zip_with(F.zip_with(F.col("prior"), says, lambda p, s: F.log(p * s * F.lit(1.0 - params.undetermined))), F.slice("fit", 1, len(languages)), lambda a, b: a + b)
     nowhere = F.log(F.lit(params.undetermined) * F.when(listed, 1.0 / len(languages)).otherwise(1.0)) + F.element_at("fit", -1)
-    scored = priors.select("id", F.concat(evidence, F.array(nowhere)).alias("e")).select("id", "e", F.array_max("e").alias("top"))
+    beyond = F.when(~listed & (F.col("declared") != UNDETERMINED), F.col("declared"))
+    scored = priors.select("id", F.concat(evidence, F.array(nowhere)).alias("e"), beyond.alias("beyond")).select("id", "e", "beyond", F.array_max("e").alias("top"))
     best = F.element_at(F.lit([*languages, UNDETERMINED]), F.array_position("e", F.col("top")).cast("int"))
     share = F.lit(1.0) / F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    found = scored.select(F.col("id").alias(id_column), best.alias("language"), share.alias("confidence"))
-    return found.withColumn("keep", (F.col("language") != UNDETERMINED) & (F.col("confidence") >= params.least))
+    confidence = F.when(F.col("beyond").isNotNull(), F.lit(params.trust)).otherwise(share)
+    found = scored.select(F.col("id").alias(id_column), F.coalesce("beyond", best).alias("language"), confidence.alias("confidence"), "beyond")
+    keep = F.col("beyond").isNotNull() | ((F.col("language") != UNDETERMINED) & (F.col("confidence") >= params.least))
+    return found.withColumn("keep", keep).drop("beyond")
 
 
 def suffix_of(host: Column) -> Column:

@@ -433,3 +433,24 @@ def test_leaks_with_substitutions_anywhere(spark):
                 docs.append((len(docs), " ".join(["before"] * 3 + w + ["after"] * 3)))
     out = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == want
+
+
+def test_many_languages(spark):
+    """Each of 40 declared languages is a class; rows that declare one beyond the bound keep it and stay."""
+    from pyspark.sql import functions as F
+
+    random.seed(12)
+    data = []
+    for k in range(40):
+        letters = random.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        for i in range(10 if k else 20):
+            text = " ".join("".join(random.choices(letters, k=5)) for _ in range(40))
+            data.append((100 * k + i, text, f"x{k}" if i else None, f"h{k}.org"))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, host string")
+    for bound in (language_id.LanguageParams(), language_id.LanguageParams(languages=5)):
+        out = {r["doc_id"]: r for r in language_id.identify(docs, bound, declared=F.col("lang"), host=F.col("host")).collect()}
+        for i, _, lang, _ in data:
+            if lang or bound.languages > 40:
+                assert out[i]["language"] == f"x{i // 100}" and out[i]["keep"]
+    kept = language_id.keep_identified(docs, language_id.LanguageParams(languages=5), declared=F.col("lang"), host=F.col("host"))
+    assert kept.where("lang is not null").count() == sum(lang is not None for _, _, lang, _ in data)
