@@ -17,6 +17,11 @@ than 2**19 different fingerprints, however large the input.
 enough for distances at which blocks no longer guarantee a meeting.  Then ``samples`` fixed random choices of
 ``sample_bits`` bits take the place of the blocks: a pair that differs in a share q of the bits meets with probability
 1 - (1 - (1 - q)**sample_bits)**samples.
+
+With a ``similarity`` fingerprints only propose pairs: nodes are the distinct sets of shingles, and a pair is linked if the Jaccard
+similarity of its sets is high enough.  Buckets of up to ``small`` nodes give all their pairs within the distance.  Larger ones
+are compared with one leader each for ``rounds`` rounds, with another leader every time; then all pairs whose nodes are not connected yet
+are compared, in units of about twice ``bucket_limit`` nodes, so that no bucket is held whole and no meeting is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.llm.arrays import U64, mix, pieces
 from stratapanel.llm.components import components
+from stratapanel.llm.line_dedup import _thinned
 from stratapanel.runtime import materialize
 
 
@@ -48,25 +54,36 @@ class SimHashParams:
     words: int = 1
     sample_bits: int = 0
     samples: int = 0
+    similarity: float = 0.0
+    small: int = 128
+    rounds: int = 3
 
 
-#: Texts whose five-word shingles are alike (cosine of 0.8, so up to 52 of 256 bits); for sets, a Jaccard similarity of 0.8 is
-#: a cosine of 0.89 and differs in 39 bits on average.
-LIKE_TEXTS = SimHashParams(shingle=5, distance=52, words=4, sample_bits=18, samples=56)
+#: Texts whose sets of five-word shingles have a Jaccard similarity of 0.8: a cosine of 0.89, so 39 of 256 bits differ on average.
+LIKE_TEXTS = SimHashParams(shingle=5, distance=64, words=4, sample_bits=18, samples=96, similarity=0.8)
 
 
-def fingerprint(raw: bytes, params: SimHashParams) -> np.ndarray:
-    """Majority bits of the shingles' XXH64 (and of its further mixes); 0 without words, ties give 0."""
+def shingles(raw: bytes, params: SimHashParams) -> np.ndarray:
+    """XXH64 of every shingle of a text; none without words."""
     words = raw.lower().split()
     if not words:
-        return np.zeros(params.words, U64)
+        return np.zeros(0, U64)
     size = min(params.shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
-    n, seed, digest = len(starts), params.seed, xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), U64, n)
-    out = np.zeros(params.words, U64)
+    seed, digest = params.seed, xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), U64, len(starts))
+
+
+def set_number(h: np.ndarray) -> int:
+    """One number for each set of shingles (sorted)."""
+    return xxhash.xxh64_intdigest(h.tobytes(), 7)
+
+
+def fingerprint(h: np.ndarray, params: SimHashParams) -> np.ndarray:
+    """Majority bits of the shingles' XXH64 (and of its further mixes); 0 without words, ties give 0."""
+    n, out = len(h), np.zeros(params.words, U64)
     for k in range(params.words):
         own = mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
         counts = np.zeros(64, np.int64)
@@ -96,9 +113,13 @@ def fingerprints(docs: DataFrame, params: SimHashParams, id_column: str = "doc_i
     def run(batches):
         for batch in batches:
             for i, j, _, _ in pieces(batch.column(1)):
-                found = np.array([fingerprint(t or b"", params) for t in batch.column(1)[i:j].to_pylist()], U64).reshape(-1, params.words)
+                sets = [shingles(t or b"", params) for t in batch.column(1)[i:j].to_pylist()]
+                if params.similarity:
+                    sets = [np.unique(h) for h in sets]
+                found = np.array([fingerprint(h, params) for h in sets], U64).reshape(-1, params.words)
+                node = np.array([set_number(h) for h in sets], U64) if params.similarity else node_of(found)
                 columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(params.words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node_of(found).view(np.int64)), *columns], names=["id", "node", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node.view(np.int64)), *columns], names=["id", "node", *names])
 
     schema = f"id {kind}, node bigint, " + ", ".join(f"{n} bigint" for n in names)
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
@@ -128,9 +149,7 @@ def first_masks(params: SimHashParams) -> np.ndarray:
 
 
 def second_masks(params: SimHashParams, mask: np.ndarray) -> np.ndarray:
-    """For the nodes of a bucket that agree under ``mask``."""
-    if params.samples:
-        return sampled(params.words, params.sample_bits, params.samples, 2)
+    """For the nodes of a bucket that agree under ``mask``; blocks only, since sampled choices would lose pairs a second time."""
     open_bits = tuple(p for p in range(64) if not int(mask[0]) >> p & 1)
     return np.array(choices(open_bits, params.second_blocks, params.distance), U64)[:, None]
 
@@ -241,25 +260,177 @@ def _search(buckets: DataFrame, params: SimHashParams, limit: int | None) -> Dat
     return buckets.repartition("key").sortWithinPartitions("key", *names).mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, params: SimHashParams) -> DataFrame:
-    """Edges (a, b) between nodes that connect the distinct fingerprints f0 ... as all pairs within the distance do."""
-    names = names_of(params)
+def _dealt(nodes: DataFrame, columns: list[str], params: SimHashParams) -> DataFrame:
+    """(key, choice, columns) of every node for every choice of bits."""
     signed = lambda m: F.lit(int(m) - (1 << 64) if int(m) >> 63 else int(m)).cast("long")
     keys = [
-        F.struct(F.lit(k).alias("choice"), F.xxhash64(F.lit(k), *(F.col(n).bitwiseAND(signed(m)) for n, m in zip(names, row, strict=True))).alias("key"))
+        F.struct(F.lit(k).alias("choice"), F.xxhash64(F.lit(k), *(F.col(n).bitwiseAND(signed(m)) for n, m in zip(names_of(params), row, strict=True))).alias("key"))
         for k, row in enumerate(first_masks(params).tolist())
     ]
-    buckets = nodes.select(F.explode(F.array(*keys)).alias("c"), *names).select("c.key", "c.choice", *names)
+    return nodes.select(F.explode(F.array(*keys)).alias("c"), *columns).select("c.key", "c.choice", *columns)
+
+
+def links(nodes: DataFrame, params: SimHashParams) -> DataFrame:
+    """Edges (a, b) between nodes that connect the distinct fingerprints f0 ... as all pairs within the distance do."""
+    names = names_of(params)
+    buckets = _dealt(nodes, names, params)
     first = materialize(_search(buckets, params, params.bucket_limit))
     again = first.where("again").select("key", F.lit(0).alias("choice"), *names)
     second = _search(again, params, None)
     return first.where("not again").select("a", "b").union(second.where("not again").select("a", "b"))
 
 
+def _pairs_within(fps: np.ndarray, choice: np.ndarray, size: np.ndarray, params: SimHashParams):
+    """Places (x, y) of the pairs within the distance inside buckets that lie one after the other; each pair under its first common choice only."""
+    masks = first_masks(params)
+
+    def chosen(x, y):
+        near = hamming(fps[x], fps[y]) <= params.distance
+        x, y = x[near], y[near]
+        first = np.full(len(x), -1)
+        for k, m in enumerate(masks):
+            first[(first < 0) & ~((fps[x] ^ fps[y]) & m).any(axis=1)] = k
+        own = first == choice[x]
+        return x[own], y[own]
+
+    heads, bucket = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    small = size <= 8
+    for step in range(1, int(size[small].max(initial=1))):
+        i = np.flatnonzero((bucket[:-step] == bucket[step:]) & small[bucket[:-step]])
+        for a in range(0, len(i), 1 << 16):
+            yield chosen(i[a : a + (1 << 16)], i[a : a + (1 << 16)] + step)
+    for k in np.flatnonzero(~small).tolist():
+        end = int(heads[k] + size[k])
+        for x in range(int(heads[k]), end - 1):
+            yield chosen(np.full(end - x - 1, x), np.arange(x + 1, end))
+
+
+def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
+    """Pairs (a, b) within the distance of buckets (key, choice, node, root, part, f0 ...), sorted by ``turn``.
+
+    Buckets above ``limit`` (0: none is) only give pairs with their first node, and all their rows come back (``again``).  Nodes with one root
+    are connected; a unit of two parts gives the pairs across them only.
+    """
+    names = names_of(params)
+    schema = "again boolean, a bigint, b bigint, key bigint, choice int, node bigint, " + ", ".join(f"{n} bigint" for n in names)
+    fields = ["again", "a", "b", "key", "choice", "node", *names]
+
+    def run(batches):
+        plain = ("key", "choice", "node", "root", "part", "parts")
+        held = [np.zeros(0, np.int64) for _ in plain]
+        fps, hot = np.zeros((0, params.words), U64), None  # hot: key, node, root and fingerprint of the leader of a bucket that streams by
+
+        def pairs(x, y):
+            key, choice, node, root, part, parts = held
+            ok = (root[x] != root[y]) & ((parts[x] == 1) | (part[x] != part[y]))
+            return batch_of(node[x[ok]], node[y[ok]])
+
+        def batch_of(a, b):
+            blank = lambda t: pa.nulls(len(a), t)
+            columns = [pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), blank(pa.int64()), blank(pa.int32()), *(blank(pa.int64()) for _ in range(1 + params.words))]
+            return pa.RecordBatch.from_arrays(columns, names=fields)
+
+        def returned(at):
+            key, choice, node = (held[k][at] for k in range(3))
+            blank = pa.nulls(len(key), pa.int64())
+            columns = [pa.array(np.ones(len(key), bool)), blank, blank, pa.array(key), pa.array(choice.astype(np.int32)), pa.array(node)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(fps[at, k]).view(np.int64)) for k in range(params.words))], names=fields)
+
+        def closed(whole, size):
+            """Pairs of whole buckets; ``whole`` tells them among the held."""
+            at = np.flatnonzero(np.repeat(whole, size))
+            for x, y in _pairs_within(fps[at], held[1][at], size[whole], params):
+                if len(x):
+                    yield pairs(at[x], at[y])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = [np.concatenate([h, batch.column(n).to_numpy().astype(np.int64)]) for h, n in zip(held, plain, strict=True)]
+            fps = np.concatenate([fps, np.stack([batch.column(n).to_numpy().view(U64) for n in names], axis=1)])
+            key = held[0]
+            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1])]))
+            size = np.diff(np.append(heads, len(key)))
+            large = (size > limit) if limit else np.zeros(len(size), bool)
+            large[0] |= hot is not None and key[0] == hot[0]
+            for k in np.flatnonzero(large).tolist():
+                at = np.arange(heads[k], heads[k] + size[k])
+                if hot is None or hot[0] != key[at[0]]:
+                    hot = key[at[0]], held[2][at[0]], held[3][at[0]], fps[at[0]].copy()
+                yield returned(at)
+                near = at[(hamming(fps[at], hot[3]) <= params.distance) & (held[3][at] != hot[2])]
+                if len(near):
+                    yield batch_of(np.full(len(near), hot[1]), held[2][near])
+            whole = ~large & (size > 1)
+            whole[-1] = False  # the last bucket may go on
+            if whole.any():
+                yield from closed(whole, size)
+            if not large[-1]:
+                hot = None
+            cut = len(key) if large[-1] else int(heads[-1])
+            held, fps = [h[cut:] for h in held], fps[cut:]
+        if len(fps) > 1:
+            yield from closed(np.array([True]), np.array([len(fps)]))
+
+    columns = ["key", "choice", "node", "root", "part", "parts", *names]
+    return buckets.repartition("key").sortWithinPartitions("key", "turn").select(*columns).mapInArrow(run, schema)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, params: SimHashParams) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the Jaccard similarity."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(_thinned(sets, ends, "node").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    left, right = (wanted.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    n, both = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    return materialize(pairs.join(left, "a").join(right, "b").where(both * (1 + params.similarity) >= n * params.similarity - 1e-9).select("a", "b"))
+
+
+def alike_links(nodes: DataFrame, sets: DataFrame, params: SimHashParams) -> DataFrame:
+    """Edges (a, b) that connect nodes (node, f0 ...) as all pairs do that meet and whose sets (node, shingles) are alike."""
+    names = names_of(params)
+    one = {"root": F.col("node"), "part": F.lit(0), "parts": F.lit(1)}
+    turn = lambda k: F.xxhash64(F.col("node"), F.lit(k))
+    met = materialize(_met(_dealt(nodes, ["node", *names], params).withColumns(one).withColumn("turn", turn(0)), params, params.small))
+    edges = _alike(met.where("not again"), sets, params)
+    rest = met.where("again").select("key", "choice", "node", *names)
+    if rest.isEmpty():
+        return edges
+
+    def rooted():
+        return rest.join(components(edges).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for k in range(1, params.rounds):
+        led = _met(rooted().withColumns({"part": one["part"], "parts": one["parts"]}).withColumn("turn", turn(k)), params, 1)
+        edges = materialize(edges.union(_alike(led.where("not again"), sets, params)))
+    left = materialize(rooted())
+    # Buckets whose nodes are all connected are done; the others go in units of two parts (a unit of one part if one is enough).
+    counts = left.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    sized = left.join(counts.select("key", F.ceil(F.col("n") / params.bucket_limit).cast("long").alias("c")), "key").withColumn("part", F.pmod(turn(-1), F.col("c")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))
+    units = sized.select("*", other.alias("other")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    parts = F.when(F.col("part") == F.col("other"), 1).otherwise(2)
+    last = _met(units.withColumn("parts", parts).withColumn("turn", turn(0)), params, 0)
+    return edges.union(_alike(last.where("not again"), sets, params))
+
+
+def shingle_sets(docs: DataFrame, params: SimHashParams, text_column: str) -> DataFrame:
+    """(node, shingles) of every row: the sorted set of its shingles' hashes and its number."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, _, _ in pieces(batch.column(0)):
+                sets = [np.unique(shingles(t or b"", params)) for t in batch.column(0)[i:j].to_pylist()]
+                number = pa.array(np.array([set_number(h) for h in sets], U64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([number, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select(F.col(text_column).cast("binary").alias("text")).mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
 def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, fp (the first 64 bits as a signed long) and component, the smallest id that links reach.
 
-    Null and empty texts have fingerprint 0 and are linked like any other.  Repeated rows are one node and come
+    Null and empty texts have fingerprint 0 (with a similarity: no shingles) and are linked like any other.  Repeated rows are one node and come
     back row by row.  Null ids stay and name no component unless it has no other.  An empty table gives an
     empty result.  Other columns are ignored.
     """
@@ -267,7 +438,11 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, id_col
     names = names_of(params)
     rows = materialize(fingerprints(docs, params, id_column, text_column))
     nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(n).alias(n) for n in names)))
-    roots = components(links(nodes.select(*names), params))
+    if params.similarity:
+        edges = alike_links(nodes.select("node", *names), shingle_sets(docs, params, text_column), params)
+    else:
+        edges = links(nodes.select(*names), params)
+    roots = components(edges)
     named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
     groups = named.join(least, "root").select("node", "component")

@@ -1,6 +1,7 @@
 """The registered text queries against plain Python over the smallest tables."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -454,3 +455,39 @@ def test_many_languages(spark):
                 assert out[i]["language"] == f"x{i // 100}" and out[i]["keep"]
     kept = language_id.keep_identified(docs, language_id.LanguageParams(languages=5), declared=F.col("lang"), host=F.col("host"))
     assert kept.where("lang is not null").count() == sum(lang is not None for _, _, lang, _ in data)
+
+
+@pytest.mark.parametrize("small, limit", [(128, 1 << 13), (2, 5)])
+def test_like_texts_by_jaccard(spark, small, limit):
+    """Pairs of known Jaccard similarity, and a dense group of near copies; with small limits all buckets go through leaders and units."""
+    random.seed(14)
+    params = dataclasses.replace(simhash.LIKE_TEXTS, small=small, bucket_limit=limit, rounds=2)
+    words = [f"w{i}" for i in range(5000)]
+    data = {}
+    for i in range(120):
+        w = random.choices(words, k=300)
+        data[len(data)] = " ".join(w)
+        new = int(300 * (1 - [0.85, 0.75, 0.7, 0.6][i % 4]) / (1 + [0.85, 0.75, 0.7, 0.6][i % 4]))
+        data[len(data)] = " ".join(w[new:] + random.choices(words, k=new))
+    base = random.choices(words, k=300)
+    for _ in range(40):
+        w = list(base)
+        for p in random.sample(range(300), random.randint(1, 8)):
+            w[p] = random.choice(words)
+        data[len(data)] = " ".join(w)
+    data[len(data)], data[len(data) + 1] = "", "a b c d e f"
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in data.items()}
+    group = {i: i for i in data}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in itertools.combinations(data, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            group[y] = x
+    docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs, params).collect()}
+    assert got == {i: root(i) for i in data}
