@@ -12,8 +12,11 @@ from stratapanel.llm.decontaminate import leaks
 from stratapanel.llm.language_id import identify
 from stratapanel.llm.line_dedup import dedup_lines
 from stratapanel.llm.packing import Packing, pack
+from stratapanel.llm.periodic_runs import periodic_runs, periodic_tail
 from stratapanel.llm.repeats import remove_repeats
 from stratapanel.llm.simhash import near_duplicates
+from stratapanel.llm.spelling_variants import misspelt, spelling_variants
+from stratapanel.llm.token_counts import CountParams, count_tokens
 from stratapanel.llm.url_filters import judge
 from stratapanel.llm.winnowing import edited_neighbours
 
@@ -98,6 +101,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), edit=periodic_tail).drop("runs")
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), edit=misspelt)
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), CountParams(path=vocabulary_path("piece_bpe_32k.model")))
+
+
 #: Host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
