@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import first_reason, yes
 from stratapanel.operators.calendar import position_of_dates
-from stratapanel.operators.orderstats import quantiles_within
-from stratapanel.runtime import date_dimension, stage
+from stratapanel.operators.orderstats import same_keys, summarize_within
+from stratapanel.runtime import date_dimension, derived, row_count, stage
 
 # Impact labels of a classified event.
 NO_ADJUSTMENT = "NO_PRICE_ADJUSTMENT_NEEDED_FOR_PRICE_MOMENTUM"
@@ -225,26 +228,42 @@ def event_study(
     by: tuple[str, ...] = ("impact", "action_class"), overall: tuple[str, ...] = ("impact",),
     entity: str = "entity", session: str = "session", event_id: str = "event_id",
 ) -> DataFrame:
-    """Median and 95 % quantile of measures by relative session, per class and over all classes."""
-    near = _around(events, calendar, window, entity, session, [event_id, *by])
-    inside = near.join(calendar.select("position"), "position", "left_semi")
-    values = panel.select(entity, "position", *measures)
+    """Median and 95 % quantile of measures by relative session, per class and over all classes.
+
+    The panel has one row per (entity, position) and the calendar consecutive positions.  Events of one entity, session and class are counted
+    before they meet the panel, and read all offsets from frames over one stream per entity; copies for offsets and levels
+    are made in the scan in front of the aggregation, which weighs rows by their count.
+    """
+    first, last = calendar.agg(F.min("position"), F.max("position")).first()
+    at = date_dimension(calendar.select(session, "position"), session)
+    placed = stage(events.join(at, session).select(entity, event_id, *by, "position"))
     # Each row counts once in its class and once in 'ALL_CLASSES'.
-    rest = [c for c in by if c not in overall]
-    levels = F.explode(F.array(F.lit(True), F.lit(False))).alias("_all")
-    rows = inside.join(values, [entity, "position"], "left").select("*", levels)
-    for c in rest:
-        rows = rows.withColumn(c, F.when(F.col("_all"), F.lit("ALL_CLASSES")).otherwise(F.col(c)))
-    keys = [*by, "relative_session"]
-    rows = stage(rows.select(*keys, event_id, *measures))
-    per_event = rows.groupBy(*keys, event_id).agg(F.count(measures[0]).alias("_m"))
-    out = per_event.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("source_events"), F.sum("_m").alias("matched_observations")
-    )
-    for m in measures:
-        q = quantiles_within(rows, keys, m, {f"{m}_median": 0.5, f"{m}_p95": 0.95})
-        out = out.join(q, keys, "left")
-    return out
+    rest, keys = [c for c in by if c not in overall], [*by, "relative_session"]
+
+    def levels(df: DataFrame) -> DataFrame:
+        both = df.withColumn("_all", F.explode(F.array(F.lit(True), F.lit(False))))
+        return both.withColumns({c: F.when(F.col("_all"), F.lit("ALL_CLASSES")).otherwise(F.col(c)) for c in rest})
+
+    # An event's offsets inside the calendar are one span around 0.
+    spans = levels(placed).groupBy(*by, event_id).agg(F.max("position").alias("_hi"), F.min("position").alias("_lo"))
+    low = F.greatest(F.lit(first) - F.col("_hi"), F.lit(-window)).cast("int").alias("_from")
+    high = F.least(F.lit(last) - F.col("_lo"), F.lit(window)).cast("int").alias("_to")
+    spans = spans.select(*by, low, high).groupBy(*by, "_from", "_to").agg(F.count(F.lit(1)).alias("_n"))
+    sources = spans.withColumn("relative_session", F.explode(F.sequence("_from", "_to"))).groupBy(*keys).agg(F.sum("_n").alias("source_events"))
+
+    counted = placed.groupBy(entity, "position", *by).agg(F.count(F.lit(1)).alias("_n"))
+    stream = panel.select(entity, "position", *measures).unionByName(counted, allowMissingColumns=True)
+    line = W.partitionBy(entity).orderBy("position")
+    around = F.array(*[
+        F.struct(F.lit(r).alias("relative_session"), *[F.max(m).over(line.rangeBetween(r, r)).alias(m) for m in measures]) for r in range(-window, window + 1)])
+    wide = stage(stream.withColumn("_around", around).where(F.col("_n").isNotNull()).select(*by, "_n", "_around"))
+    some = F.exists("_around", lambda x: reduce(or_, [x[m].isNotNull() for m in measures]))
+    rows = levels(wide.where(some)).select(*by, "_n", F.inline("_around"))
+    rows = derived(rows, 2 * (2 * window + 1) * row_count(wide))
+    found = summarize_within(
+        rows, keys, {m: {f"{m}_median": 0.5, f"{m}_p95": 0.95} for m in measures},
+        [F.sum(F.when(F.col(measures[0]).isNotNull(), F.col("_n"))).alias("matched_observations")], weight="_n")
+    return same_keys(sources, found, keys, "left").fillna({"matched_observations": 0})
 
 
 def ledger_reconcile(

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import in_bottom, in_top, percent_true, ratio, yes
-from stratapanel.operators.orderstats import average_ranks_within, quantiles_within
-from stratapanel.runtime import explode_literals, stage
+from stratapanel.operators.orderstats import average_ranks_within, summarize_within
+from stratapanel.runtime import derived, explode_literals, row_count, stage
 
 PAIR = ("formation", "future")
 
@@ -195,14 +195,15 @@ def summarize_daily(
 
 def pooled_stats(df: DataFrame, *, keys: list[str], outcome: str = "outcome") -> DataFrame:
     """Count, mean, median, std and share of positive outcomes, pooled over all dates of a key."""
-    known = stage(df.where(F.col(outcome).isNotNull()).select(*keys, outcome))
-    flat = known.groupBy(*keys).agg(
+    known = df.where(F.col(outcome).isNotNull()).select(*keys, outcome)
+    if getattr(df, "_stratapanel_staged", False):
+        known = derived(known, row_count(df))
+    return summarize_within(known, keys, {outcome: {"median_outcome": 0.5}}, [
         F.count(F.lit(1)).alias("observation_count"),
         F.avg(outcome).alias("mean_outcome"),
         F.stddev_samp(outcome).alias("std_outcome"),
         percent_true(F.col(outcome) > 0).alias("positive_pct"),
-    )
-    return flat.join(quantiles_within(known, keys, outcome, {"median_outcome": 0.5}), keys)
+    ])
 
 
 def quantile_monotonicity(
@@ -230,6 +231,8 @@ def tail_analysis(
     outcome: str = "outcome",
 ) -> DataFrame:
     """Pooled outcome statistics of the top and bottom ceil(f*n) members, and their difference."""
+    by = [*keys, "tail_fraction"]
+    df = stage(df.select(*keys, rank, count, outcome))
     long = explode_literals(df, [(f,) for f in fractions], [("tail_fraction", "double")])
     k = F.ceil(F.col(count) * F.col("tail_fraction"))
     sides = F.array_compact(
@@ -238,8 +241,8 @@ def tail_analysis(
             F.when(F.col(rank) <= k, F.lit("BOTTOM")),
         )
     )
-    by = [*keys, "tail_fraction"]
-    members = long.select(*by, outcome, F.explode(sides).alias("side"))
+    # At most both sides of every fraction; rows of the middle drop out in the same scan.
+    members = derived(long.select(*by, outcome, F.explode(sides).alias("side")), 2 * len(fractions) * row_count(df))
     stats = pooled_stats(members, keys=[*by, "side"], outcome=outcome).drop("std_outcome")
     top, bottom = F.col("side") == "TOP", F.col("side") == "BOTTOM"
     gap = stats.groupBy(*by).agg(

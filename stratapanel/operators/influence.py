@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import ratio
 from stratapanel.operators.evidence import correlation, daily_statistics, summarize_daily
-from stratapanel.operators.orderstats import average_ranks_within, quantiles_within, totals_above
+from stratapanel.operators.orderstats import Split, average_ranks_within, quantiles_within, totals_above
 from stratapanel.runtime import explode_literals, stage
 
 
-def _inversions(ranked: DataFrame, keys: list[str], entity: str) -> DataFrame:
+def _inversions(ranked: DataFrame, keys: list[str], entity: str, split: Split) -> DataFrame:
     """Per row: how many rows have a larger x and a larger y, rows with equal y counting half.
 
     Pairs are never formed.  Two ranks differ first at one binary digit, so each row is
@@ -25,7 +25,7 @@ def _inversions(ranked: DataFrame, keys: list[str], entity: str) -> DataFrame:
         .withColumn("_prefix", F.expr("shiftright(_x0, _digit + 1)"))
         .withColumn("_bit", F.expr("cast(shiftright(_x0, _digit) & 1 as double)"))
     )
-    sums = totals_above(long, [*keys, "_digit", "_prefix"], "_y", "_bit", above="_more", equal="_same")
+    sums = totals_above(long, [*keys, "_digit", "_prefix"], "_y", "_bit", above="_more", equal="_same", split=split)
     return (
         sums.where(F.col("_bit") == 0)
         .groupBy(*keys, entity)
@@ -47,17 +47,18 @@ def deletion_statistics(
         both.select(*keys, entity, factor, outcome), keys, {"_x": factor, "_y": outcome}, size="_m"
     )
     ranked = stage(ranked)
-    rows = totals_above(ranked, keys, "_y", "_x", above="_x_above", equal="_x_same")
-    rows = totals_above(stage(rows), keys, "_x", "_y", above="_y_above")
-    rows = stage(rows.withColumn("_one", F.lit(1)))
-    rows = totals_above(rows, keys, "_y", "_one", above="_c_above", equal="_t").drop("_c_above")
-    inv = _inversions(ranked, keys, entity)
+    # One cut serves every sum: groups that need no boundary here need none among their digits.
+    split = Split(ranked, keys, {"_x": ["_x"], "_y": ["_y"]})
+    rows = totals_above(ranked.withColumn("_one", F.lit(1)), keys, "_y", "_x", above="_x_above", equal="_x_same", split=split)
+    rows = totals_above(rows, keys, "_x", "_y", above="_y_above", split=split)
+    rows = totals_above(rows, keys, "_y", "_one", above="_c_above", equal="_t", split=split).drop("_c_above")
+    inv = _inversions(ranked, keys, entity, split)
     # Outcome sums of the lowest and highest members; k and k+1 members, as one may be deleted.
     n = F.col("_m")
     low = F.floor((n + q - 2) / q)
     high = (n - 1) - F.floor(((q - 1) * (n - 1) + q - 1) / q)
     o, x, t = F.col(outcome), F.col("_x"), F.col("_t").cast("double")
-    rows = stage(rows.withColumn("_low", low).withColumn("_high", high))
+    rows = stage(rows.withColumn("_low", low).withColumn("_high", high)) if split.any else rows.withColumn("_low", low).withColumn("_high", high)
     group = rows.groupBy(*keys).agg(
         F.sum(x * F.col("_y")).alias("_sxy"),
         F.sum(t * t - 1).alias("_ties"),

@@ -1,82 +1,125 @@
-"""Exact ranks and quantiles per group; one group may hold most of the rows.
+"""Exact ranks, sums and quantiles per group; one group may hold most of the rows.
 
-One form serves all sizes.  Boundaries of the whole sort key (group, value, tie) come from a sample of
-bounded size, so rows fall into about equally many per piece wherever they crowd: in one
-group, in a narrow range of values or among the ties of one value.  Sorting happens inside (group, piece), a small
-sum over the pieces of a group gives every piece its starting position, and joins are null-safe.  Where only
-values matter, rows first collapse to cells (group, value) with map-side counts.
+A group is sorted in one task as long as it holds about a piece of rows (``PIECE_ROWS``).  Larger groups are found, and cut, by
+one random sample of rows for all columns of a call: every group with more than its share of the sample gets boundaries
+inside, evenly spaced among its own sampled keys (value, tie).  So pieces hold about equally many rows wherever they crowd: in one group, in a
+narrow range of values, among the ties of one value, or among copies of values.  Rows of smaller groups never meet a boundary.
 
-NULL is a group key like any other.  NULL values rank first as one value, infinite ones at the
-ends and NaN last, as Spark sorts them; quantiles leave NULLs out.
+Where only values matter, rows of cut tables first collapse to cells (group, value) with map-side counts, so copies of one value are
+one row.  A small sum over the pieces of a group gives every piece its starting position; only groups with a boundary inside have several, so that
+table has at most two rows for each boundary.
 
-Three passes read the input (sample, piece sizes, rows), so it is written once (``runtime.stage``) unless it already is.
+NULL is a group key like any other.  NULL values rank first as one value, infinite ones at the ends and NaN last, as
+Spark sorts them; quantiles leave NULLs out.
+
+The sample reads the input before the rows do, so it is written once (``runtime.stage``) unless it already is, or is flagged
+as cheap to read again (``runtime.derived``).
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratapanel.runtime import stage
+from stratapanel.runtime import row_count, stage
 
-#: Sampled sort keys for each piece, and the most pieces that are used.
-SAMPLED, MOST_PIECES = 32, 1024
+#: Rows of a piece, sampled rows for each piece, and the most pieces (beyond that they grow).
+PIECE_ROWS, SAMPLED, MOST_PIECES = 1 << 20, 32, 4096
 
 
-def _literal(row, schema) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+def _order_key(values: tuple) -> tuple:
+    """Python order of sort keys as Spark has it: NULL first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in values)
 
 
-def _piece(df: DataFrame, order: list[str], pieces: int | None = None) -> Column:
-    """Number of the piece in which a row's sort key lies; rises with the key.
+class Split:
+    """Boundaries inside the large groups of a staged frame, for several sort orders at once.
 
-    The sample is the rows with the smallest hashes of their sort key: its size is fixed, and it is spread over all
-    keys.  A search over every k-th boundary, then over the k behind it, finds the piece.
+    ``orders`` names the columns that follow the keys in each order.  ``any`` tells whether a boundary was needed at all.
     """
-    pieces = pieces or min(MOST_PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    names = keyed.columns
-    sample = keyed.orderBy(F.xxhash64(*names)).limit(SAMPLED * pieces).orderBy(*names).collect()
-    step = max(1, len(sample) / pieces)
-    at = sorted({int(i * step) for i in range(1, pieces) if int(i * step) < len(sample)})
-    bounds = [_literal(sample[i], keyed.schema) for i in at]
-    if not bounds:
-        return F.lit(0)
-    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    width = math.isqrt(len(bounds) - 1) + 1
-    below = lambda some: F.size(F.filter(some, lambda b: b < key))
-    blocks = [F.array(*bounds[i : i + width]) for i in range(0, len(bounds), width)]
-    if len(blocks) == 1:
-        return below(blocks[0])
-    block = below(F.array(*[bounds[i] for i in range(width, len(bounds), width)]))
-    return block * width + below(F.element_at(F.array(*blocks), block + 1))
-
-
-def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+
+    def __init__(self, df: DataFrame, keys: list[str], orders: dict[str, list[str]], pieces: int | None = None):
+        self.keys, self.orders = keys, orders
+        self.bounds: dict[str, list[tuple]] = {name: [] for name in orders}
+        self.schema = df.schema
+        rows = row_count(df) if pieces is None else 0
+        want = pieces or min(MOST_PIECES, -(-rows // PIECE_ROWS))
+        if want > 1:
+            self._draw(df, want, rows or row_count(df))
+        self.any = any(self.bounds.values())
+
+    def _draw(self, df: DataFrame, want: int, rows: int) -> None:
+        columns = list(dict.fromkeys([*self.keys, *(c for order in self.orders.values() for c in order)]))
+        share = SAMPLED * want / max(1, rows)
+        some = df.select(*columns)
+        sample = [tuple(r) for r in (some.where(F.rand(17) < share) if share < 1 else some).collect()]
+        place = {c: i for i, c in enumerate(columns)}
+        groups = defaultdict(list)
+        for row in sample:
+            groups[_order_key(tuple(row[place[k]] for k in self.keys))].append(row)
+        per_piece = max(1.0, len(sample) / want)
+        for _, members in sorted(groups.items()):
+            n = round(len(members) / per_piece)
+            if n < 2:
+                continue
+            for name, order in self.orders.items():
+                at = [place[c] for c in [*self.keys, *order]]
+                line = sorted((tuple(row[i] for i in at) for row in members), key=_order_key)
+                cuts = [line[len(line) * i // n] for i in range(1, n)]
+                self.bounds[name] += [c for i, c in enumerate(cuts) if not i or _order_key(c) != _order_key(cuts[i - 1])]
+
+    def piece(self, name: str) -> Column:
+        """Number of the piece a row belongs to; rises with the sort key, and is the same for all rows of a group without boundaries.
+
+        A search over every k-th boundary, then over the k behind it.
+        """
+        columns = [*self.keys, *self.orders[name]]
+        types = [self.schema[c].dataType for c in columns]
+        bounds = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types, strict=True))]) for row in self.bounds[name]]
+        if not bounds:
+            return F.lit(0)
+        key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(columns)])
+        width = math.isqrt(len(bounds) - 1) + 1
+        below = lambda some: F.size(F.filter(some, lambda b: b < key))
+        blocks = [F.array(*bounds[i : i + width]) for i in range(0, len(bounds), width)]
+        if len(blocks) == 1:
+            return below(blocks[0])
+        block = below(F.array(*[bounds[i] for i in range(width, len(bounds), width)]))
+        return block * width + below(F.element_at(F.array(*blocks), block + 1))
+
+
+def same_keys(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner", *, hint: bool = False) -> DataFrame:
     """Null-safe join on equally named columns; those of ``a`` stay."""
     renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in b.columns])
     match = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return a.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
+    return a.join(F.broadcast(renamed) if hint else renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _starts(pieces: DataFrame, keys: list[str], n: Column) -> DataFrame:
-    """(keys, _piece, _start, _size): rows of the group before each piece, and in the group."""
-    sums = pieces.groupBy(*keys, "_piece").agg(n.alias("_g"))
-    group = W.partitionBy(*keys)  # one row for each piece of a group
+def _placed(df: DataFrame, keys: list[str], n: Column, weight: Column) -> DataFrame:
+    """Adds ``_start`` (rows of the group in earlier pieces) and ``_size`` (rows of the group), given ``_piece``.
+
+    ``n`` counts a row, as an aggregate, ``weight`` over a window.  Only groups in several pieces are joined: at most two rows for each boundary.
+    """
+    group = W.partitionBy(*keys)
+    sums = df.groupBy(*keys, "_piece").agg(n.alias("_g"))
     running = F.sum("_g").over(group.orderBy("_piece").rowsBetween(W.unboundedPreceding, 0))
-    return sums.select(*keys, "_piece", (running - F.col("_g")).alias("_start"), F.sum("_g").over(group).alias("_size"))
+    several = sums.select(*keys, "_piece", (running - F.col("_g")).alias("_start"), F.sum("_g").over(group).alias("_all"), F.count(F.lit(1)).over(group).alias("_k"))
+    out = same_keys(df, several.where("_k > 1").drop("_k"), [*keys, "_piece"], "left", hint=True)
+    whole = F.coalesce("_all", weight.over(W.partitionBy(*keys, "_piece")))
+    return out.withColumns({"_start": F.coalesce("_start", F.lit(0)), "_size": whole}).drop("_all")
 
 
-def _cells(df: DataFrame, keys: list[str], value: str, weight: Column | None = None, pieces: int | None = None) -> DataFrame:
+def _cells(df: DataFrame, keys: list[str], split: Split, name: str, weight: Column | None = None) -> DataFrame:
     """One row per (keys, value ``_v``) with its row count ``_n``, the number of rows ``_before`` it in the
     group and the group size ``_size`` (or sums of ``weight``)."""
+    value = split.orders[name][0]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    cells = df.groupBy(*keys, F.col(value).alias("_v")).agg(measure.alias("_n"))
-    cells = cells.withColumn("_piece", _piece(df.withColumn("_v", F.col(value)), [*keys, "_v"], pieces))
-    placed = _same(cells, _starts(cells, keys, F.sum("_n")), [*keys, "_piece"])
+    cells = df.groupBy(*keys, F.col(value).alias("_v"), split.piece(name).alias("_piece")).agg(measure.alias("_n"))
+    placed = _placed(cells, keys, F.sum("_n"), F.sum("_n"))
     inside = W.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     return placed.select(*keys, "_v", "_n", (F.col("_start") + F.sum("_n").over(inside) - F.col("_n")).alias("_before"), "_size")
 
@@ -86,24 +129,37 @@ def ordinal_within(
 ) -> DataFrame:
     """Unique 1-based ordinal per group, ascending by (value, tie), and the group size.
 
-    (keys, tie) must be unique.  ``bounded``: groups are short by construction, a plain window will do.
+    (keys, tie) must be unique.  ``bounded``: groups are short by construction, so no sample is needed.
     """
-    if bounded:
+    df = df if bounded else stage(df)
+    split = None if bounded else Split(df, keys, {"order": [value, tie]}, pieces)
+    if split is None or not split.any:
         group = W.partitionBy(*keys)
         return df.withColumn(rank, F.row_number().over(group.orderBy(value, tie)).cast("long")).withColumn(size, F.count(F.lit(1)).over(group))
-    df = stage(df)
-    cut = df.withColumn("_piece", _piece(df, [*keys, value, tie], pieces))
-    placed = _same(cut, _starts(cut, keys, F.count(F.lit(1))), [*keys, "_piece"])
+    placed = _placed(df.withColumn("_piece", split.piece("order")), keys, F.count(F.lit(1)), F.count(F.lit(1)))
     local = W.partitionBy(*keys, "_piece").orderBy(value, tie)
     return placed.withColumn(rank, F.col("_start") + F.row_number().over(local)).withColumnRenamed("_size", size).drop("_piece", "_start")
 
 
-def average_ranks_within(df: DataFrame, keys: list[str], ranks: dict[str, str], *, size: str | None = None, pieces: int | None = None) -> DataFrame:
-    """Tie-averaged ranks per group; ``ranks`` maps output name to value column."""
-    out = df = stage(df)
+def average_ranks_within(
+    df: DataFrame, keys: list[str], ranks: dict[str, str], *, size: str | None = None, pieces: int | None = None, split: Split | None = None,
+) -> DataFrame:
+    """Tie-averaged ranks per group; ``ranks`` maps output name to value column.
+
+    ``split``: the cut of a frame with the same groups and value columns, if one was drawn before.
+    """
+    df = stage(df) if split is None else df
+    split = split or Split(df, keys, {v: [v] for v in ranks.values()}, pieces)
+    out = df
+    if not split.any:
+        group = W.partitionBy(*keys)
+        for name, value in ranks.items():
+            ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
+            out = out.withColumn(name, F.rank().over(group.orderBy(value)) + (ties - 1) / 2)
+        return out.withColumn(size, F.count(F.lit(1)).over(group)) if size else out
     for i, (name, value) in enumerate(ranks.items()):
-        cells = _cells(df, keys, value, pieces=pieces)
-        out = _same(out.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
+        cells = _cells(df, keys, split, value)
+        out = same_keys(out.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
         out = out.withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2)
         if size and i == 0:
             out = out.withColumn(size, F.col("_size"))
@@ -111,12 +167,8 @@ def average_ranks_within(df: DataFrame, keys: list[str], ranks: dict[str, str],
     return out
 
 
-def quantiles_within(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, count: str | None = None, pieces: int | None = None,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; NULLs are left out."""
-    known = stage(df).where(F.col(value).isNotNull())
-    cells = _cells(known, keys, value, pieces=pieces)
+def _read_off(cells: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles from cells."""
     first, last = F.col("_before"), F.col("_before") + F.col("_n")
     aggs = [F.max("_size").alias("_size")]
     at = {name: (F.col("_size") - 1) * F.lit(float(p)) for name, p in probs.items()}
@@ -124,22 +176,63 @@ def quantiles_within(
         low, high = F.floor(at[name]), F.ceil(at[name])
         aggs.append(F.max(F.when((first <= low) & (low < last), F.col("_v"))).alias(f"_lo_{name}"))
         aggs.append(F.max(F.when((first <= high) & (high < last), F.col("_v"))).alias(f"_hi_{name}"))
-    found = cells.groupBy(*keys).agg(*aggs)
     cols = []
     for name in probs:
         lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at[name] - F.floor(at[name])
         # At a whole position only one value counts, so infinite neighbours do no harm.
         cols.append(F.when((part == 0) | (lo == hi), lo.cast("double")).otherwise(lo + (hi - lo) * part).alias(name))
-    if count:
-        cols.append(F.col("_size").alias(count))
-    return found.select(*keys, *cols)
+    return cells.groupBy(*keys).agg(*aggs).select(*keys, *cols)
+
 
+def summarize_within(
+    df: DataFrame, keys: list[str], quantiles: dict[str, dict[str, float]], aggs: list[Column] | None = None, *,
+    weight: str | None = None, pieces: int | None = None,
+) -> DataFrame:
+    """Aggregates and exact, linearly interpolated quantiles per group, all in one pass unless a group has to be cut.
 
-def totals_above(df: DataFrame, keys: list[str], value: str, weight: str, *, above: str, equal: str | None = None, pieces: int | None = None) -> DataFrame:
-    """Per row: the sum of ``weight`` over rows of the group with a larger value, and with the same value."""
-    df = stage(df)
-    cells = _cells(df, keys, value, weight=F.col(weight), pieces=pieces)
-    out = _same(df.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
+    ``quantiles`` maps a value column to output names and probabilities; ``aggs`` are further aliased aggregates.  NULL values are left out; a group
+    of NULLs has NULL quantiles.  ``weight``: a column of whole numbers, how often a row counts in the quantiles.
+    """
+    df, aggs = stage(df), aggs or []
+    split = Split(df, keys, {v: [v] for v in quantiles}, pieces)
+    if split.any:
+        out = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+        for value, probs in quantiles.items():
+            found = _read_off(_cells(df.where(F.col(value).isNotNull()), keys, split, value, weight and F.col(weight)), keys, probs)
+            out = same_keys(out, found, keys, "left")
+        return out if aggs else out.drop("_rows")
+    times = F.col(weight) if weight else F.lit(1)
+    arrays = [F.percentile(F.col(v), F.array(*[F.lit(float(p)) for p in probs.values()]), times).alias(f"_q{i}") for i, (v, probs) in enumerate(quantiles.items())]
+    out = df.groupBy(*keys).agg(*aggs, *arrays)
+    for i, probs in enumerate(quantiles.values()):
+        out = out.withColumns({name: F.get(F.col(f"_q{i}"), F.lit(k)) for k, name in enumerate(probs)}).drop(f"_q{i}")
+    return out
+
+
+def quantiles_within(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, count: str | None = None, pieces: int | None = None,
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per group that has values; NULLs are left out."""
+    out = summarize_within(df, keys, {value: probs}, [F.count(value).alias("_known")], pieces=pieces).where("_known > 0")
+    return out.select(*keys, *probs, *([F.col("_known").alias(count)] if count else []))
+
+
+def totals_above(
+    df: DataFrame, keys: list[str], value: str, weight: str, *, above: str, equal: str | None = None, pieces: int | None = None, split: Split | None = None,
+) -> DataFrame:
+    """Per row: the sum of ``weight`` over rows of the group with a larger value, and with the same value.
+
+    ``split`` as in ``average_ranks_within``; groups may also be parts of the groups it was drawn for, as long as it has no boundaries.
+    """
+    if split is None or split.any:
+        df = stage(df)
+        split = Split(df, keys, {value: [value]}, pieces)
+    if not split.any:
+        group, total = W.partitionBy(*keys), F.sum(weight)
+        out = df.withColumn(above, total.over(group) - total.over(group.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)))
+        return out.withColumn(equal, total.over(W.partitionBy(*keys, value))) if equal else out
+    cells = _cells(df, keys, split, value, weight=F.col(weight))
+    out = same_keys(df.withColumn("_v", F.col(value)), cells, [*keys, "_v"])
     out = out.withColumn(above, F.col("_size") - F.col("_before") - F.col("_n"))
     if equal:
         out = out.withColumn(equal, F.col("_n"))

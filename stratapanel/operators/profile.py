@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import percent_true, ratio, yes
 from stratapanel.operators.evidence import correlation_aggregate
-from stratapanel.operators.orderstats import average_ranks_within, quantiles_within
-from stratapanel.runtime import explode_literals, stage
+from stratapanel.operators.orderstats import average_ranks_within, quantiles_within, same_keys, summarize_within
+from stratapanel.runtime import derived, explode_literals, row_count, stage
 
 # Fixed names and probabilities of the distribution summary.
 DISTRIBUTION = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.50,
@@ -33,16 +33,15 @@ def adjusted_skew(value: str) -> Column:
 
 def distribution_summary(long: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame:
     """n, mean, std, min, max, adjusted skew and nine exact quantiles per key."""
-    long = stage(long.select(*keys, value).where(F.col(value).isNotNull()))
-    flat = long.groupBy(*keys).agg(
+    known = long.select(*keys, value).where(F.col(value).isNotNull())
+    return summarize_within(known, keys, {value: DISTRIBUTION}, [
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         adjusted_skew(value).alias("skew"),
-    )
-    return flat.join(quantiles_within(long, keys, value, DISTRIBUTION), keys)
+    ])
 
 
 def cross_section_size(
@@ -119,8 +118,7 @@ def quality_profile(
         F.count_if(F.col(turnover).isNull()).alias("_nt"),
         F.count_if(yes(F.col(turnover) == 0)).alias("_zt"),
     )
-    per_entity = stage(per_entity)
-    out = per_entity.groupBy(*keys).agg(
+    out = summarize_within(per_entity, keys, {"_rows": {"sessions_per_entity_median": 0.5}}, [
         F.sum("_rows").alias("observations"),
         F.count(F.lit(1)).alias("entities"),
         F.sum("_nv").alias("null_volume"),
@@ -130,14 +128,12 @@ def quality_profile(
         F.sum("_zt").alias("zero_turnover"),
         F.min("_rows").alias("sessions_per_entity_min"),
         F.max("_rows").alias("sessions_per_entity_max"),
-    )
-    out = out.join(quantiles_within(per_entity, keys, "_rows", {"sessions_per_entity_median": 0.5}), keys)
+    ])
     probs = {k: v for k, v in DISTRIBUTION.items() if k not in ("p01", "p05")}
-    for name, column in (("volume", volume), ("turnover", turnover), ("close", close)):
-        q = quantiles_within(df, keys, column, {f"{name}_{k}": p for k, p in probs.items()})
-        edge = df.groupBy(*keys).agg(F.min(column).alias(f"{name}_min"), F.max(column).alias(f"{name}_max"))
-        out = out.join(q, keys).join(edge, keys)
-    return out
+    measures = {"volume": volume, "turnover": turnover, "close": close}
+    edges = [f(column).alias(f"{name}_{at}") for name, column in measures.items() for at, f in (("min", F.min), ("max", F.max))]
+    spread = summarize_within(df, keys, {column: {f"{name}_{k}": p for k, p in probs.items()} for name, column in measures.items()}, edges)
+    return same_keys(out, spread, keys)
 
 
 def source_transition(
@@ -152,21 +148,17 @@ def source_transition(
     df = stage(df.select(source, entity, session, volume, turnover, close))
     fine = (F.col(volume) > 0) & (F.col(turnover) >= 0) & (F.col(close) > 0)
     implied = F.when(fine, ratio(ratio(turnover, volume), close))
-    spans = df.groupBy(source).agg(
+    implied_probs = {"implied_price_p01": 0.01, "implied_price_median": 0.5, "implied_price_p99": 0.99}
+    spans = summarize_within(derived(df.withColumn("_i", implied), row_count(df)), [source], {"_i": implied_probs, volume: {"volume_median": 0.5, "volume_p99": 0.99}}, [
         F.min(session).alias("first_session"),
         F.max(session).alias("last_session"),
         F.count(F.lit(1)).alias("observations"),
         F.count_if(F.col(volume).isNull()).alias("null_volume"),
         F.count_if(yes(F.col(volume) == 0)).alias("zero_volume"),
         F.count_if(yes(F.col(volume) < 0)).alias("negative_volume"),
-    )
-    counts = (
-        df.groupBy(source, session).count().groupBy(source).agg(F.count(F.lit(1)).alias("sessions"))
-        .join(df.groupBy(source, entity).count().groupBy(source).agg(F.count(F.lit(1)).alias("entities")), source)
-    )
-    q = quantiles_within(df.withColumn("_i", implied), [source], "_i",
-                         {"implied_price_p01": 0.01, "implied_price_median": 0.5, "implied_price_p99": 0.99})
-    v = quantiles_within(df, [source], volume, {"volume_median": 0.5, "volume_p99": 0.99})
+    ])
+    seen = [df.groupBy(source, c).count().groupBy(source).agg(F.count(F.lit(1)).alias(n)) for c, n in ((session, "sessions"), (entity, "entities"))]
+    counts = same_keys(*seen, [source])
     # Session ranks per source come from distinct dates.
     dates = df.select(source, session).distinct()
     near = dates.select(
@@ -180,7 +172,7 @@ def source_transition(
         F.max(F.when(F.col(source) == old, F.col("_m"))).alias("_b"), F.max(F.when(F.col(source) == new, F.col("_m"))).alias("_a")
     ).select(F.lit(1).alias("_k"), ratio("_a", "_b").alias("_r"))
     shift = quantiles_within(change, ["_k"], "_r", {"transition_ratio_median": 0.5}, count="transition_entities")
-    out = spans.join(counts, source).join(q, source).join(v, source)
+    out = same_keys(spans, counts, [source])
     return out.withColumn("_k", F.lit(1)).join(shift, "_k", "left").drop("_k")
 
 

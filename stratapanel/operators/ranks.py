@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import col, percentile_bucket, quantile_bucket, yes
-from stratapanel.operators.orderstats import average_ranks_within, ordinal_within, quantiles_within
-from stratapanel.runtime import stage
+from stratapanel.operators.orderstats import average_ranks_within, ordinal_within, same_keys, summarize_within
+from stratapanel.runtime import derived, row_count, stage
 
 
 def cross_sectional_rank(
@@ -52,9 +52,10 @@ def winsorize_same_date(
     keys = keys or ["session"]
     use = F.col(value).isNotNull() if mask is None else yes(mask) & F.col(value).isNotNull()
     df = stage(df)
-    limits = quantiles_within(stage(df.where(use).select(*keys, value)), keys, value, {"_lo": lower, "_hi": upper})
+    inside = derived(df.where(use).select(*keys, value), row_count(df))
+    limits = summarize_within(inside, keys, {value: {"_lo": lower, "_hi": upper}})
     clipped = F.greatest(F.least(col(value), F.col("_hi")), F.col("_lo"))
-    return df.join(limits, keys, "left").withColumn(out, F.when(use, clipped)).drop("_lo", "_hi")
+    return same_keys(df, limits, keys, "left").withColumn(out, F.when(use, clipped)).drop("_lo", "_hi")
 
 
 def top_n_outliers(

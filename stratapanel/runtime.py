@@ -61,6 +61,23 @@ def stage(df: DataFrame) -> DataFrame:
     return df if getattr(df, "_stratapanel_staged", False) else materialize(df)
 
 
+def derived(df: DataFrame, rows: int) -> DataFrame:
+    """Flags a frame made from a materialized one by narrow steps: reading it twice costs two scans, so it needs no copy.
+
+    ``rows``: how many rows it has, or an upper bound.
+    """
+    df._stratapanel_staged, df._stratapanel_rows = True, rows
+    return df
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a materialized frame (from the file footers), or the number it was flagged with."""
+    known = getattr(df, "_stratapanel_rows", None)
+    if known is None:
+        known = df._stratapanel_rows = df.count()
+    return known
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New folder name under the checkpoint folder, which every executor can reach."""
     _ensure_checkpoint_dir(spark)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratapanel.operators.orderstats import average_ranks_within, ordinal_within, quantiles_within, totals_above
+from stratapanel.operators.orderstats import Split, average_ranks_within, ordinal_within, quantiles_within, summarize_within, totals_above
+from stratapanel.runtime import stage
 
 INF = float("inf")
 
@@ -76,11 +77,54 @@ def test_quantiles_of_infinite_values(spark):
     assert [tuple(x) for x in r] == [(None, -INF, 1.0, INF, 5)]
 
 
+def largest(df, split, name):
+    counts = [r["count"] for r in df.withColumn("p", split.piece(name)).groupBy("p").count().collect()]
+    return len(counts), max(counts)
+
+
 def test_pieces_are_even(spark):
-    """A group inside [100, 101] and a value with a shared tie prefix both split."""
-    from stratapanel.operators.orderstats import _piece
+    """A group inside [100, 101] and a value with a shared tie prefix both split; one sample serves both orders."""
+    narrow = stage(spark.range(20_000).select(F.lit("k").alias("k"), (100 + F.rand(1)).alias("v"), F.lit(1.0).alias("same"), F.concat(F.lit("entity "), "id").alias("s")))
+    split = Split(narrow, ["k"], {"v": ["v", "s"], "same": ["same", "s"]}, 16)
+    for name in ("v", "same"):
+        pieces, most = largest(narrow, split, name)
+        assert pieces == 16 and most < 2 * 20_000 / 16
+
+
+@pytest.mark.parametrize("copies", [1, 50, 5_000])
+def test_pieces_are_even_where_values_repeat(spark, copies):
+    n, want = 400_000, 16
+    df = stage(spark.range(n).select(F.lit(None).cast("string").alias("k"), (F.xxhash64((F.col("id") / copies).cast("long")) / 1e3).alias("v")))
+    pieces, most = largest(df, Split(df, ["k"], {"v": ["v"]}, want), "v")
+    assert pieces >= want - 1 and most <= 2 * n / want
+
+
+def test_only_large_groups_are_cut(spark):
+    """A group with most rows gets the boundaries, also beside a value that holds half of them; small groups have one piece each."""
+    df = stage(spark.range(60_000).select(F.when(F.col("id") < 40_000, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("k"),
+                                          F.when(F.col("id") < 20_000, 7.0).otherwise(F.rand(2) * 10).alias("v")))
+    split = Split(df, ["k"], {"v": ["v"]}, 12)
+    assert split.any and all(b[0] == "hot" for b in split.bounds["v"])
+    placed = df.withColumn("p", split.piece("v"))
+    assert placed.where("k <> 'hot'").groupBy("k").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    group = W.partitionBy("k")
+    want = df.withColumn("r", F.rank().over(group.orderBy("v")) + (F.count(F.lit(1)).over(W.partitionBy("k", "v")) - 1) / 2)
+    got = average_ranks_within(df, ["k"], {"r": "v"}, pieces=12)
+    sums = [F.count(F.lit(1)), F.sum("r"), F.sum(F.col("r") * F.col("v"))]
+    assert [round(x, 3) for x in got.agg(*sums).first()] == [round(x, 3) for x in want.agg(*sums).first()]
+
 
-    narrow = spark.range(20_000).select(F.lit("k").alias("k"), (100 + F.rand(1)).alias("v"), F.lit(1.0).alias("same"), F.concat(F.lit("entity "), "id").alias("s"))
-    for order in (["k", "v", "s"], ["k", "same", "s"]):
-        sizes = [r["count"] for r in narrow.withColumn("p", _piece(narrow, order, 16)).groupBy("p").count().collect()]
-        assert len(sizes) == 16 and max(sizes) < 3 * 20_000 / 16
+def test_one_sample_for_all_columns(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(Split, "_draw", lambda self, *a, real=Split._draw: (drawn.append(1), real(self, *a)))
+    df = frame(spark, "spread")
+    average_ranks_within(df, ["k"], {"a": "v", "b": "w"}, pieces=7).count()
+    summarize_within(df, ["k"], {"v": {"m": 0.5}, "w": {"n": 0.5}}, pieces=7).count()
+    assert len(drawn) == 2
+
+
+@PIECES
+def test_summaries_keep_null_keys_and_groups_without_values(spark, pieces):
+    df = spark.createDataFrame([(None, 1.0, 5.0), (None, 3.0, None), ("a", None, 1.0), ("b", 2.0, 2.0), ("b", 4.0, None)] * 9, "k string, v double, w double")
+    got = summarize_within(df, ["k"], {"v": {"mid": 0.5}, "w": {"low": 0.0, "high": 1.0}}, [F.count(F.lit(1)).alias("n")], pieces=pieces)
+    assert sorted(map(tuple, got.select("k", "n", "mid", "low", "high").collect()), key=str) == [("a", 9, None, 1.0, 1.0), ("b", 18, 3.0, 2.0, 2.0), (None, 18, 2.0, 5.0, 5.0)]
