@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratapanel.functions.scalars import yes
 from stratapanel.operators.events import interval_event_crossing
@@ -87,43 +91,54 @@ def target_feasibility(
     return usable.join(chosen, session, "left").fillna(0, ["selected_groups", "expected_positions", "groups_below_k"])
 
 
+def _fold(batches: Iterator[pa.RecordBatch], keys: int, entry: int, retain: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Selection over rows (keys.., index, item, rank) in that order; between batches only the held items and the rows of one signal are kept."""
+    now, week, last, held, out, schema = None, [], None, [], [], None
+
+    def decide() -> None:
+        nonlocal last, held
+        before = held if last == (now[:-1], now[-1] - 1) else []
+        kept = [r for r in week if r[0] in before][:slots]
+        new = [r for r in week if r[0] not in before and r[1] <= entry][: slots - len(kept)]
+        out.extend((*now, *r, s) for s, rows in (("RETAINED", kept), ("NEW_ENTRY", new)) for r in rows)
+        last, held = (now[:-1], now[-1]), [r[0] for r in kept + new]
+
+    def chosen() -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for batch in batches:
+        schema = pa.schema([*batch.schema, pa.field("selection_status", pa.string())])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            signal = row[: keys + 1]
+            if signal != now:
+                if week:
+                    decide()
+                now, week = signal, []
+            week.append(row[keys + 1 :])
+        if out:
+            yield chosen()
+    if week:
+        decide()
+        if out:
+            yield chosen()
+
+
 def hysteresis_select(
     ranked: DataFrame, *, keys: list[str], index: str = "signal_index", item: str = "item", rank: str = "rank",
     entry: int = 3, retain: int = 5, slots: int = 3,
 ) -> DataFrame:
     """Keep held items while rank <= retain, admit new ones at rank <= entry, up to ``slots``.
 
-    The choice at a signal depends on the one before, so each key is folded over its
-    signals in order; keys run in parallel.  Only ranks up to ``retain`` travel, so a key
-    holds at most retain items per signal.  A signal without rows empties the held set.
+    The choice at a signal depends on the one before, so the signals of a key are folded in order, in one stream of Arrow
+    batches sorted by Spark: only ``retain`` rows of a signal travel, the work is linear, and no row or task holds a history.  Keys run in
+    parallel.  A signal without rows empties the held set.  Items without a rank are never chosen.
     """
-    near = ranked.where(F.col(rank) <= retain)
-    item_type = ranked.schema[item].dataType.simpleString()
-    weeks = near.groupBy(*keys, index).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank).cast("int").alias("r"), F.col(item).alias("i")))).alias("items"))
-    line = weeks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("t"), "items"))).alias("weeks"))
-    row = f"struct<t:bigint,r:int,i:{item_type},kept:boolean>"
-    start = F.struct(
-        F.lit(-2).cast("long").alias("t"), F.array().cast(f"array<{item_type}>").alias("held"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc, week):
-        held = F.when(week.t == acc.t + 1, acc.held).otherwise(F.array().cast(f"array<{item_type}>"))
-        kept = F.slice(F.filter(week["items"], lambda x: F.array_contains(held, x.i)), 1, slots)
-        fresh = F.filter(week["items"], lambda x: ~F.array_contains(held, x.i) & (x.r <= entry))
-        room = F.lit(slots) - F.size(kept)
-        added = F.slice(fresh, F.lit(1), room)
-        rows = F.concat(
-            F.transform(kept, lambda x: F.struct(week.t.alias("t"), x.r.alias("r"), x.i.alias("i"), F.lit(True).alias("kept"))),
-            F.transform(added, lambda x: F.struct(week.t.alias("t"), x.r.alias("r"), x.i.alias("i"), F.lit(False).alias("kept"))))
-        names = F.concat(F.transform(kept, lambda x: x.i), F.transform(added, lambda x: x.i))
-        return F.struct(week.t.alias("t"), names.alias("held"), F.concat(acc.out, rows.cast(f"array<{row}>")).alias("out"))
-
-    folded = line.select(*keys, F.aggregate("weeks", start, step).alias("s"))
-    out = folded.select(*keys, F.explode("s.out").alias("o"))
-    return out.select(
-        *keys, F.col("o.t").alias(index), F.col("o.i").alias(item), F.col("o.r").alias(rank),
-        F.when(F.col("o.kept"), "RETAINED").otherwise("NEW_ENTRY").alias("selection_status"))
+    near = ranked.where(F.col(rank) <= retain).select(*keys, F.col(index).cast("long").alias(index), item, F.col(rank).cast("int").alias(rank))
+    line = near.repartition(*keys).sortWithinPartitions(*keys, index, rank, item)
+    n = len(keys)
+    return line.mapInArrow(lambda batches: _fold(batches, n, entry, retain, slots), T.StructType([*near.schema.fields, T.StructField("selection_status", T.StringType())]))
 
 
 def hysteresis_members(
