@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import ratio
-from stratapanel.operators.evidence import correlation, daily_statistics, summarize_daily
+from stratapanel.operators.evidence import bucket_spread_daily, correlation, correlation_aggregate, daily_statistics, summarize_daily
 from stratapanel.operators.orderstats import Split, average_ranks_within, quantiles_within, totals_above
 from stratapanel.runtime import explode_literals, stage
 
@@ -127,21 +128,59 @@ def leave_one_entity_out(
     )
 
 
+def _without_groups(pairs: DataFrame, groups: list[str], keys: list[str], group: str, factor: str, outcome: str) -> DataFrame:
+    """Rows with both values, once for every group they are not in, with the ranks they have without it.
+
+    A rank falls by the number of the group's rows below, a tie by half of that.  These numbers are running counts, one for each group, over
+    one sorted partition; copies are made behind the sort and meet in the same partition again.  ``_b`` and ``_m`` are rank and size among all
+    rows, ``_x`` and ``_y`` ranks among rows with both values.
+    """
+    whole = W.partitionBy(*keys)
+    both = F.col(factor).isNotNull() & F.col(outcome).isNotNull()
+    orders = {"_b": (factor, F.lit(True)), "_x": (factor, both), "_y": (outcome, both)}
+
+    def below(mark: Column, value: str) -> Column:
+        count = F.count_if(mark)
+        return count.over(whole.orderBy(value)) - count.over(W.partitionBy(*keys, value)) / 2
+
+    def ranks(mark) -> list[Column]:
+        return [below(mark & used, value).alias(name) for name, (value, used) in orders.items()]
+
+    def member(name: str) -> Column:
+        return F.coalesce(F.col(group) == name, F.lit(False))
+
+    own = F.struct(*ranks(F.lit(True)), F.count(F.lit(1)).over(whole).alias("_m"))
+    lost = F.array(*[
+        F.struct(F.lit(g).alias("excluded_group"), *ranks(member(g)), F.count_if(member(g)).over(whole).alias("_m")) for g in groups])
+    rows = pairs.select(*keys, group, factor, outcome, own.alias("_own"), lost.alias("_lost")).where(both)
+    rows = rows.select(*keys, group, outcome, "_own", F.explode("_lost").alias("_g")).where(F.col(group).isNull() | (F.col(group) != F.col("_g.excluded_group")))
+    left = [(F.col(f"_own.{c}") - F.col(f"_g.{c}") + F.lit(0.5)).alias(c) for c in orders]
+    return rows.select(*keys, "_g.excluded_group", outcome, *left, (F.col("_own._m") - F.col("_g._m")).alias("_m"))
+
+
 def leave_one_group_out(
     pairs: DataFrame, groups: list[str], *, pair: list[str], session: str = "session", group: str = "group_name",
     factor: str = "rank", outcome: str = "outcome", q: int = 10, minimum: int = 10,
 ) -> DataFrame:
     """Summary without each named group, with the rest ranked and bucketed again.
 
-    Rows repeat once per remaining group name, so the work is rows times named groups.
-    Rows without a group stay in every run.
+    Rows without a group stay in every run.  The rows shuffled do not depend on the number of groups (``_without_groups``), unless a cross-section is
+    so large that it has to be cut: then it is ranked anew for every group, in pieces.
     """
-    long = explode_literals(pairs, [(g,) for g in groups], [("excluded_group", "string")])
-    rest = long.where(F.col(group).isNull() | (F.col(group) != F.col("excluded_group")))
-    keys = [*pair, "excluded_group", session]
-    ranked = average_ranks_within(rest, keys, {"_x": factor}, size="_m")
-    bucket = F.when(F.col("_m") >= minimum, F.floor((F.col("_x") - 1) * q / F.col("_m")) + 1)
-    daily = daily_statistics(ranked.withColumn("bucket", bucket), q, keys=keys, factor="_x", outcome=outcome, count="_m")
+    keys, by = [*pair, session], [*pair, session, "excluded_group"]
+    pairs = stage(pairs.select(*keys, group, factor, outcome))
+    if Split(pairs, keys, {factor: [factor]}).any:
+        long = explode_literals(pairs, [(g,) for g in groups], [("excluded_group", "string")])
+        rest = long.where(F.col(group).isNull() | (F.col(group) != F.col("excluded_group")))
+        ranked = average_ranks_within(rest, by, {"_b": factor}, size="_m")
+        known = ranked.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
+        ranked = average_ranks_within(known, by, {"_x": factor, "_y": outcome})
+    else:
+        ranked = _without_groups(pairs, groups, keys, group, factor, outcome)
+    bucket = F.when(F.col("_m") >= minimum, F.floor((F.col("_b") - 1) * q / F.col("_m")) + 1)
+    daily = bucket_spread_daily(
+        ranked.withColumn("bucket", bucket), q, keys=by, outcome=outcome,
+        extra={"observations": F.count(F.lit(1)), "ic": correlation_aggregate("_x", "_y")})
     return summarize_daily(daily, keys=[*pair, "excluded_group"])
 
 

@@ -13,17 +13,17 @@ from stratapanel.operators.ranks import cross_sectional_rank
 from stratapanel.plans import panels as pp
 from stratapanel.plans import sql as s
 from stratapanel.plans import views
-from stratapanel.plans.q_core import DAILY, M
+from stratapanel.plans.q_core import DAILY, M, RANKED
 from stratapanel.plans.q_evidence import COUNTS, PAIR, summary_sql
 from stratapanel.plans.registry import final, query
 from stratapanel.runtime import stage
 
-SMALL = f"{M}, {s.pit_windows((5,), (1, 3))}, {s.ranked((5,), (1, 3))}"
+SMALL = RANKED
 KEY = f"{PAIR}, session"
 
 
-def small_pairs(spark, d):
-    return stage(pp.paired(spark, d, (5,), (1, 3)))
+def all_pairs(spark, d):
+    return stage(pp.paired(spark, d))
 
 
 # Brute force: every group is ranked again without each of its members.
@@ -38,7 +38,7 @@ del AS (SELECT {KEY}, dropped AS entity, max(m) + 1 AS observations, CASE WHEN m
 
 @query("leave_one_entity_out_daily", final(f"{SMALL}, {DELETED}", f"{KEY}, entity, observations", "del", "ic_without spread_without"))
 def _(spark, d):
-    return il.deletion_statistics(small_pairs(spark, d), keys=pp.KEYS)
+    return il.deletion_statistics(all_pairs(spark, d), keys=pp.KEYS)
 
 
 RERANKED_DAILY = f"""{s.spearman('paired', KEY, 'rank', 'outcome', 'ics')},
@@ -59,7 +59,7 @@ bd AS (SELECT * FROM ics JOIN sp USING ({KEY}))"""
     f"{PAIR}, entity, present_dates", "loo",
     "baseline_mean_ic excluded_mean_ic mean_ic_change baseline_mean_spread excluded_mean_spread mean_spread_change"))
 def _(spark, d):
-    return il.leave_one_entity_out(small_pairs(spark, d), pair=pp.PAIR_KEYS)
+    return il.leave_one_entity_out(all_pairs(spark, d), pair=pp.PAIR_KEYS)
 
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -85,25 +85,26 @@ gd AS (SELECT *, {s.spread(10)} AS spread FROM gics JOIN gs USING ({keys}))"""
     f"{PAIR}, excluded_group, {COUNTS}", "lg",
     s.SUMMARY_DOUBLES + " baseline_mean_ic baseline_mean_spread mean_ic_change mean_spread_change"))
 def _(spark, d):
-    pairs = stage(small_pairs(spark, d).join(views.groups_region(spark, d), "entity", "left"))
+    pairs = stage(all_pairs(spark, d).join(views.groups_region(spark, d), "entity", "left"))
     cells = il.leave_one_group_out(pairs, REGIONS, pair=pp.PAIR_KEYS)
     alone = pairs.withColumn("group_name", F.lit("in"))
     baseline = il.leave_one_group_out(alone, ["out"], pair=pp.PAIR_KEYS)
     return il.against_baseline(cells, baseline, pair=pp.PAIR_KEYS)
 
 
-BANDS = f"""shares AS (SELECT entity, 5 AS formation, 100.0 * count(CASE WHEN valid_factor_primary_5 THEN 1 END) / count(*) AS retained_pct FROM pit GROUP BY 1),
-edges AS (SELECT quantile_cont(retained_pct, 0.25) AS lo, quantile_cont(retained_pct, 0.75) AS hi FROM shares),
-bands AS (SELECT entity, formation, retained_pct, CASE WHEN retained_pct <= lo THEN 'LOW' WHEN retained_pct < hi THEN 'MIDDLE' ELSE 'HIGH' END AS band FROM shares CROSS JOIN edges)"""
+BANDS = "shares AS (" + " UNION ALL ".join(
+    f"SELECT entity, {h} AS formation, 100.0 * count(CASE WHEN valid_factor_primary_{h} THEN 1 END) / count(*) AS retained_pct FROM pit GROUP BY 1" for h in pp.FORMATIONS) + """),
+edges AS (SELECT formation, quantile_cont(retained_pct, 0.25) AS lo, quantile_cont(retained_pct, 0.75) AS hi FROM shares GROUP BY 1),
+bands AS (SELECT entity, formation, retained_pct, CASE WHEN retained_pct <= lo THEN 'LOW' WHEN retained_pct < hi THEN 'MIDDLE' ELSE 'HIGH' END AS band FROM shares JOIN edges USING (formation))"""
 
 
 @query("coverage_band_sensitivity", final(
     f"""{SMALL}, {BANDS}, tagged AS (SELECT paired.*, band FROM paired JOIN bands USING (entity, formation)),
     {_regrouped('band', 'tagged')}, {summary_sql('gd', f'{PAIR}, band')}""", f"{PAIR}, band, {COUNTS}", "summ", s.SUMMARY_DOUBLES))
 def _(spark, d):
-    panel = stage(pp.intervals(spark, d, (5,), (1, 3)))
-    bands = il.coverage_bands(panel, (5,), valid="valid_factor_primary_{}")
-    pairs = ev.with_outcomes(pp.rank_signals(panel, (5,), (1, 3)))
+    panel = stage(pp.intervals(spark, d))
+    bands = il.coverage_bands(panel, pp.FORMATIONS, valid="valid_factor_primary_{}")
+    pairs = ev.with_outcomes(pp.rank_signals(panel))
     return il.coverage_band_sensitivity(pairs, bands, pair=pp.PAIR_KEYS)
 
 
