@@ -39,12 +39,20 @@ class SessionRules:
     """Normal trading intervals, dated exceptions and entity valid-from dates.
 
     ``overrides`` has columns session_date, session_type, expected (array of minutes or
-    NULL) and force_ineligible, one row per date.
+    NULL) and force_ineligible, one row per date.  ``valid_from`` is a table (entity, valid_from) of any size, or a few dates by name; of several
+    dates of an entity the last one counts.
     """
 
     normal: list[tuple[str, str]]
     overrides: DataFrame
-    valid_from: dict[str, str] = field(default_factory=dict)
+    valid_from: DataFrame | dict[str, str] = field(default_factory=dict)
+
+    def floors(self) -> DataFrame:
+        """(entity, valid_from), one row per entity."""
+        table = self.valid_from
+        if isinstance(table, dict):
+            table = self.overrides.sparkSession.createDataFrame(list(table.items()), "entity string, valid_from string")
+        return table.groupBy("entity").agg(F.max(F.col("valid_from").cast("date")).alias("valid_from"))
 
     @property
     def minutes(self) -> list[int]:
@@ -99,17 +107,17 @@ def flag_minutes(
         .when(F.col("_expected").isNotNull(), F.array_contains("_expected", F.col("minute")))
         .otherwise(F.lit(True))  # unknown grid: kept for audit, ineligible later
     )
-    early = F.lit(False)
-    for name, start in rules.valid_from.items():
-        early = early | ((F.col(entity) == name) & (F.col("day") < F.lit(start).cast("date")))
+    # One equi-join, whatever the number of rules; the planner broadcasts a small table by its size.
+    floors = rules.floors().select(F.col("entity").alias(entity), F.col("valid_from").alias("_floor"))
+    df = df.join(floors, entity, "left")
     return (
         df.withColumn("bad_ohlc", bad_ohlc())
         .withColumn("bad_other", bad_volume_or_minute(volume, ts))
         .withColumn("off_minute", off_minute(ts))
-        .withColumn("before_identity", early)
+        .withColumn("before_identity", yes(F.col("day") < F.col("_floor")))
         .withColumn("outside_session", F.col("grid_known") & ~inside)
         .withColumn("on_grid", inside)
-        .drop("_expected", "_over", "_normal")
+        .drop("_expected", "_over", "_normal", "_floor")
     )
 
 

@@ -82,6 +82,22 @@ def block_bootstrap(
     )
 
 
+def bootstrap_statistics(
+    daily: DataFrame, values: dict[str, str], *, keys: list[str], session: str = "session", block: Column, replications: int = 2000,
+    seed: Column | int = 0, confidence: float = 0.95,
+) -> DataFrame:
+    """``block_bootstrap`` of several daily columns at once; ``values`` maps names of statistics to columns.
+
+    All statistics come from one table of draws; each has its own dates (those with a value) and the seed plus its number.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("statistic"), F.lit(i).alias("_index"), F.col(c).cast("double").alias("_value")) for i, (n, c) in enumerate(values.items())])
+    long = daily.select(*keys, session, F.inline(cells))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    out = block_bootstrap(
+        long, keys=[*keys, "statistic", "_index"], value="_value", session=session, block=block, replications=replications, seed=seed + F.col("_index"), confidence=confidence)
+    return out.drop("_index")
+
+
 def multiple_testing(
     tests: DataFrame, *, family: list[str], p: str = "p_value", tie: list[str], estimate: str = "estimate", alpha: float = 0.05
 ) -> DataFrame:

@@ -100,12 +100,17 @@ def period_returns(equity: DataFrame, initial: float, unit: str, *, key: str = P
     return ends.select(key, "period", (ratio("_end", F.coalesce(before, F.lit(float(initial)))) - 1).alias("period_return"))
 
 
-def drawdown_episodes(equity: DataFrame, top: int | None = 10, *, key: str = PORTFOLIO, session: str = "session") -> DataFrame:
-    """Peak, start, trough and recovery of every drawdown, deepest first; ``top`` limits the report."""
+def _peaks(equity: DataFrame, key: str, session: str) -> DataFrame:
+    """Sessions with their number ``_i``, ``_p`` (1 at a running peak) and ``_episode``, the number of peaks so far."""
     w = W.partitionBy(key).orderBy(session)
     rows = equity.select(key, session, "equity", F.row_number().over(w).alias("_i"), F.max("equity").over(w).alias("_peak"))
     at_peak = F.col("equity") >= F.col("_peak")
-    rows = rows.withColumn("_p", at_peak.cast("int")).withColumn("_episode", F.sum(at_peak.cast("int")).over(w))
+    return rows.withColumn("_p", at_peak.cast("int")).withColumn("_episode", F.sum(at_peak.cast("int")).over(w))
+
+
+def drawdown_episodes(equity: DataFrame, top: int | None = 10, *, key: str = PORTFOLIO, session: str = "session") -> DataFrame:
+    """Peak, start, trough and recovery of every drawdown, deepest first; ``top`` limits the report."""
+    rows = _peaks(equity, key, session)
     under = F.col("_p") == 0
     e = rows.groupBy(key, "_episode").agg(
         F.max(F.when(~under, F.col(session))).alias("peak_session"), F.max(F.when(~under, F.col("_i"))).alias("_pi"),
@@ -158,11 +163,28 @@ def contribution_share(contributions: DataFrame, by: str, *, key: str = PORTFOLI
     return sums.join(total, key).withColumn("absolute_share", ratio(F.abs("contribution"), "_t")).drop("_t")
 
 
-def drawdown_attribution(episodes: DataFrame, contributions: DataFrame, by: str, *, key: str = PORTFOLIO, session: str = "session") -> DataFrame:
-    """Contribution by name or group inside (peak, trough] of each episode, and its absolute share."""
-    spans = episodes.select(key, "episode_id", "peak_session", "trough_session")
-    inside = contributions.join(spans, key).where(
-        (F.col(session) > F.col("peak_session")) & (F.col(session) <= F.col("trough_session")))
+def episode_sessions(equity: DataFrame, *, key: str = PORTFOLIO, session: str = "session") -> DataFrame:
+    """(portfolio, session, episode_id) of every session in (peak, trough] of a drawdown; ids by depth as in ``drawdown_episodes``.
+
+    Episodes do not overlap, so one pass over the running peaks labels each session once.
+    """
+    rows = _peaks(equity, key, session).withColumn("_t", F.when(F.col("_p") == 0, F.struct("equity", "_i", session)))
+    episode = W.partitionBy(key, "_episode")
+    low = F.min("_t").over(episode)
+    marked = rows.select(
+        key, session, "_i", "_p", F.max(F.when(F.col("_p") == 1, F.col("equity"))).over(episode).alias("_pe"), low.alias("_low"),
+        F.max(F.when(F.col("_p") == 1, F.col(session))).over(episode).alias("_ps"))
+    depth = (ratio("_low.equity", "_pe") - 1).alias("_depth")
+    falling = marked.where((F.col("_p") == 0) & (F.col("_i") <= F.col("_low._i"))).select(key, session, depth, "_ps")
+    return falling.select(key, session, F.dense_rank().over(W.partitionBy(key).orderBy("_depth", "_ps")).alias("episode_id"))
+
+
+def drawdown_attribution(equity: DataFrame, contributions: DataFrame, by: str, *, key: str = PORTFOLIO, session: str = "session") -> DataFrame:
+    """Contribution by name or group inside (peak, trough] of every episode, and its absolute share.
+
+    Sessions carry the label of their episode, so contributions meet them once, on portfolio and session.
+    """
+    inside = contributions.join(episode_sessions(equity, key=key, session=session), [key, session])
     keys = [key, "episode_id"]
     kinds = lambda s: F.coalesce(F.sum(F.when(F.col("position_status") == s, F.col("net_contribution"))), F.lit(0.0))
     sums = inside.groupBy(*keys, by).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import yes
@@ -43,6 +44,33 @@ def incremental_extend(
     return accepted.unionByName(added.select(*accepted.columns))
 
 
+def tail_state(accepted: DataFrame, rows: int, *, entity: str, session: str) -> DataFrame:
+    """The last ``rows`` rows of every entity: all that trailing windows over so many rows need to go on.
+
+    The first state of a panel; ``extend_from_state`` gives the next one.
+    """
+    newest = W.partitionBy(entity).orderBy(F.col(session).desc())
+    return accepted.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= rows).drop("_k")
+
+
+def extend_from_state(
+    state: DataFrame, new: DataFrame, rows: int, *, entity: str, session: str, recompute: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, next state) for new sessions, from the stored state alone: accepted history is not read.
+
+    ``recompute`` derives columns from trailing windows of at most ``rows`` + 1 rows of an entity.  The job fails if a key occurs twice, or if
+    a new row of an entity is not later than all its rows in the state.
+    """
+    raw = state.columns
+    both = state.select("*", F.lit(False).alias("_new")).unionByName(new.select(*raw, F.lit(True).alias("_new")))
+    both = unique_on(both, [entity, session], "the extension")
+    last = F.max(F.when(~F.col("_new"), F.col(session))).over(W.partitionBy(entity))
+    late = F.when(~F.col("_new") | F.col("_last").isNull() | (F.col(session) > F.col("_last")), True)
+    checked = both.withColumn("_last", last).where(late.otherwise(F.raise_error(F.lit("a new row is not later than the state")).cast("boolean")))
+    added = recompute(checked.drop("_last")).where("_new").drop("_new")
+    return added, tail_state(checked.select(*raw), rows, entity=entity, session=session)
+
+
 def append_new_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the batch whose key the target does not have yet; of rows with one key the least, by all other columns, is taken."""
     rest = [c for c in batch.columns if c not in keys]

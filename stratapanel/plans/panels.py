@@ -15,6 +15,8 @@ from stratapanel.runtime import stage
 
 FORMATIONS = (5, 10, 20)
 FUTURES = (1, 3, 5)
+#: The full grid of look-backs and outcomes, for queries on families of pairs.
+GRID = ((5, 10, 20, 40, 60), (1, 2, 3, 5, 10, 20))
 PAIR_KEYS = ["formation", "future"]
 KEYS = ["formation", "future", "session"]
 

@@ -163,58 +163,65 @@ def _(spark, d):
     return out.join(frac, "future")
 
 
-REPS = 200
-BOOT = f"""vals AS (SELECT {PAIR}, ic AS v, row_number() OVER (PARTITION BY {PAIR} ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY {PAIR}) AS n
-    FROM daily WHERE ic IS NOT NULL),
-ser AS (SELECT {PAIR}, max(n) AS n, avg(v) AS estimate, least(greatest(10, 2 * future), max(n)) AS len, CAST(formation * 1000 + future * 10 + 17 AS BIGINT) AS seed FROM vals GROUP BY formation, future),
+REPS = 2000
+GRID_DAILY = f"{M}, {s.pit_windows(*pp.GRID)}, {s.ranked(*pp.GRID)}, {s.daily(10, 10)}"
+STAT = f"{PAIR}, statistic"
+BOOT = f"""vals AS (SELECT {STAT}, idx, v, row_number() OVER (PARTITION BY {STAT} ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY {STAT}) AS n
+    FROM (SELECT {PAIR}, session, 'MEAN_IC' AS statistic, 0 AS idx, ic AS v FROM daily UNION ALL SELECT {PAIR}, session, 'MEAN_SPREAD', 1, spread FROM daily) WHERE v IS NOT NULL),
+ser AS (SELECT {STAT}, max(n) AS n, avg(v) AS estimate, least(greatest(10, 2 * future), max(n)) AS len, CAST(formation * 1000 + future * 10 + 17 + max(idx) AS BIGINT) AS seed FROM vals GROUP BY formation, future, statistic),
 dr AS (SELECT *, CAST(((rep * 7919 + block * 104729 + seed) % 4294967296) AS BIGINT) AS x0 FROM (SELECT *, unnest(range(CAST(ceil(n / CAST(len AS DOUBLE)) AS BIGINT))) AS block
     FROM (SELECT *, unnest(range({REPS})) AS rep FROM ser))),
 h1 AS (SELECT *, (xor(x0, x0 >> 16) * 73244475) % 4294967296 AS x1 FROM dr), h2 AS (SELECT *, (xor(x1, x1 >> 16) * 73244475) % 4294967296 AS x2 FROM h1),
 st AS (SELECT *, xor(x2, x2 >> 16) % n AS start FROM h2),
 off AS (SELECT *, unnest(range(CAST(least(len, n - block * len) AS BIGINT))) AS k FROM st),
-ms AS (SELECT {PAIR}, rep, avg(v) AS m, max(estimate) AS estimate FROM (SELECT off.*, vals.v FROM off JOIN vals ON vals.formation = off.formation AND vals.future = off.future
-    AND vals.i = (off.start + off.k) % off.n) GROUP BY ALL),
-boot AS (SELECT {PAIR}, max(estimate) AS estimate, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper,
+ms AS (SELECT {STAT}, rep, avg(v) AS m, max(estimate) AS estimate FROM (SELECT off.*, vals.v FROM off JOIN vals ON vals.formation = off.formation AND vals.future = off.future
+    AND vals.statistic = off.statistic AND vals.i = (off.start + off.k) % off.n) GROUP BY ALL),
+boot AS (SELECT {STAT}, max(estimate) AS estimate, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper,
     (count(CASE WHEN abs(m - estimate) >= abs(estimate) THEN 1 END) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value, count(*) AS replications FROM ms GROUP BY ALL),
-bt AS (SELECT boot.*, ser.n AS valid_dates, ser.len AS block_length FROM boot JOIN ser USING ({PAIR}))"""
+bt AS (SELECT boot.*, ser.n AS valid_dates, ser.len AS block_length FROM boot JOIN ser USING ({STAT}))"""
+
+
+def grid_daily(spark, d):
+    """Daily statistics of all thirty pairs of look-back and outcome."""
+    return pp.daily(spark, d, formations=pp.GRID[0], futures=pp.GRID[1])
 
 
 def bootstrap(spark, d, daily=None):
-    daily = daily if daily is not None else pp.daily(spark, d)
-    return inf.block_bootstrap(
-        daily, keys=pp.PAIR_KEYS, block=F.greatest(F.lit(10), 2 * F.col("future")), replications=REPS,
+    daily = daily if daily is not None else grid_daily(spark, d)
+    return inf.bootstrap_statistics(
+        daily, {"MEAN_IC": "ic", "MEAN_SPREAD": "spread"}, keys=pp.PAIR_KEYS, block=F.greatest(F.lit(10), 2 * F.col("future")), replications=REPS,
         seed=F.col("formation") * 1000 + F.col("future") * 10 + 17)
 
 
-@query("block_bootstrap_ci", final(f"{DAILY}, {BOOT}", f"{PAIR}, valid_dates, block_length, replications", "bt", "estimate ci_lower ci_upper"))
+@query("block_bootstrap_ci", final(f"{GRID_DAILY}, {BOOT}", f"{STAT}, valid_dates, block_length, replications", "bt", "estimate ci_lower ci_upper"))
 def _(spark, d):
     return bootstrap(spark, d).drop("p_value")
 
 
-@query("block_bootstrap_pvalue", final(f"{DAILY}, {BOOT}", PAIR, "bt", "estimate p_value"))
+@query("block_bootstrap_pvalue", final(f"{GRID_DAILY}, {BOOT}", STAT, "bt", "estimate p_value"))
 def _(spark, d):
-    return bootstrap(spark, d).select(*pp.PAIR_KEYS, "estimate", "p_value")
+    return bootstrap(spark, d).select(*pp.PAIR_KEYS, "statistic", "estimate", "p_value")
 
 
-TESTS = f"""{BOOT}, kk AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p_value, formation, future) AS k FROM bt),
-mt AS (SELECT {PAIR}, estimate, p_value, least(1.0, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh_p_value,
-  least(1.0, max(p_value * (n - k + 1)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS holm_p_value FROM kk),
+TESTS = f"""{BOOT}, kk AS (SELECT *, count(*) OVER (PARTITION BY statistic) AS n, row_number() OVER (PARTITION BY statistic ORDER BY p_value, formation, future) AS k FROM bt),
+mt AS (SELECT {STAT}, estimate, p_value, least(1.0, min(p_value * n / k) OVER (PARTITION BY statistic ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh_p_value,
+  least(1.0, max(p_value * (n - k + 1)) OVER (PARTITION BY statistic ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS holm_p_value FROM kk),
 mt2 AS (SELECT *, bh_p_value <= 0.05 AS bh_reject, holm_p_value <= 0.05 AS holm_reject,
   CASE WHEN estimate > 0 THEN 'POSITIVE' WHEN estimate < 0 THEN 'NEGATIVE' ELSE 'ZERO' END AS direction FROM mt)"""
 
 
-@query("multiple_testing", final(f"{DAILY}, {TESTS}", f"{PAIR}, bh_reject, holm_reject, direction", "mt2", "estimate p_value bh_p_value holm_p_value"))
+@query("multiple_testing", final(f"{GRID_DAILY}, {TESTS}", f"{STAT}, bh_reject, holm_reject, direction", "mt2", "estimate p_value bh_p_value holm_p_value"))
 def _(spark, d):
-    tests = bootstrap(spark, d).withColumn("family", F.lit("IC"))
-    out = inf.multiple_testing(tests, family=["family"], tie=["formation", "future"])
-    return out.select(*pp.PAIR_KEYS, "bh_reject", "holm_reject", "direction", "estimate", "p_value", "bh_p_value", "holm_p_value")
+    # Two families of thirty tests.
+    out = inf.multiple_testing(bootstrap(spark, d), family=["statistic"], tie=["formation", "future"])
+    return out.select(*pp.PAIR_KEYS, "statistic", "bh_reject", "holm_reject", "direction", "estimate", "p_value", "bh_p_value", "holm_p_value")
 
 
 EVIDENCE = f"""{BOOT}, fs AS (SELECT {PAIR}, avg(ic) AS m FROM daily GROUP BY ALL), hs AS (SELECT {PAIR}, avg(ic) AS m FROM daily WHERE session >= DATE '2000-07-01' GROUP BY ALL),
 ys AS (SELECT {PAIR}, year(session) AS y, avg(ic) AS m FROM daily GROUP BY ALL HAVING avg(ic) IS NOT NULL),
 yf AS (SELECT {PAIR}, count(CASE WHEN m > 0 THEN 1 END) / CAST(count(*) AS DOUBLE) AS f FROM ys GROUP BY ALL),
 os AS (SELECT {PAIR}, avg(m) AS m FROM (SELECT {PAIR}, position % future AS o, avg(ic) AS m FROM daily GROUP BY ALL) GROUP BY ALL),
-cells AS (SELECT {PAIR}, fs.m AS f, hs.m AS h, yf.f AS y, os.m AS o, ci_lower, ci_upper FROM fs LEFT JOIN hs USING ({PAIR}) LEFT JOIN yf USING ({PAIR}) LEFT JOIN os USING ({PAIR}) LEFT JOIN bt USING ({PAIR})),
+cells AS (SELECT {PAIR}, fs.m AS f, hs.m AS h, yf.f AS y, os.m AS o, ci_lower, ci_upper FROM fs LEFT JOIN hs USING ({PAIR}) LEFT JOIN yf USING ({PAIR}) LEFT JOIN os USING ({PAIR}) LEFT JOIN (SELECT * FROM bt WHERE statistic = 'MEAN_IC') USING ({PAIR})),
 cn AS (SELECT formation, count(CASE WHEN f > 0 THEN 1 END) AS positive_full, count(CASE WHEN f < 0 THEN 1 END) AS negative_full, count(CASE WHEN h > 0 THEN 1 END) AS positive_holdout,
   count(CASE WHEN h < 0 THEN 1 END) AS negative_holdout, count(CASE WHEN y >= 0.5 THEN 1 END) AS positive_year_majority, count(CASE WHEN ci_lower > 0 THEN 1 END) AS positive_ci,
   count(CASE WHEN ci_upper < 0 THEN 1 END) AS negative_ci, count(CASE WHEN o > 0 THEN 1 END) AS positive_nonoverlap, count(CASE WHEN o < 0 THEN 1 END) AS negative_nonoverlap FROM cells GROUP BY 1)"""
@@ -222,7 +229,7 @@ COUNT_COLS = ("positive_full, negative_full, positive_holdout, negative_holdout,
               "positive_nonoverlap, negative_nonoverlap")
 
 
-@query("evidence_classify", f"""WITH {DAILY}, {EVIDENCE} SELECT formation, {COUNT_COLS},
+@query("evidence_classify", f"""WITH {GRID_DAILY}, {EVIDENCE} SELECT formation, {COUNT_COLS},
   CASE WHEN positive_full >= 5 AND positive_holdout >= 5 AND positive_year_majority >= 5 AND positive_ci >= 4 THEN 'ROBUST'
    WHEN negative_full >= 5 AND negative_holdout >= 4 AND negative_nonoverlap >= 5 THEN 'REVERSAL-LIKE'
    WHEN positive_full >= 4 AND positive_holdout >= 4 THEN 'PROMISING BUT UNSTABLE'
@@ -232,12 +239,12 @@ COUNT_COLS = ("positive_full, negative_full, positive_holdout, negative_holdout,
    WHEN positive_full >= 2 AND positive_holdout >= 2 AND positive_nonoverlap >= 2 THEN 'PROMISING BUT UNSTABLE'
    WHEN positive_full <= 1 AND positive_holdout <= 1 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS group_classification FROM cn""")
 def _(spark, d):
-    daily = stage(pp.daily(spark, d))
+    daily = stage(grid_daily(spark, d))
     summary = ev.summarize_daily(daily, keys=pp.PAIR_KEYS)
     holdout = ev.summarize_daily(daily.where(F.col("session") >= F.lit("2000-07-01").cast("date")), keys=pp.PAIR_KEYS)
     stability = ch.year_stability(ch.yearly_analysis(daily, keys=pp.PAIR_KEYS), keys=pp.PAIR_KEYS)
     counts = cl.evidence_counts(
-        summary, holdout, stability, bootstrap(spark, d, daily), ch.nonoverlap_offsets(daily, keys=pp.PAIR_KEYS), keys=["formation"])
+        summary, holdout, stability, bootstrap(spark, d, daily).where("statistic = 'MEAN_IC'"), ch.nonoverlap_offsets(daily, keys=pp.PAIR_KEYS), keys=["formation"])
     out = cl.classify(counts, cl.formation_rules(), "INCONCLUSIVE")
     rules = cl.group_rules(
         {"positive_full": 3, "positive_holdout": 3, "positive_nonoverlap": 3, "positive_ci": 2},
@@ -275,6 +282,34 @@ def _(spark, d):
                              measures=("mean_ic", "mean_spread", "valid_dates"))
 
 
+CLASS_SQL = """CASE WHEN date_band = 'LT20' THEN 'INSUFFICIENT SAMPLE' WHEN "primary" <= 1 THEN 'CONTRADICTORY' WHEN "primary" <= 3 THEN 'MIXED'
+    WHEN NOT ("primary" >= 4 AND moderate >= 4 AND nonoverlap >= 4 AND basic_average_positive AND moderate_average_positive AND NOT date_sign_flip) THEN 'DIRECTIONALLY POSITIVE BUT UNSTABLE'
+    WHEN date_band = '20_TO_59' THEN 'SUPPORTIVE BUT SHORT SAMPLE' ELSE 'SUPPORTED' END"""
+STATES_SQL = f"""{GRID_DAILY}, per AS (SELECT formation, future, avg(ic) AS m, avg(spread) AS sp, avg(CASE WHEN session >= DATE '2000-07-01' THEN ic END) AS h, count(*) AS n FROM daily GROUP BY ALL),
+agg AS (SELECT formation, count(CASE WHEN m > 0 THEN 1 END) AS "primary", count(CASE WHEN sp > 0 THEN 1 END) AS moderate, count(CASE WHEN h > 0 THEN 1 END) AS nonoverlap,
+    avg(m) > 0 AS basic_average_positive, avg(sp) > 0 AS moderate_average_positive, sign(avg(m)) <> sign(avg(h)) AS date_sign_flip,
+    CASE WHEN min(n) < 20 THEN 'LT20' WHEN min(n) < 60 THEN '20_TO_59' ELSE 'GE60' END AS date_band FROM per GROUP BY 1),
+grid AS (SELECT * FROM (SELECT unnest(range(7)) AS "primary") CROSS JOIN (SELECT unnest(range(7)) AS moderate) CROSS JOIN (SELECT unnest(range(7)) AS nonoverlap)
+    CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS basic_average_positive) CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS moderate_average_positive)
+    CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS date_sign_flip) CROSS JOIN (SELECT unnest(['LT20', '20_TO_59', 'GE60']) AS date_band))"""
+STATE = ["primary", "moderate", "nonoverlap", "basic_average_positive", "moderate_average_positive", "date_sign_flip", "date_band"]
+
+
+@query("decision_table_states", f"""WITH {STATES_SQL}, seen AS (SELECT * EXCLUDE (formation), count(*) AS formations FROM agg GROUP BY ALL)
+SELECT grid.*, {CLASS_SQL} AS classification, coalesce(seen.formations, 0) AS formations FROM grid LEFT JOIN seen USING ({", ".join(f'"{c}"' for c in STATE)})""")
+def _(spark, d):
+    # Every state of the rule's inputs with its class, and how many look-backs of the grid are in it.
+    hold = F.avg(F.when(F.col("session") >= F.lit("2000-07-01").cast("date"), F.col("ic")))
+    per = grid_daily(spark, d).groupBy(*pp.PAIR_KEYS).agg(F.avg("ic").alias("m"), F.avg("spread").alias("sp"), hold.alias("h"), F.count(F.lit(1)).alias("n"))
+    n = F.min("n")
+    states = per.groupBy("formation").agg(
+        F.count_if(F.col("m") > 0).alias("primary"), F.count_if(F.col("sp") > 0).alias("moderate"), F.count_if(F.col("h") > 0).alias("nonoverlap"),
+        (F.avg("m") > 0).alias("basic_average_positive"), (F.avg("sp") > 0).alias("moderate_average_positive"),
+        (F.signum(F.avg("m")) != F.signum(F.avg("h"))).alias("date_sign_flip"), F.when(n < 20, "LT20").when(n < 60, "20_TO_59").otherwise("GE60").alias("date_band"))
+    seen = states.groupBy(*STATE).agg(F.count(F.lit(1)).alias("formations"))
+    return cl.decision_table(spark).join(seen, STATE, "left").fillna({"formations": 0})
+
+
 # States of the candidate rule met by the test pairs: one row per formation and outcome.
 @query("decision_table_enumerate", f"""WITH {DAILY}, agg AS (SELECT {PAIR}, count(CASE WHEN ic > 0 THEN 1 END) % 7 AS "primary", count(CASE WHEN ic < 0 THEN 1 END) % 7 AS moderate,
     count(CASE WHEN spread > 0 THEN 1 END) % 7 AS nonoverlap, avg(ic) > 0 AS ba, avg(spread) > 0 AS ma, count(*) AS n FROM daily GROUP BY ALL),

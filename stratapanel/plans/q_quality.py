@@ -13,6 +13,7 @@ from stratapanel.plans import sql as s
 from stratapanel.plans import views
 from stratapanel.plans.q_core import M, _baseline_sql, _full, _price_sql, crossed_panel
 from stratapanel.plans.registry import final, query
+from stratapanel.runtime import stage
 
 CAND = f"""{M}, {s.EVENTS}, {_baseline_sql(20)}, {_price_sql(5)},
 cj AS (SELECT s.entity, s.session, valid_volume_baseline_20 AS vv, volume_baseline_20_invalid_reason AS vr, valid_price_return_5 AS pv,
@@ -62,11 +63,17 @@ def _(spark, d):
 SELECT entity, session, CASE WHEN session < DATE '2001-01-01' THEN -1.0 ELSE round(avg_volume_5, 6) + 0.0 END AS avg_volume_5 FROM liq""")
 def _(spark, d):
     # Accepted rows carry a marker value that a recomputation would overwrite.
-    raw = pp.positioned(spark, d).select("entity", "session", "position", "volume")
-    cut = F.col("session") < F.lit("2001-01-01").cast("date")
-    accepted = raw.where(cut).withColumn("avg_volume_5", F.lit(-1.0))
+    # Two increments follow, each from the last rows of every entity, which the one before it has stored.
+    raw = stage(pp.positioned(spark, d).select("entity", "session", "position", "volume"))
+    day = lambda text: F.lit(text).cast("date")
     mean = lambda df: df.withColumn("avg_volume_5", ro.full_mean("volume", 5, entity="entity", order="position"))
-    out = qa.incremental_extend(accepted, raw.where(~cut), keys=["entity", "session"], session="session", recompute=mean)
+    accepted = raw.where(F.col("session") < day("2001-01-01"))
+    state = stage(qa.tail_state(accepted, 4, entity="entity", session="session"))
+    out = accepted.withColumn("avg_volume_5", F.lit(-1.0))
+    for first, last in (("2001-01-01", "2001-07-01"), ("2001-07-01", "9999-01-01")):
+        new = raw.where((F.col("session") >= day(first)) & (F.col("session") < day(last)))
+        added, state = qa.extend_from_state(state, new, 4, entity="entity", session="session", recompute=mean)
+        state, out = stage(state), out.unionByName(added)
     return out.select("entity", "session", "avg_volume_5")
 
 

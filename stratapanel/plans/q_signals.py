@@ -289,13 +289,13 @@ ea AS (SELECT portfolio_id, ep, max(CASE WHEN pk THEN session END) AS peak_sessi
   arg_min(session, CASE WHEN NOT pk THEN equity END) AS trough_session, arg_min(i, CASE WHEN NOT pk THEN equity END) AS ti, min(CASE WHEN NOT pk THEN equity END) AS te FROM ep GROUP BY 1, 2),
 el AS (SELECT *, lead(peak_session) OVER w AS recovery_session, lead(pi) OVER w AS ri FROM ea WINDOW w AS (PARTITION BY portfolio_id ORDER BY ep)),
 er AS (SELECT *, te / pe - 1 AS depth, row_number() OVER (PARTITION BY portfolio_id ORDER BY te / pe - 1, peak_session) AS episode_id FROM el WHERE te IS NOT NULL),
-episodes AS (SELECT portfolio_id, episode_id, peak_session, underwater_start, trough_session, recovery_session, depth, ti - pi AS peak_to_trough, ri - pi AS recovery_duration, ri IS NOT NULL AS recovered FROM er WHERE episode_id <= 10)"""
+episodes AS (SELECT portfolio_id, episode_id, peak_session, underwater_start, trough_session, recovery_session, depth, ti - pi AS peak_to_trough, ri - pi AS recovery_duration, ri IS NOT NULL AS recovered FROM er)"""
 
 
 @query("drawdown_episodes", final(
     EPISODES, "portfolio_id, episode_id, peak_session, underwater_start, trough_session, recovery_session, peak_to_trough, recovery_duration, recovered", "episodes", "depth"))
 def _(spark, d):
-    return po.drawdown_episodes(equity(spark, d))
+    return po.drawdown_episodes(equity(spark, d), None)
 
 
 @query("benchmark_return", f"""WITH {EQUITY}, sp AS (SELECT portfolio_id, min(session) AS start_session, max(session) AS end_session FROM eq GROUP BY 1), b AS (SELECT min(entity) AS e FROM panel)
@@ -477,7 +477,7 @@ SELECT portfolio_id, episode_id, group_name, round(n, 6) + 0.0 AS net_contributi
 def _(spark, d):
     b = Book(spark, d)
     c = contributions(b).join(views.groups_region(spark, d), "entity")
-    return po.drawdown_attribution(po.drawdown_episodes(b.equity), c, "group_name")
+    return po.drawdown_attribution(b.equity, c, "group_name")
 
 
 @query("nullable_carry_mark", f"""WITH {TARGETS}, fb AS (SELECT l_suppkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS session, min(l_extendedprice) AS c FROM lineitem WHERE l_quantity < 20 GROUP BY 1, 2),

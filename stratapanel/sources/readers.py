@@ -32,11 +32,37 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def scan_partitioned_bars(spark: SparkSession, root: str, *, schema: T.StructType = BAR_SCHEMA, ts: str = "timestamp") -> DataFrame:
-    """Read symbol=*/year=* Parquet; the job fails if a row's year differs from its partition.
+#: What the listing of a folder of files knows, with the partition columns as the bars have them.
+LISTING = "path string, modificationTime timestamp, length long, content binary, symbol string, year int"
 
-    Filters on symbol and year prune partitions before any file is opened.
+
+def partition_problems(spark: SparkSession, root: str, *, schema: T.StructType = BAR_SCHEMA, ts: str = "timestamp", token: str = "instrument_token") -> DataFrame:
+    """(symbol, year, problem) of partitions that are empty, hold rows of another year, or several tokens.
+
+    The listing of the files, whose content is not read, is compared with the rows that the files give; of the bars only time and token are read.
+    """
+    listed = spark.read.format("binaryFile").schema(LISTING).option("pathGlobFilter", "*.parquet").load(root).select("symbol", "year").distinct()
+    rows = spark.read.schema(schema).parquet(root).groupBy("symbol", "year").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.year(ts).eqNullSafe(F.col("year"))).alias("_same"), F.min(token).alias("_a"), F.max(token).alias("_b"),
+        F.count(token).alias("_t"))
+    problem = (
+        F.when(F.col("_n").isNull(), "EMPTY_PARTITION").when(F.col("_same") < F.col("_n"), "WRONG_YEAR")
+        .when((F.col("_a") != F.col("_b")) | (F.col("_t") < F.col("_n")), "NOT_ONE_TOKEN"))
+    return listed.join(rows, ["symbol", "year"], "left").select("symbol", "year", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def scan_partitioned_bars(
+    spark: SparkSession, root: str, *, schema: T.StructType = BAR_SCHEMA, ts: str = "timestamp", token: str = "instrument_token", check: bool = True,
+) -> DataFrame:
+    """Read symbol=*/year=* Parquet; fails if a partition is empty or holds several tokens, and if a row's year differs from its partition.
+
+    ``check``: look for such partitions first; without it only the rows that are read are tested for their year.  Filters on symbol and year
+    prune partitions before any file is opened.
     """
+    if check:
+        found = partition_problems(spark, root, schema=schema, ts=ts, token=token).orderBy("symbol", "year").limit(20).collect()
+        if found:
+            raise ValueError("partitions to mend: " + ", ".join(f"{r['symbol']}/{r['year']} {r['problem']}" for r in found))
     bars = spark.read.schema(schema).parquet(root)
     same = F.year(ts) == F.col("year")
     return bars.where(F.when(same, True).otherwise(F.raise_error(F.lit("row outside its year partition")).cast("boolean")))
