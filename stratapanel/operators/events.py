@@ -20,6 +20,15 @@ LIKELY_ADJUSTED = "LIKELY_ALREADY_ADJUSTED_CONVENTIONAL_ACTION"
 MATERIAL = "MATERIAL_UNRESOLVED_EVENT"
 UNKNOWN = "UNKNOWN_OR_AMBIGUOUS"
 
+# Reasons of a classified event; of withdrawn evidence (class, reason), to be named by the caller.
+CLASS_REASONS = ("MISSING_ENTITLEMENT_TERMS_AND_UNVERIFIED_DATE_SEMANTICS", "SOURCE_LABEL_ONLY_SPECIAL_DISTRIBUTIONS_NOT_IDENTIFIABLE",
+                 "PHASE1_CONTINUITY_EVIDENCE_NOT_VENDOR_CERTIFICATION", "NO_VERIFIED_CONVENTIONAL_ACTION_EVIDENCE", "UNRECOGNIZED_SOURCE_LABEL")
+WITHDRAWN = ("SPECIAL_DISTRIBUTION", "FACTOR_EVIDENCE_WITHDRAWN")
+# How a subject was recognised; blocking ones name their type behind the first text.
+MATCH = "OFFICIAL_PURPOSE_MATCH:"
+MATCH_INFORMATIONAL = {"BUYBACK": "ACCEPTED_OVERLAP_BUYBACKS_NONBLOCKING_21_OF_21", "DIVIDEND": "ACCEPTED_OVERLAP_DIVIDENDS_NONBLOCKING_565_OF_565"}
+NO_MATCH = "UNRECOGNIZED_OFFICIAL_PURPOSE_CONSERVATIVELY_BLOCKED"
+
 # Ordered keyword lists that recognise blocking event subjects.
 BLOCKING_KEYWORDS = [
     ("SPLIT_OR_FACE_VALUE_CHANGE", ["FACE VALUE", "SPLIT", "SUB-DIVISION", "CONSOLIDATION", "REVERSE SPLIT"]),
@@ -36,11 +45,13 @@ INFORMATIONAL_KEYWORDS = [("BUYBACK", ["BUY BACK", "BUYBACK"]), ("DIVIDEND", ["D
 def event_classify(
     events: DataFrame, evidence: DataFrame, *, label: str = "valid", merger: str = "merger", factor: str = "adj_factor",
     on: tuple[str, str] = ("symbol", "date"), unsettled: DataFrame | None = None,
+    withdrawn: tuple[str, str] = WITHDRAWN,
 ) -> DataFrame:
     """Class, impact, ambiguity and reason from the source label.
 
     An adjustment factor counts as conventional only if (symbol, date, factor) is in
-    ``evidence``; ``unsettled`` lists (symbol, date) whose evidence is withdrawn.
+    ``evidence``; ``unsettled`` lists (symbol, date) whose evidence is withdrawn, to be
+    labelled with the class and reason in ``withdrawn``.
     """
     known = evidence.select(*on, F.col("factor").cast("double").alias("_f")).distinct().withColumn("_known", F.lit(True))
     number = F.expr(f"try_cast(`{factor}` as double)")
@@ -65,15 +76,13 @@ def event_classify(
     return (
         rows.withColumn(
             "action_class",
-            pick(F.lit("SPECIAL_DISTRIBUTION"), F.upper(tag), F.upper(tag), F.lit("CONVENTIONAL_ACTION_SUPPORTED"),
+            pick(F.lit(withdrawn[0]), F.upper(tag), F.upper(tag), F.lit("CONVENTIONAL_ACTION_SUPPORTED_BY_PHASE1"),
                  F.lit("UNSPECIFIED_FACTOR_EVENT"), F.lit("UNCLASSIFIED")))
         .withColumn("impact", pick(*[F.lit(x) for x in (UNKNOWN, MATERIAL, NO_ADJUSTMENT, LIKELY_ADJUSTED, UNKNOWN, UNKNOWN)]))
         .withColumn("ambiguous", pick(*[F.lit(x) for x in (True, True, False, False, True, True)]))
         .withColumn(
             "class_reason",
-            pick(*[F.lit(x) for x in (
-                "FACTOR_EVIDENCE_WITHDRAWN", "MISSING_TERMS_AND_UNVERIFIED_DATE", "SOURCE_LABEL_ONLY",
-                "CONTINUITY_EVIDENCE", "NO_VERIFIED_EVIDENCE", "UNRECOGNIZED_SOURCE_LABEL")]))
+            pick(*[F.lit(x) for x in (withdrawn[1], *CLASS_REASONS)]))
         .drop("_f", "_known", "_u")
     )
 
@@ -84,7 +93,7 @@ def normalized_subject(subject: Column | str) -> Column:
 
 
 def subject_classify(events: DataFrame, subject: str = "subject") -> DataFrame:
-    """Type and safety from ordered keywords; anything unrecognised is blocked, never safe."""
+    """Type, safety and match reason from ordered keywords; anything unrecognised is blocked, never safe."""
     text = normalized_subject(subject)
 
     def hit(words):
@@ -96,9 +105,10 @@ def subject_classify(events: DataFrame, subject: str = "subject") -> DataFrame:
     kind = [(hit(words), name) for name, words in BLOCKING_KEYWORDS + INFORMATIONAL_KEYWORDS]
     blocking = [(hit(words), "BLOCK_PRICE_RETURN_INTERVAL") for _, words in BLOCKING_KEYWORDS]
     informational = [(hit(words), "NONBLOCKING_INFORMATIONAL") for _, words in INFORMATIONAL_KEYWORDS]
-    return events.withColumn("action_type", first_reason(kind, "OTHER_OR_UNKNOWN")).withColumn(
-        "safety", first_reason(blocking + informational, "REVIEW_REQUIRED_BLOCKED")
-    )
+    how = [(hit(words), MATCH + name) for name, words in BLOCKING_KEYWORDS] + [(hit(words), MATCH_INFORMATIONAL[name]) for name, words in INFORMATIONAL_KEYWORDS]
+    return events.withColumns({
+        "action_type": first_reason(kind, "OTHER_OR_UNKNOWN"), "safety": first_reason(blocking + informational, "REVIEW_REQUIRED_BLOCKED"),
+        "match_reason": first_reason(how, NO_MATCH)})
 
 
 def identity_attach(

@@ -91,8 +91,12 @@ def interval_panel(
     bad = F.when(F.col("_row") == 1, (~yes(eligible)).cast("int"))
     dirty = F.when(F.col("_row") == 1, yes(contaminated).cast("int"))
 
+    # Differences of running counts: a growing frame costs one step per row, whatever the horizon.
+    def upto(c, k):
+        return F.coalesce(F.sum(c).over(w.rangeBetween(W.unboundedPreceding, k)), F.lit(0))
+
     def total(c, a, b):
-        return F.coalesce(F.sum(c).over(w.rangeBetween(a, b)), F.lit(0))
+        return upto(c, b) - upto(c, a - 1)
 
     cols = [F.min(F.when(F.col("_row") == 1, pos)).over(W.partitionBy(entity)).alias("_first")]
     for h in steps:
@@ -145,8 +149,8 @@ def interval_panel(
             (gap, "MISSING_UNSAFE_SESSION_INTERVAL"),
             (inside & (F.col(f"_bad_{h}") > 0), "UNSAFE_SESSION_INTERVAL"),
             (later, "IDENTITY_CONTAMINATION"),
-            (crossed, "UNRESOLVED_EVENT_INTERVAL"),
-            (uncovered, "EVENT_COVERAGE_UNCERTIFIED"),
+            (crossed, "UNRESOLVED_CORPORATE_ACTION_INTERVAL"),
+            (uncovered, "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"),
         ]
         reason = F.concat_ws("|", *[F.when(c, F.lit(label)) for c, label in why])
         ok = reason == ""
@@ -233,7 +237,7 @@ def interval_panel_strict(
                 [
                     (~yes(identity_safe), "IDENTITY_AMBIGUOUS"), (~F.col("_good"), "INVALID_SIGNAL_ENDPOINT"),
                     (base.isNull(), "INSUFFICIENT_HISTORY"), (~exact, "UNAVAILABLE_SESSION_ENDPOINT"),
-                    (crossed, "EVENT_INTERVAL"), (~safe, "UNSAFE_INTERVENING_SESSION"),
+                    (crossed, "CORPORATE_ACTION_INTERVAL"), (~safe, "UNSAFE_INTERVENING_SESSION"),
                 ]
             ).alias(f"return_{h}_invalid_reason"),
         ]
@@ -254,7 +258,7 @@ def interval_panel_strict(
                 [
                     (~yes(identity_safe), "IDENTITY_AMBIGUOUS"), (~F.col("_good"), "INVALID_SIGNAL_ENDPOINT"),
                     (target.isNull(), "UNAVAILABLE_FUTURE_ENDPOINT"), (~exact, "UNAVAILABLE_SESSION_ENDPOINT"),
-                    (~certified, "EVENT_COVERAGE_UNCERTIFIED"), (crossed, "EVENT_INTERVAL"),
+                    (~certified, "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"), (crossed, "CORPORATE_ACTION_INTERVAL"),
                     (~safe, "UNSAFE_INTERVENING_SESSION"),
                 ]
             ).alias(f"future_invalid_reason_{h}"),

@@ -141,6 +141,14 @@ def ordinal_within(
     return placed.withColumn(rank, F.col("_start") + F.row_number().over(local)).withColumnRenamed("_size", size).drop("_piece", "_start")
 
 
+def first_within(df: DataFrame, keys: list[str], order: list[Column], tie: str, k: int, *, slices: int = 64) -> DataFrame:
+    """The first ``k`` rows of every group by ``order``, then ``tie`` (unique): taken in each hash slice of the group first, so no group is sorted as a whole."""
+    line = [*order, F.col(tie)]
+    some = df.withColumn("_slice", F.pmod(F.xxhash64(tie), F.lit(slices)))
+    some = some.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*line))).where(F.col("_k") <= k)
+    return some.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*line))).where(F.col("_k") <= k).drop("_k", "_slice")
+
+
 def average_ranks_within(
     df: DataFrame, keys: list[str], ranks: dict[str, str], *, size: str | None = None, pieces: int | None = None, split: Split | None = None,
 ) -> DataFrame:

@@ -101,8 +101,8 @@ def prior_volume_baseline(
                 (~started, "INSUFFICIENT_HISTORY"),
                 (~contiguous, "MISSING_OR_UNSAFE_SESSION_INTERVAL"),
                 (~all_good, "UNSAFE_PRIOR_OBSERVATION"),
-                (F.col("_cross"), "EVENT_INTERVAL"),
-                (~F.col("_cover"), "EVENT_COVERAGE_UNCERTIFIED"),
+                (F.col("_cross"), "CORPORATE_ACTION_INTERVAL"),
+                (~F.col("_cover"), "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"),
                 (yes((F.col(mean) <= 0) | (F.col(median) <= 0)), "ZERO_PRIOR_VOLUME_BASELINE"),
             ],
             "OTHER_UNSAFE_INTERVAL",
@@ -152,8 +152,8 @@ def price_return(
                 (~started, "INSUFFICIENT_HISTORY"),
                 (~contiguous, "MISSING_OR_UNSAFE_SESSION_INTERVAL"),
                 (~all_good, "UNSAFE_PRIOR_OBSERVATION"),
-                (F.col("_cross"), "EVENT_INTERVAL"),
-                (~F.col("_cover"), "EVENT_COVERAGE_UNCERTIFIED"),
+                (F.col("_cross"), "CORPORATE_ACTION_INTERVAL"),
+                (~F.col("_cover"), "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"),
                 (yes(F.col("_base") <= 0), "INVALID_PRICE_ENDPOINT"),
             ],
             "OTHER_UNSAFE_INTERVAL",
@@ -195,10 +195,10 @@ def one_session_return(
             "return_invalid_reason",
             first_reason(
                 [
-                    (uncertified, "EVENT_COVERAGE_UNCERTIFIED"),
+                    (uncertified, "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"),
                     (F.col("_c").isNull(), "UNAVAILABLE_ENDPOINT"),
                     (~contiguous, "MISSING_SESSION_ENDPOINT"),
-                    (cross, "EVENT_INTERVAL_BLOCKED"),
+                    (cross, "CORPORATE_ACTION_INTERVAL_BLOCKED"),
                     (~good, "UNSAFE_SOURCE_ENDPOINT"),
                 ]
             ),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from stratapanel.functions.scalars import yes
 from stratapanel.operators.events import interval_event_crossing
-from stratapanel.operators.orderstats import ordinal_within
+from stratapanel.operators.orderstats import first_within, ordinal_within
 from stratapanel.operators.quality import row_hashes
 from stratapanel.runtime import stage
 
@@ -73,8 +73,8 @@ def event_safe_targets(
     ranked = stage(rank_descending(inside, [session, code], liquidity, entity, rank="liquidity_rank"))
     marked = interval_event_crossing(ranked, events, entity=entity, start=session, end="_next")
     safe = marked.where(~F.col("crosses_event"))
-    again = ordinal_within(safe, [session, code], "liquidity_rank", entity, rank="_safe_rank", size="_n")
-    chosen = stage(again.where(F.col("_safe_rank") <= k_members).drop("_safe_rank", "_n", "_next", "crosses_event"))
+    # One ranking; the next safe members are the first ones of its order.
+    chosen = stage(first_within(safe, [session, code], [F.col("liquidity_rank")], entity, k_members).drop("_next", "crosses_event"))
     return _weighted(chosen, session)
 
 

@@ -22,8 +22,8 @@ KEYS = ["formation", "future", "session"]
 
 
 def positioned(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    panel = views.panel_month(spark, sf_dir) if unit == "month" else views.panel_week(spark, sf_dir)
-    return session_position(panel)
+    """The panel, aggregated from one scan of the lines and written once, with the positions of its own sessions."""
+    return session_position(stage(views.panel_month(spark, sf_dir) if unit == "month" else views.panel_week(spark, sf_dir)))
 
 
 class Week:
@@ -47,10 +47,9 @@ def calendar_of(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFr
 
 def intervals(spark, sf_dir, formations=FORMATIONS, futures=FUTURES, unit="month", events=False, coverage=None):
     ledger = views.impact_days(spark, sf_dir) if events else None
-    return interval_panel_pit(
-        positioned(spark, sf_dir, unit), formations, futures, events=ledger,
-        calendar=calendar_of(spark, sf_dir, unit), coverage=coverage,
-    )
+    panel = stage(views.panel_month(spark, sf_dir) if unit == "month" else views.panel_week(spark, sf_dir))
+    calendar = session_calendar(panel)
+    return interval_panel_pit(session_position(panel, calendar=calendar), formations, futures, events=ledger, calendar=calendar, coverage=coverage)
 
 
 def rank_signals(panel: DataFrame, formations=FORMATIONS, futures=FUTURES, single=0.5, keep=("entity", "session", "position")):

@@ -99,7 +99,7 @@ baseline AS (SELECT *, CASE WHEN quality AND volume >= 0 AND volume_mean_{h}_pri
       AND position - sp = {h} AND good = {h} AND NOT crossed THEN ''
       WHEN NOT quality THEN 'INVALID_SOURCE_ROW' WHEN sp IS NULL THEN 'INSUFFICIENT_HISTORY'
       WHEN position - sp <> {h} THEN 'MISSING_OR_UNSAFE_SESSION_INTERVAL'
-      WHEN good <> {h} THEN 'UNSAFE_PRIOR_OBSERVATION' WHEN crossed THEN 'EVENT_INTERVAL'
+      WHEN good <> {h} THEN 'UNSAFE_PRIOR_OBSERVATION' WHEN crossed THEN 'CORPORATE_ACTION_INTERVAL'
       ELSE 'OTHER_UNSAFE_INTERVAL' END AS volume_baseline_{h}_invalid_reason FROM base),
 surprise AS (SELECT *, CASE WHEN valid_volume_baseline_{h} THEN volume / volume_mean_{h}_prior END AS volume_ratio_{h},
     CASE WHEN valid_volume_baseline_{h} THEN volume / volume_median_{h}_prior END AS volume_median_ratio_{h},
@@ -146,7 +146,7 @@ def _price_sql(h, name="pr"):
     CASE WHEN coalesce(quality AND sc > 0 AND position - sp = {h} AND good = {h + 1} AND NOT crossed, FALSE) THEN ''
       WHEN NOT quality THEN 'INVALID_SOURCE_ROW' WHEN sp IS NULL THEN 'INSUFFICIENT_HISTORY'
       WHEN position - sp <> {h} THEN 'MISSING_OR_UNSAFE_SESSION_INTERVAL' WHEN good <> {h + 1} THEN 'UNSAFE_PRIOR_OBSERVATION'
-      WHEN crossed THEN 'EVENT_INTERVAL' ELSE 'OTHER_UNSAFE_INTERVAL' END AS price_return_{h}_invalid_reason,
+      WHEN crossed THEN 'CORPORATE_ACTION_INTERVAL' ELSE 'OTHER_UNSAFE_INTERVAL' END AS price_return_{h}_invalid_reason,
     CASE WHEN quality AND sc > 0 AND position - sp = {h} AND good = {h + 1} AND NOT crossed THEN close / sc - 1 END AS price_return_{h}
   FROM {name}0)"""
 
@@ -167,9 +167,9 @@ one AS (SELECT *, coalesce(pc IS NOT NULL AND pq AND quality AND position - ppos
       AND pd >= DATE '1995-06-01' AND session <= DATE '2001-06-30', FALSE) AS valid_return,
     CASE WHEN pc IS NOT NULL AND pq AND quality AND position - ppos = 1 AND NOT crossed
       AND pd >= DATE '1995-06-01' AND session <= DATE '2001-06-30' THEN close / pc - 1 END AS entity_return,
-    CASE WHEN session > DATE '2001-06-30' OR coalesce(pd < DATE '1995-06-01', FALSE) THEN 'EVENT_COVERAGE_UNCERTIFIED'
+    CASE WHEN session > DATE '2001-06-30' OR coalesce(pd < DATE '1995-06-01', FALSE) THEN 'CORPORATE_ACTION_COVERAGE_UNCERTIFIED'
       WHEN pc IS NULL THEN 'UNAVAILABLE_ENDPOINT' WHEN position - ppos <> 1 THEN 'MISSING_SESSION_ENDPOINT'
-      WHEN crossed THEN 'EVENT_INTERVAL_BLOCKED' WHEN NOT (pq AND quality) THEN 'UNSAFE_SOURCE_ENDPOINT' ELSE '' END
+      WHEN crossed THEN 'CORPORATE_ACTION_INTERVAL_BLOCKED' WHEN NOT (pq AND quality) THEN 'UNSAFE_SOURCE_ENDPOINT' ELSE '' END
       AS return_invalid_reason FROM one0)"""
 COVERAGE = ("1995-06-01", "2001-06-30")
 
@@ -234,19 +234,19 @@ def _full_sql(h, ahead):
     if ahead:
         missing = f"CASE WHEN NOT {inside} OR e.close IS NULL THEN 'UNAVAILABLE_ENDPOINT' END"
         endbad = f"CASE WHEN {inside} AND NOT e.eligible THEN 'TARGET_ENDPOINT_INELIGIBLE' END"
-        cert = f"CASE WHEN {end} > {cut} THEN 'EVENT_COVERAGE_UNCERTIFIED' END"
+        cert = f"CASE WHEN {end} > {cut} THEN 'CORPORATE_ACTION_COVERAGE_UNCERTIFIED' END"
     else:
         missing = (f"CASE WHEN {end} < 0 OR (e.close IS NULL AND {end} < first_pos) THEN 'INSUFFICIENT_HISTORY' "
                    f"WHEN e.close IS NULL THEN 'UNAVAILABLE_ENDPOINT' END")
         endbad = f"CASE WHEN {inside} AND NOT e.eligible THEN 'LOOKBACK_ENDPOINT_INELIGIBLE' END"
-        cert = f"CASE WHEN p.position > {cut} THEN 'EVENT_COVERAGE_UNCERTIFIED' END"
+        cert = f"CASE WHEN p.position > {cut} THEN 'CORPORATE_ACTION_COVERAGE_UNCERTIFIED' END"
     reason = f"""concat_ws('|', CASE WHEN NOT p.eligible THEN 'SIGNAL_ROW_INELIGIBLE' END,
       CASE WHEN p.contaminated THEN 'IDENTITY_CONTAMINATION' END, {missing}, {endbad},
       CASE WHEN {inside} AND {sub('')} < {h + 1} THEN 'MISSING_UNSAFE_SESSION_INTERVAL' END,
       CASE WHEN {inside} AND {sub('AND NOT eligible')} > 0 THEN 'UNSAFE_SESSION_INTERVAL' END,
       CASE WHEN NOT p.contaminated AND {inside} AND {sub('AND contaminated')} > 0 THEN 'IDENTITY_CONTAMINATION' END,
       CASE WHEN {inside} AND EXISTS (SELECT 1 FROM evp v WHERE v.entity = p.entity AND v.position > {lo} AND v.position <= {hi})
-        THEN 'UNRESOLVED_EVENT_INTERVAL' END, {cert})"""
+        THEN 'UNRESOLVED_CORPORATE_ACTION_INTERVAL' END, {cert})"""
     value = "e.close / p.close - 1" if ahead else "p.close / e.close - 1"
     return f"""{n}{h} AS (SELECT p.entity, p.session, {reason} AS reason_{n}{h}, {value} AS value_{n}{h}, c.session AS end_{n}{h}
   FROM elig p JOIN bounds USING (entity) LEFT JOIN elig e ON e.entity = p.entity AND e.position = {end}
@@ -282,14 +282,14 @@ def _strict_sql(h, ahead):
     cert = f"coalesce(d2 <= DATE '2001-03-31', FALSE)" if ahead else "TRUE"
     exact = f"coalesce({'p2 - position' if ahead else 'position - p2'} = {h}, FALSE)"
     miss = "UNAVAILABLE_FUTURE_ENDPOINT" if ahead else "INSUFFICIENT_HISTORY"
-    certcase = f"WHEN NOT {cert} THEN 'EVENT_COVERAGE_UNCERTIFIED' " if ahead else ""
+    certcase = f"WHEN NOT {cert} THEN 'CORPORATE_ACTION_COVERAGE_UNCERTIFIED' " if ahead else ""
     return f"""{n}0 AS (SELECT *, {fn}(close, {h}) OVER {w} AS c2, {fn}(position, {h}) OVER {w} AS p2, {fn}(session, {h}) OVER {w} AS d2,
     sum(CAST(good AS INT)) OVER (PARTITION BY entity ORDER BY position ROWS {rows}) = {h + 1} AS safe,
     EXISTS (SELECT 1 FROM evp v WHERE v.entity = st.entity AND v.position > {lo} AND v.position <= {hi}) AS crossed FROM st),
 {n} AS (SELECT entity, session, safe AND {exact} AND c2 IS NOT NULL AND NOT crossed AND {cert} AS ok_{n},
     CASE WHEN safe AND {exact} AND c2 IS NOT NULL AND NOT crossed AND {cert} THEN round({'c2 / close' if ahead else 'close / c2'} - 1, 6) + 0.0 END AS v_{n},
     CASE WHEN NOT identity_safe THEN 'IDENTITY_AMBIGUOUS' WHEN NOT good THEN 'INVALID_SIGNAL_ENDPOINT' WHEN c2 IS NULL THEN '{miss}'
-      WHEN NOT {exact} THEN 'UNAVAILABLE_SESSION_ENDPOINT' {certcase}WHEN crossed THEN 'EVENT_INTERVAL'
+      WHEN NOT {exact} THEN 'UNAVAILABLE_SESSION_ENDPOINT' {certcase}WHEN crossed THEN 'CORPORATE_ACTION_INTERVAL'
       WHEN NOT safe THEN 'UNSAFE_INTERVENING_SESSION' ELSE '' END AS r_{n} FROM {n}0)"""
 
 

@@ -47,14 +47,14 @@ c AS (SELECT src.*, ev.f IS NOT NULL AS known FROM src LEFT JOIN evidence ev ON
   AND ev.f = TRY_CAST(src.adj_factor AS DOUBLE))
 SELECT l_orderkey, l_linenumber,
   CASE WHEN valid = 'rights_issue' OR merger = '1.0' THEN upper(valid) WHEN valid IN ('dividend','buyback') THEN upper(valid)
-    WHEN valid = 'adj_factor_nonan' AND known THEN 'CONVENTIONAL_ACTION_SUPPORTED' WHEN valid = 'adj_factor_nonan' THEN 'UNSPECIFIED_FACTOR_EVENT'
+    WHEN valid = 'adj_factor_nonan' AND known THEN 'CONVENTIONAL_ACTION_SUPPORTED_BY_PHASE1' WHEN valid = 'adj_factor_nonan' THEN 'UNSPECIFIED_FACTOR_EVENT'
     ELSE 'UNCLASSIFIED' END AS action_class,
   CASE WHEN valid = 'rights_issue' OR merger = '1.0' THEN 'MATERIAL_UNRESOLVED_EVENT' WHEN valid IN ('dividend','buyback') THEN 'NO_PRICE_ADJUSTMENT_NEEDED_FOR_PRICE_MOMENTUM'
     WHEN valid = 'adj_factor_nonan' AND known THEN 'LIKELY_ALREADY_ADJUSTED_CONVENTIONAL_ACTION' ELSE 'UNKNOWN_OR_AMBIGUOUS' END AS impact,
   CASE WHEN valid = 'rights_issue' OR merger = '1.0' THEN TRUE WHEN valid IN ('dividend','buyback') THEN FALSE
     WHEN valid = 'adj_factor_nonan' AND known THEN FALSE ELSE TRUE END AS ambiguous,
-  CASE WHEN valid = 'rights_issue' OR merger = '1.0' THEN 'MISSING_TERMS_AND_UNVERIFIED_DATE' WHEN valid IN ('dividend','buyback') THEN 'SOURCE_LABEL_ONLY'
-    WHEN valid = 'adj_factor_nonan' AND known THEN 'CONTINUITY_EVIDENCE' WHEN valid = 'adj_factor_nonan' THEN 'NO_VERIFIED_EVIDENCE'
+  CASE WHEN valid = 'rights_issue' OR merger = '1.0' THEN 'MISSING_ENTITLEMENT_TERMS_AND_UNVERIFIED_DATE_SEMANTICS' WHEN valid IN ('dividend','buyback') THEN 'SOURCE_LABEL_ONLY_SPECIAL_DISTRIBUTIONS_NOT_IDENTIFIABLE'
+    WHEN valid = 'adj_factor_nonan' AND known THEN 'PHASE1_CONTINUITY_EVIDENCE_NOT_VENDOR_CERTIFICATION' WHEN valid = 'adj_factor_nonan' THEN 'NO_VERIFIED_CONVENTIONAL_ACTION_EVIDENCE'
     ELSE 'UNRECOGNIZED_SOURCE_LABEL' END AS class_reason FROM c""")
 def _(spark, d):
     src = labelled_lines(spark, d)
@@ -68,6 +68,7 @@ def _hit(words):
 
 
 SUBJECT_KIND = " ".join(f"WHEN {_hit(w)} THEN '{n}'" for n, w in e.BLOCKING_KEYWORDS + e.INFORMATIONAL_KEYWORDS)
+SUBJECT_HOW = " ".join([f"WHEN {_hit(w)} THEN '{e.MATCH}{n}'" for n, w in e.BLOCKING_KEYWORDS] + [f"WHEN {_hit(w)} THEN '{e.MATCH_INFORMATIONAL[n]}'" for n, w in e.INFORMATIONAL_KEYWORDS])
 SUBJECT_BLOCK = " OR ".join(_hit(w) for _, w in e.BLOCKING_KEYWORDS)
 SUBJECT_INFO = " OR ".join(_hit(w) for _, w in e.INFORMATIONAL_KEYWORDS)
 
@@ -75,10 +76,10 @@ SUBJECT_INFO = " OR ".join(_hit(w) for _, w in e.INFORMATIONAL_KEYWORDS)
 @query("subject_classify", f"""WITH t AS (SELECT doc_id, upper(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE {SUBJECT_KIND} ELSE 'OTHER_OR_UNKNOWN' END AS action_type,
   CASE WHEN {SUBJECT_BLOCK} THEN 'BLOCK_PRICE_RETURN_INTERVAL' WHEN {SUBJECT_INFO} THEN 'NONBLOCKING_INFORMATIONAL'
-    ELSE 'REVIEW_REQUIRED_BLOCKED' END AS safety FROM t""")
+    ELSE 'REVIEW_REQUIRED_BLOCKED' END AS safety, CASE {SUBJECT_HOW} ELSE '{e.NO_MATCH}' END AS match_reason FROM t""")
 def _(spark, d):
     out = e.subject_classify(views.table(spark, d, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", "action_type", "safety")
+    return out.select("doc_id", "action_type", "safety", "match_reason")
 
 
 @query("identity_attach", """WITH ev AS (SELECT l_orderkey, l_linenumber, l_suppkey AS entity, l_partkey AS isin,

@@ -146,7 +146,7 @@ def test_event_labels_need_evidence(spark):
          ("B", "20240103", "dividend", "1", ""), ("C", "20240101", "odd", "0", "")], "symbol string, date string, valid string, merger string, adj_factor string")
     evidence = spark.createDataFrame([("A", "20240101", 2.0)], "symbol string, date string, factor double")
     got = {(r["symbol"], r["date"]): (r["action_class"], r["ambiguous"]) for r in event_classify(src, evidence).collect()}
-    assert got == {("A", "20240101"): ("CONVENTIONAL_ACTION_SUPPORTED", False), ("A", "20240102"): ("UNSPECIFIED_FACTOR_EVENT", True),
+    assert got == {("A", "20240101"): ("CONVENTIONAL_ACTION_SUPPORTED_BY_PHASE1", False), ("A", "20240102"): ("UNSPECIFIED_FACTOR_EVENT", True),
                    ("B", "20240101"): ("DIVIDEND", False), ("B", "20240103"): ("DIVIDEND", True), ("C", "20240101"): ("UNCLASSIFIED", True)}
 
 

@@ -66,7 +66,7 @@ def test_reason_order_of_bad_and_contaminated_rows(spark):
 @pytest.mark.parametrize("at,blocked", [(day(0), False), (day(0) + timedelta(days=1), True), (day(2), True), (day(2) + timedelta(days=1), False)])
 def test_event_inside_half_open_interval(spark, at, blocked):
     out = run(spark, panel(spark, [1, 2, 3, 4]), 4, ev=[("A", at)])
-    assert (out[day(2)]["ret_2_invalid_reason"] == "UNRESOLVED_EVENT_INTERVAL") is blocked
+    assert (out[day(2)]["ret_2_invalid_reason"] == "UNRESOLVED_CORPORATE_ACTION_INTERVAL") is blocked
     brute = interval_event_crossing(
         spark.createDataFrame([("A", day(0), day(2))], "entity string, start_date date, end_date date"), events(spark, [("A", at)]))
     assert brute.first()["crosses_event"] is blocked
@@ -75,8 +75,8 @@ def test_event_inside_half_open_interval(spark, at, blocked):
 def test_coverage_cutoff(spark):
     out = run(spark, panel(spark, [1, 2, 3, 4]), 4, coverage_end=day(2))
     assert out[day(2)]["valid_ret_2"]
-    assert out[day(2)]["future_invalid_reason_1"] == "EVENT_COVERAGE_UNCERTIFIED"
-    assert out[day(3)]["ret_2_invalid_reason"] == "EVENT_COVERAGE_UNCERTIFIED"
+    assert out[day(2)]["future_invalid_reason_1"] == "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"
+    assert out[day(3)]["ret_2_invalid_reason"] == "CORPORATE_ACTION_COVERAGE_UNCERTIFIED"
 
 
 def test_future_rows_do_not_change_the_past(spark):
