@@ -158,15 +158,18 @@ def event_on_day(
     panel: DataFrame, events: DataFrame, *, entity: str = "entity", session: str = "session", impact: str = "impact",
     event_id: str = "event_id", default: str = "NO_RECORDED_EVENT",
 ) -> DataFrame:
-    """Sorted distinct impacts and ids of the row's own date.
+    """Sorted distinct impacts of the row's own date, and how many events it has.
 
-    Pairs are made distinct before they are collected, so a repeated event adds nothing.
+    Only impacts are collected, a short list of labels; the ids come in long form, from ``event_ids_on_day``.
     """
-    day = events.select(entity, session, impact, event_id).distinct().groupBy(entity, session).agg(
-        F.concat_ws("|", F.array_sort(F.collect_set(impact))).alias("event_status"),
-        F.concat_ws("|", F.array_sort(F.collect_set(F.col(event_id).cast("string")))).alias("event_ids"),
-    )
-    return panel.join(day, [entity, session], "left").fillna({"event_status": default, "event_ids": ""})
+    day = events.groupBy(entity, session).agg(
+        F.concat_ws("|", F.array_sort(F.collect_set(impact))).alias("event_status"), F.count_distinct(event_id).alias("event_count"))
+    return panel.join(day, [entity, session], "left").fillna({"event_status": default, "event_count": 0})
+
+
+def event_ids_on_day(panel: DataFrame, events: DataFrame, *, entity: str = "entity", session: str = "session", event_id: str = "event_id") -> DataFrame:
+    """(entity, session, event id) of all events on a row's own date, each once."""
+    return panel.select(entity, session).distinct().join(events.select(entity, session, event_id).distinct(), [entity, session])
 
 
 def exclusion_window(
@@ -277,13 +280,10 @@ def event_study(
 
 
 def ledger_reconcile(
-    accepted: DataFrame, official: DataFrame, *, on: tuple[str, ...] = ("entity", "series", "session"), detail: str = "purpose"
+    accepted: DataFrame, official: DataFrame, *, on: tuple[str, ...] = ("entity", "series", "session")
 ) -> DataFrame:
-    """Accepted rows matched or not matched by an official key, and official keys nobody accepted."""
-    groups = official.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("official_count"),
-        F.concat_ws("|", F.array_sort(F.collect_set(detail))).alias("official_detail"),
-    )
+    """Accepted rows matched or not matched by an official key, and official keys nobody accepted; details in long form by ``ledger_details``."""
+    groups = official.groupBy(*on).agg(F.count(F.lit(1)).alias("official_count"))
     left = accepted.join(groups, list(on), "left").withColumn(
         "relationship",
         F.when(F.col("official_count").isNotNull(), "ACCEPTED_MATCHED").otherwise("ACCEPTED_ONLY"),
@@ -292,4 +292,13 @@ def ledger_reconcile(
         "relationship", F.lit("OFFICIAL_ONLY")
     )
     out = left.unionByName(extra, allowMissingColumns=True)
-    return out.fillna({"official_count": 0, "official_detail": ""})
+    return out.fillna({"official_count": 0})
+
+
+def ledger_details(
+    accepted: DataFrame, official: DataFrame, *, on: tuple[str, ...] = ("entity", "series", "session"), detail: str = "purpose"
+) -> DataFrame:
+    """Every distinct official (key, detail), and whether an accepted row has that key."""
+    keys = accepted.select(*on).distinct().withColumn("_a", F.lit(True))
+    relationship = F.when(yes("_a"), "ACCEPTED_MATCHED").otherwise("OFFICIAL_ONLY").alias("relationship")
+    return official.select(*on, detail).distinct().join(keys, list(on), "left").select(*on, detail, relationship)

@@ -225,30 +225,34 @@ def mapping_summary(members: DataFrame, mapping: DataFrame, *, entity: str = "en
 def identity_aliases(daily: DataFrame, *, entity: str = "entity", identifier: str = "isin", session: str = "session") -> DataFrame:
     """Entities that share an identifier, identifiers per entity and a continuity status.
 
-    An entity in two sharing groups reports the group of its last identifier in sort order.
+    An entity in two sharing groups reports the group of its last identifier in sort order, as that identifier and the number of
+    others in it; ``alias_groups`` lists the members once, so a large group is never repeated for each of them.
     Pairs are reduced to distinct (entity, identifier) first.
     """
     base = daily.groupBy(entity).agg(
         F.min(session).alias("first_session"), F.max(session).alias("last_session"), F.count(F.lit(1)).alias("observed_sessions")
     )
     pairs = daily.where(F.col(identifier).isNotNull()).select(entity, identifier).distinct()
-    shared = pairs.groupBy(identifier).agg(F.array_sort(F.collect_set(entity)).alias("_g")).where(F.size("_g") > 1)
-    alias = shared.select(identifier, "_g", F.explode("_g").alias(entity)).groupBy(entity).agg(
-        F.max_by("_g", identifier).alias("_g")
-    )
-    ids = pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("identifier_count"))
-    out = base.join(alias, entity, "left").join(ids, entity, "left")
-    others = F.array_remove(F.col("_g"), F.col(entity))
-    out = out.withColumn("known_alias", F.coalesce(F.concat_ws("|", others.cast("array<string>")), F.lit(""))).fillna(
-        {"identifier_count": 0}
-    )
+    sizes = pairs.groupBy(identifier).agg(F.count(F.lit(1)).alias("_n"))
+    ids = pairs.join(sizes, identifier).groupBy(entity).agg(
+        F.count(F.lit(1)).alias("identifier_count"),
+        F.max(F.when(F.col("_n") > 1, F.struct(F.col(identifier).alias("i"), (F.col("_n") - 1).alias("n")))).alias("_g"))
+    out = base.join(ids, entity, "left").withColumns({"shared_identifier": F.col("_g.i"), "alias_count": F.coalesce("_g.n", F.lit(0))})
+    out = out.fillna({"identifier_count": 0})
     status = (
-        F.when(F.col("known_alias") != "", "SHARED_IDENTIFIER_NOT_STITCHED")
+        F.when(F.col("alias_count") > 0, "SHARED_IDENTIFIER_NOT_STITCHED")
         .when(F.col("identifier_count") > 1, "SEVERAL_IDENTIFIERS")
         .otherwise("OBSERVED_NOT_STITCHED")
     )
     return (
         out.withColumn("continuity_status", status)
-        .withColumn("identity_ambiguous", (F.col("known_alias") != "") | (F.col("identifier_count") > 1))
+        .withColumn("identity_ambiguous", (F.col("alias_count") > 0) | (F.col("identifier_count") > 1))
         .drop("_g")
     )
+
+
+def alias_groups(daily: DataFrame, *, entity: str = "entity", identifier: str = "isin") -> DataFrame:
+    """(identifier, entity) of every identifier that several entities share."""
+    pairs = daily.where(F.col(identifier).isNotNull()).select(identifier, entity).distinct()
+    shared = pairs.groupBy(identifier).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(identifier)
+    return pairs.join(shared, identifier, "left_semi")

@@ -84,7 +84,7 @@ def _(spark, d):
 
 @query("identity_attach", """WITH ev AS (SELECT l_orderkey, l_linenumber, l_suppkey AS entity, l_partkey AS isin,
     CASE WHEN l_linestatus = 'F' THEN 'NONBLOCKING_INFORMATIONAL' ELSE 'BLOCK_PRICE_RETURN_INTERVAL' END AS safety
-  FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.05),
+  FROM lineitem),
 obs AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS isin FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   WHERE l_returnflag = 'N' AND s_acctbal >= 2000),
 st AS (SELECT ev.*, CASE WHEN entity NOT IN (SELECT entity FROM obs) THEN 'NOT_OBSERVED'
@@ -95,7 +95,7 @@ SELECT l_orderkey, l_linenumber, identity_status, CASE WHEN identity_status <> '
 def _(spark, d):
     li = views.table(spark, d, "lineitem")
     safety = F.when(F.col("l_linestatus") == "F", "NONBLOCKING_INFORMATIONAL").otherwise("BLOCK_PRICE_RETURN_INTERVAL")
-    rows = li.where("l_returnflag = 'R' AND l_discount >= 0.05").select(
+    rows = li.select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("isin"), safety.alias("safety"))
     rich = views.table(spark, d, "supplier").where("s_acctbal >= 2000").select(F.col("s_suppkey").alias("entity"))
     obs = li.where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("isin"))
@@ -129,11 +129,16 @@ def wide_events(spark, d):
 
 
 @query("event_on_day", f"""WITH {DAY}, {WIDE_EVENTS}, dd AS (SELECT entity, session, string_agg(DISTINCT impact, '|' ORDER BY impact) AS st,
-    string_agg(DISTINCT CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR)) AS ids FROM wide_ev GROUP BY 1, 2)
-SELECT entity, session, coalesce(st, 'NO_RECORDED_EVENT') AS event_status, coalesce(ids, '') AS event_ids FROM panel LEFT JOIN dd USING (entity, session)""")
+    count(DISTINCT event_id) AS n FROM wide_ev GROUP BY 1, 2)
+SELECT entity, session, coalesce(st, 'NO_RECORDED_EVENT') AS event_status, coalesce(n, 0) AS event_count FROM panel LEFT JOIN dd USING (entity, session)""")
 def _(spark, d):
     out = e.event_on_day(day_panel(spark, d), wide_events(spark, d))
-    return out.select("entity", "session", "event_status", "event_ids")
+    return out.select("entity", "session", "event_status", "event_count")
+
+
+@query("event_ids_on_day", f"WITH {DAY}, {WIDE_EVENTS} SELECT DISTINCT entity, session, event_id FROM panel JOIN wide_ev USING (entity, session)")
+def _(spark, d):
+    return e.event_ids_on_day(day_panel(spark, d), wide_events(spark, d))
 
 
 @query("event_exclusion_window", f"""WITH {WK}, {s.EVENTS},
@@ -183,21 +188,30 @@ def _(spark, d):
 
 
 @query("ledger_reconcile", """WITH acc AS (SELECT l_orderkey, l_linenumber, l_suppkey AS entity, l_linestatus AS series, CAST(l_shipdate AS DATE) AS session
-    FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.05),
-off AS (SELECT l_suppkey AS entity, l_linestatus AS series, CAST(l_shipdate AS DATE) AS session, count(*) AS official_count,
-    string_agg(DISTINCT CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)) AS official_detail
-  FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.03 GROUP BY 1, 2, 3)
-SELECT l_orderkey, l_linenumber, entity, series, session, coalesce(official_count, 0) AS official_count, coalesce(official_detail, '') AS official_detail,
+    FROM lineitem WHERE l_returnflag <> 'A'),
+off AS (SELECT l_suppkey AS entity, l_linestatus AS series, CAST(l_shipdate AS DATE) AS session, count(*) AS official_count
+  FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2, 3)
+SELECT l_orderkey, l_linenumber, entity, series, session, coalesce(official_count, 0) AS official_count,
   CASE WHEN official_count IS NOT NULL THEN 'ACCEPTED_MATCHED' ELSE 'ACCEPTED_ONLY' END AS relationship FROM acc LEFT JOIN off USING (entity, series, session)
-UNION ALL SELECT NULL, NULL, entity, series, session, official_count, official_detail, 'OFFICIAL_ONLY' FROM off ANTI JOIN acc USING (entity, series, session)""")
+UNION ALL SELECT NULL, NULL, entity, series, session, official_count, 'OFFICIAL_ONLY' FROM off ANTI JOIN acc USING (entity, series, session)""")
+def _(spark, d):
+    return e.ledger_reconcile(*two_ledgers(spark, d))
+
+
+@query("ledger_details", """SELECT DISTINCT l_suppkey AS entity, l_linestatus AS series, CAST(l_shipdate AS DATE) AS session, CAST(l_partkey AS VARCHAR) AS purpose,
+  CASE WHEN EXISTS (SELECT 1 FROM lineitem a WHERE a.l_returnflag <> 'A' AND a.l_suppkey = o.l_suppkey AND a.l_linestatus = o.l_linestatus AND CAST(a.l_shipdate AS DATE) = CAST(o.l_shipdate AS DATE))
+    THEN 'ACCEPTED_MATCHED' ELSE 'OFFICIAL_ONLY' END AS relationship FROM lineitem o WHERE l_returnflag <> 'R'""")
 def _(spark, d):
+    return e.ledger_details(*two_ledgers(spark, d))
+
+
+def two_ledgers(spark, d):
+    """All lines in two ledgers that overlap in part: lines with flag N are in both."""
     li = views.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_discount", F.col("l_suppkey").alias("entity"),
+        "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_suppkey").alias("entity"),
         F.col("l_linestatus").alias("series"), F.col("l_shipdate").cast("date").alias("session"),
         F.col("l_partkey").cast("string").alias("purpose"))
-    acc = li.where("l_returnflag = 'R' AND l_discount >= 0.05").select("l_orderkey", "l_linenumber", "entity", "series", "session")
-    off = li.where("l_returnflag = 'A' AND l_discount >= 0.03")
-    return e.ledger_reconcile(acc, off)
+    return li.where("l_returnflag <> 'A'").select("l_orderkey", "l_linenumber", "entity", "series", "session"), li.where("l_returnflag <> 'R'")
 
 
 SPECS = [("FORMATION", h, f"valid_ret_{h}", f"ret_{h}_invalid_reason") for h in (2, 5)] + [

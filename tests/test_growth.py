@@ -138,3 +138,20 @@ def test_scan_names_partitions_to_mend(spark, tmp_path):
     assert got == {("E", 2023, "EMPTY_PARTITION"), ("T", 2023, "NOT_ONE_TOKEN"), ("N", 2023, "NOT_ONE_TOKEN"), ("Y", 2023, "WRONG_YEAR")}
     with pytest.raises(ValueError, match="E/2023 EMPTY_PARTITION"):
         rd.scan_partitioned_bars(spark, str(tmp_path))
+
+
+def test_ledger_ids_and_records(spark, tmp_path):
+    """Every record as JSON with sorted fields, and ids that tell copies apart."""
+    import hashlib
+    import json
+
+    values = [dict(zip(rd.LEDGER_COLUMNS, v, strict=True)) for v in (["20240105", "A&B", "EQ", "10", "1.0", "0", 'say "x"', "0", "0", "0"], ["20240106", "C", "BE", "", "0.5", "0", "merger", "0", "1", "0"])]
+    quoted = lambda v: '"' + v.replace('"', '\\"') + '"'
+    lines = [",".join(quoted(r[c]) for c in rd.LEDGER_COLUMNS) for r in (values[0], values[0], values[1])]
+    (tmp_path / "ev_2024.csv").write_text(",".join(rd.LEDGER_COLUMNS) + "\n" + "\n".join(lines) + "\n")
+    got = rd.scan_event_ledger(spark, str(tmp_path)).collect()
+    want = []
+    for r, copies in ((values[0], 2), (values[1], 1)):
+        record = json.dumps({c: r[c] for c in sorted(rd.LEDGER_COLUMNS)}, separators=(",", ":"))
+        want += [(record, hashlib.sha256(f"ev_2024.csv:{n}:{record}".encode()).hexdigest()) for n in range(1, copies + 1)]
+    assert sorted((r["source_record_json"], r["event_id"]) for r in got) == sorted(want)
