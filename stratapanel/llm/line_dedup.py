@@ -14,6 +14,7 @@ from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratapanel.llm.components import components
@@ -89,16 +90,24 @@ def _near(one: str, two: str, params: LineParams) -> Column:
     return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= params.distance
 
 
-def _led(keyed: DataFrame, params: LineParams) -> DataFrame:
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, line, fp, a, afp) of the buckets with several lines: each line beside the smallest line of its bucket.
+
+    Most keys belong to one line.  One exchange finds that out, and only what is left is joined later.
+    """
+    bucket = W.partitionBy("key")
+    seen = keyed.select("key", "line", "fp", F.count(F.lit(1)).over(bucket).alias("n"), F.min(F.struct("line", "fp")).over(bucket).alias("first"))
+    return seen.where("n > 1").select("key", "line", "fp", F.col("first.line").alias("a"), F.col("first.fp").alias("afp"))
+
+
+def _led(shared: DataFrame, params: LineParams) -> DataFrame:
     """Pairs (a, b) of each bucket's smallest line and the lines near it."""
-    leader = keyed.groupBy("key").agg(F.min(F.struct("line", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first.*")
-    found = keyed.join(leader.select("key", F.col("line").alias("a"), F.col("fp").alias("afp")), "key")
-    return found.where((F.col("a") != F.col("line")) & _near("fp", "afp", params)).select("a", F.col("line").alias("b")).distinct()
+    return shared.where((F.col("a") != F.col("line")) & _near("fp", "afp", params)).select("a", F.col("line").alias("b")).distinct()
 
 
-def _apart(keyed: DataFrame, roots: DataFrame, params: LineParams) -> DataFrame:
+def _apart(shared: DataFrame, roots: DataFrame, params: LineParams) -> DataFrame:
     """Pairs (a, b) within the distance whose lines are not connected yet."""
-    named = keyed.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", "fp", F.coalesce("root", "line").alias("root"))
+    named = shared.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", "fp", F.coalesce("root", "line").alias("root"))
     one, two = named.alias("one"), named.alias("two")
     new = (F.col("one.line") < F.col("two.line")) & (F.col("one.root") != F.col("two.root")) & _near("one.fp", "two.fp", params)
     return one.join(two, (F.col("one.key") == F.col("two.key")) & new).select(F.col("one.line").alias("a"), F.col("two.line").alias("b")).distinct()
@@ -139,9 +148,9 @@ def _connected(nodes: DataFrame, lines: DataFrame, params: LineParams) -> DataFr
     Lines are first compared with the smallest line of each of their buckets; after that only pairs are made whose lines
     are not connected yet.  So a large group of like lines does not give all its pairs.
     """
-    keyed = _keyed(nodes, params)
-    first = _alike(materialize(_led(keyed, params)), lines, params)
-    second = _alike(materialize(_apart(keyed, components(first), params)), lines, params)
+    shared = materialize(_shared(_keyed(nodes, params)))
+    first = _alike(materialize(_led(shared, params)), lines, params)
+    second = _alike(materialize(_apart(shared, components(first), params)), lines, params)
     return components(first.union(second))
 
 
