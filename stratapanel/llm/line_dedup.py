@@ -193,6 +193,7 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_column: st
 
     slots = F.broadcast(gone.select(_slot("row").alias("_slot")).distinct())
     slotted = packed.withColumn("_slot", _slot("row"))
-    touched = slotted.join(slots, "_slot", "left_semi").drop("_slot").join(gone, "row", "left")
+    # A list of lines for each row grows with the input, so it is never broadcast.
+    touched = slotted.join(slots, "_slot", "left_semi").drop("_slot").join(gone.hint("merge"), "row", "left")
     others = slotted.join(slots, "_slot", "left_anti").drop("_slot").withColumn("gone", F.lit(None).cast("array<int>"))
     return result(touched).union(result(others))
