@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions.scalars import ratio
 from stratapanel.operators.evidence import bucket_spread_daily, correlation, correlation_aggregate, daily_statistics, summarize_daily
-from stratapanel.operators.orderstats import Split, average_ranks_within, quantiles_within, totals_above
+from stratapanel.operators.orderstats import Split, average_ranks_within, quantiles_within, same_keys, totals_above
 from stratapanel.runtime import explode_literals, stage
 
 
@@ -207,7 +207,7 @@ def coverage_bands(
     retained = stage(retained)
     edges = quantiles_within(retained, ["formation"], "retained_pct", {"low_edge": low, "high_edge": high})
     r = F.col("retained_pct")
-    return retained.join(edges, "formation").withColumn(
+    return same_keys(retained, edges, ["formation"]).withColumn(
         "band", F.when(r <= F.col("low_edge"), labels[0]).when(r < F.col("high_edge"), labels[1]).otherwise(labels[2])
     )
 
