@@ -1,17 +1,18 @@
 """Fuzzy deduplication of lines, with DataFrame functions only.
 
-A line is normalised to its lower-cased words.  Its SimHash takes, bit by bit, the weighted majority of its words' hashes; longer
-words weigh more, since they tell lines apart.  Lines whose fingerprints differ in at most ``distance`` bits agree in at
-least ``blocks - distance`` of the blocks into which the 64 bits are cut, so an equi-join on every such choice of blocks finds
-them all.  Pairs are verified by the edit similarity of their words and joined into groups; of each group the first
-occurrence stays.
+A line is normalised to its lower-cased words; in scripts without blanks each character is a word.  Lines of equal words are one line
+from then on.  The search for like lines runs over distinct lines: a fingerprint has sixteen places, each holds the word that comes
+first in an order of its own (drawn by a hash, longer words tend to come first), and a block is a choice of three places; two of the
+sixteen blocks have at most one place in common.  An equi-join on the blocks finds a pair unless every block lost a word; bit sets of the
+words then discard pairs that cannot be alike, and the edit similarity of the words decides.  Alike lines are joined into groups, and of each group the first occurrence stays.
+
+A SimHash of bits cannot do this: at a similarity of 0.8 a bit differs with a chance of a fifth, so a block of 16 bits is equal in one
+pair of forty and some ninety blocks would be needed.  Three of 64 bits found 0.5 % of such pairs; README has the figures.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,11 +24,9 @@ from stratapanel.runtime import materialize
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines with fewer than ``least_words`` words are never duplicates.  ``heaviest``: word length at which the weight stops to grow."""
+    """Lines are alike if 1 - edited words / words of the longer one is at least ``similarity``.  ``heaviest``: word length beyond which
+    a word comes first no more often."""
 
-    least_words: int = 3
-    distance: int = 3
-    blocks: int = 5
     similarity: float = 0.8
     heaviest: int = 16
 
@@ -35,86 +34,93 @@ class LineParams:
 #: Upper bits of a hash that a semi-join with a bounded broadcast looks at before a shuffle.
 SLOT_BITS = 20
 
+#: Characters that are words of their own (Thai, Lao, Burmese, Khmer, Japanese, Chinese).  Ranges, since a script's name
+#: makes every character of a text a search in a table.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+
+PLACES = [f"m{i}" for i in range(16)]
+
+#: Three places each; any two blocks have at most one place in common.
+BLOCKS = [[(i + step) % len(PLACES) for step in (0, 1, 4)] for i in range(len(PLACES))]
+
+#: The bit set of a line's words, in parts of 64.
+SETS = [f"s{i}" for i in range(4)]
+
+NAME = ["k1", "k2", "copy"]
+
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    spaced = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    return F.trim(F.regexp_replace(F.lower(spaced), r"[^\p{L}\p{N}]+", " "))
 
 
-def _lines(numbered: DataFrame, params: LineParams) -> DataFrame:
-    """(row, id, at, norm, line): the lines that can be duplicates; ``line`` is the hash of the normalised form."""
+def _lines(named: DataFrame) -> DataFrame:
+    """(id, k1, k2, copy, at, norm, line): the lines with words; ``line`` is the hash of the normalised form."""
     # Normalised inside the generator: as a column it would be worked out anew wherever it is used.
-    norm = numbered.select("row", "id", F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "norm"))
-    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    return norm.where((F.length("norm") > 0) & (spaces >= params.least_words - 1)).withColumn("line", F.xxhash64("norm"))
+    norm = named.select("id", *NAME, F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "norm"))
+    return norm.where(F.length("norm") > 0).withColumn("line", F.xxhash64("norm"))
 
 
 def _fingerprints(lines: DataFrame, params: LineParams) -> DataFrame:
-    """Adds the fingerprint ``fp`` in place of the text; four bits share a sum, in lanes of 16 bits.
+    """(line, n, words, s0 .. s3, m0 .. m15) of the distinct lines: occurrences, words, bit set of the words, places."""
+    words = lines.select("line", F.posexplode(F.split("norm", " ")).alias("i", "w"))
+    weighed = words.select("line", "i", F.xxhash64("w").alias("h"), F.least(F.length("w"), F.lit(params.heaviest)).cast("long").alias("weight"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    part = F.shiftright("h", 6).bitwiseAND(F.lit(len(SETS) - 1))
+    places = [F.min(F.expr(f"shiftrightunsigned(xxhash64(h, {i}L), 33) div weight")).alias(m) for i, m in enumerate(PLACES)]
+    counts = [F.sum((F.col("i") == 0).cast("long")).alias("n"), F.count(F.lit(1)).alias("words")]
+    sets = [F.bit_or(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(s) for i, s in enumerate(SETS)]
+    return weighed.groupBy("line").agg(*counts, *sets, *places).withColumn("words", (F.col("words") / F.col("n")).cast("long"))
 
-    A weight is at most 16, so lanes hold lines of 2,047 heavy words; in longer lines every word weighs 1, up to 32,767 words, beyond
-    which lanes may run over and a fingerprint says less (equal lines still have equal ones).
-    """
-    # Counted below the generator; beside it, the words would be counted anew for each of them.
-    sized = lines.select("row", "id", "at", "line", "norm", F.size(F.split("norm", " ")).alias("words"))
-    words = sized.select("row", "id", "at", "line", "words", F.explode(F.split("norm", " ")).alias("w"))
-    size = F.least(F.length("w"), F.lit(params.heaviest))
-    weight = F.when(F.col("words") > 2047, 1).otherwise(F.greatest(F.lit(1), F.ceil(size * size * (16 / params.heaviest**2))))
-    hashed = words.select("row", "id", "at", "line", F.xxhash64("w").alias("h"), weight.cast("long").alias("n"))
-    lanes = F.lit(0x0001000100010001).cast("long")
-    sums = [F.try_sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes) * F.col("n")).alias(f"s{k}") for k in range(16)]
-    counted = hashed.groupBy("row", "id", "at", "line").agg(F.sum("n").alias("n"), *sums)
-    lane = lambda k: F.shiftrightunsigned(f"s{k % 16}", 16 * (k // 16)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    bit = lambda k: F.when(lane(k) * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return counted.select("row", "id", "at", "line", reduce(Column.bitwiseOR, [bit(k) for k in range(64)]).alias("fp"))
-
-
-def _blocks(params: LineParams) -> list[list[tuple[int, int]]]:
-    """Every choice of blocks, each block as (first bit, number of bits)."""
-    edges = [round(64 * i / params.blocks) for i in range(params.blocks + 1)]
-    cut = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [list(c) for c in combinations(cut, params.blocks - params.distance)]
-
-
-def _keyed(nodes: DataFrame, params: LineParams) -> DataFrame:
-    """(line, fp, key) for every choice of blocks; the key holds the choice and the bits of its blocks."""
-    keys = []
-    for number, choice in enumerate(_blocks(params)):
-        key = F.lit(number).cast("long")
-        for first, size in choice:
-            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
-        keys.append(key)
-    return nodes.select("line", "fp", F.explode(F.array(*keys)).alias("key"))
-
-
-def _near(one: str, two: str, params: LineParams) -> Column:
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= params.distance
-
-
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, line, fp, a, afp) of the buckets with several lines: each line beside the smallest line of its bucket.
-
-    Most keys belong to one line.  One exchange finds that out, and only what is left is joined later.
+
+def _most(one: str | Column, two: str | Column, params: LineParams) -> Column:
+    """Edits that two lines of so many words may have."""
+    return F.floor(F.greatest(one, two) * (1 - params.similarity) + 1e-9).cast("int")
+
+
+def _possible(a: str, b: str, params: LineParams) -> Column:
+    """Whether lines may be alike: an edit adds at most one word to either side that the other does not have."""
+    lacks = lambda x, y: sum(F.bit_count(F.col(x + s).bitwiseAND(F.bitwise_not(F.col(y + s)))) for s in SETS)
+    most = _most(F.col(a + "words"), F.col(b + "words"), params)
+    return (F.abs(F.col(a + "words") - F.col(b + "words")) <= most) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
+
+
+def _sets(distinct: DataFrame, prefix: str) -> DataFrame:
+    return distinct.select(*(F.col(c).alias(prefix + c) for c in ("line", "words", *SETS)))
+
+
+def _shared(distinct: DataFrame, params: LineParams) -> DataFrame:
+    """(key, a, line, words, s0 .. s3) of the blocks that several lines have; ``a`` is the smallest of them.
+
+    Most blocks belong to one line.  One exchange finds that out, and only what is left is joined later.
     """
+    # A line that is too short for an edit has no partner that is not too short as well, or one word longer.
+    able = distinct.where(_most(F.col("words") + 1, F.col("words"), params) > 0)
+    keys = [F.xxhash64(F.lit(number), *(PLACES[p] for p in block)) for number, block in enumerate(BLOCKS)]
     bucket = W.partitionBy("key")
-    seen = keyed.select("key", "line", "fp", F.count(F.lit(1)).over(bucket).alias("n"), F.min(F.struct("line", "fp")).over(bucket).alias("first"))
-    return seen.where("n > 1").select("key", "line", "fp", F.col("first.line").alias("a"), F.col("first.fp").alias("afp"))
+    seen = able.select("line", F.explode(F.array(*keys)).alias("key")).select("key", "line", F.count(F.lit(1)).over(bucket).alias("c"), F.min("line").over(bucket).alias("a"))
+    return materialize(seen.where("c > 1").drop("c")).join(_sets(distinct, ""), "line")
 
 
-def _led(shared: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) of each bucket's smallest line and the lines near it."""
-    return shared.where((F.col("a") != F.col("line")) & _near("fp", "afp", params)).select("a", F.col("line").alias("b")).distinct()
+def _led(shared: DataFrame, distinct: DataFrame, params: LineParams) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest line and the lines that may be like it."""
+    pairs = shared.where("a <> line").select("a", "line", "words", *SETS).distinct()
+    both = pairs.join(_sets(distinct, "a_"), F.col("a") == F.col("a_line")).where(_possible("", "a_", params))
+    return both.select("a", F.col("line").alias("b"))
 
 
 def _apart(shared: DataFrame, roots: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) within the distance whose lines are not connected yet."""
-    named = shared.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", "fp", F.coalesce("root", "line").alias("root"))
-    one, two = named.alias("one"), named.alias("two")
-    new = (F.col("one.line") < F.col("two.line")) & (F.col("one.root") != F.col("two.root")) & _near("one.fp", "two.fp", params)
-    return one.join(two, (F.col("one.key") == F.col("two.key")) & new).select(F.col("one.line").alias("a"), F.col("two.line").alias("b")).distinct()
+    """Pairs (a, b) that may be alike and whose lines are not connected yet."""
+    named = shared.drop("a").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    bucket = W.partitionBy("key")
+    several = named.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi").drop("lo", "hi")
+    one, two = (several.select(*(F.col(c).alias(p + c) for c in several.columns)) for p in ("a_", "b_"))
+    new = (F.col("a_line") < F.col("b_line")) & (F.col("a_root") != F.col("b_root")) & _possible("a_", "b_", params)
+    return one.join(two, (F.col("a_key") == F.col("b_key")) & new).select(F.col("a_line").alias("a"), F.col("b_line").alias("b")).distinct()
 
 
-def _slot(hashed: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col(hashed)), 64 - SLOT_BITS)
+def _slot(*hashed: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*hashed), 64 - SLOT_BITS)
 
 
 def _thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -130,58 +136,72 @@ def _word_letters(norm: Column) -> Column:
 
 
 def _alike(pairs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """The pairs whose texts are alike: 1 - edited words / words of the longer one is at least ``similarity``."""
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
+    """The pairs whose texts are alike."""
+    ends = materialize(pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct())
     texts = _thinned(lines.select("line", "norm"), ends, "line").join(ends, "line", "left_semi").dropDuplicates(["line"])
     coded = materialize(texts.select("line", _word_letters(F.col("norm")).alias("t")))
     left, right = (coded.select(F.col("line").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - params.similarity) + 1e-9).cast("int")
-    near = both.withColumn("most", most).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("most", _most(F.length("ta"), F.length("tb"), params))
     # A narrow band first: most pairs need no more, and it keeps very long lines cheap.
-    return materialize(near.where(F.expr("levenshtein(ta, tb, cast(most / 16 as int)) >= 0 or levenshtein(ta, tb, most) >= 0")).select("a", "b"))
+    return materialize(both.where(F.expr("levenshtein(ta, tb, cast(most / 16 as int)) >= 0 or levenshtein(ta, tb, most) >= 0")).select("a", "b"))
 
 
-def _connected(nodes: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """(node, root) as all alike pairs within the distance connect the lines.
+def _connected(distinct: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
+    """(node, root) as all alike pairs that share a block connect the lines.
 
     Lines are first compared with the smallest line of each of their buckets; after that only pairs are made whose lines
     are not connected yet.  So a large group of like lines does not give all its pairs.
     """
-    shared = materialize(_shared(_keyed(nodes, params)))
-    first = _alike(materialize(_led(shared, params)), lines, params)
+    shared = materialize(_shared(distinct, params))
+    first = _alike(materialize(_led(shared, distinct, params)), lines, params)
     second = _alike(materialize(_apart(shared, components(first), params)), lines, params)
     return components(first.union(second))
 
 
-def removed_lines(numbered: DataFrame, params: LineParams) -> DataFrame:
-    """(row, gone): per row of (row, id, text) the numbers of the lines that go."""
-    lines = _lines(numbered, params)
-    found = materialize(_fingerprints(lines, params))
-    first = F.min(F.struct("id", "row", "at")).alias("first")
-    distinct = materialize(found.groupBy("line").agg(F.count("*").alias("n"), first, F.min("fp").alias("fp")))
-    roots = _connected(distinct.select("line", "fp"), lines, params).select(F.col("node").alias("line"), "root")
-    named = distinct.join(roots, "line", "left").select("line", "n", "first", F.coalesce("root", "line").alias("root"))
-    groups = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("keep")).where("n > 1")
-    members = named.join(groups.select("root", "keep"), "root").select("line", "keep")
-    gone = found.join(members, "line").where(~((F.col("keep.row") == F.col("row")) & (F.col("keep.at") == F.col("at"))))
-    return gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
+def removed_lines(named: DataFrame, params: LineParams) -> DataFrame:
+    """(k1, k2, copy, gone): per row of (id, k1, k2, copy, text) the numbers of the lines that go."""
+    lines = _lines(named)
+    distinct = materialize(_fingerprints(lines, params))
+    roots = _connected(distinct, lines, params)
+    linked = roots.select(F.col("node").alias("line"), "root").union(roots.select(F.col("root").alias("line"), "root")).distinct()
+    members = distinct.where("n > 1").select("line").join(linked, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
+    several = _thinned(lines.select("id", *NAME, "at", "line"), members := materialize(members), "line")
+    found = materialize(several.join(members, "line").select("root", F.struct("id", "k2", "copy", "at").alias("place"), "k1"))
+    kept = found.groupBy("root").agg(F.min("place").alias("keep"))
+    gone = found.join(kept, "root").where(~F.col("place").eqNullSafe(F.col("keep")))
+    return gone.groupBy("k1", F.col("place.k2").alias("k2"), F.col("place.copy").alias("copy")).agg(F.collect_list("place.at").alias("gone"))
+
+
+def _named(docs: DataFrame, id_column: str, text_column: str, own: list[str]) -> DataFrame:
+    """(k1, k2, copy, doc): rows are named by hashes of id and text, so any later scan names them alike, whatever its splits are.
+
+    Rows that repeat another one's id and text are numbered in a written copy.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc")
+    hashes = [F.xxhash64(f"doc.`{id_column}`").alias("k1"), F.xxhash64(F.lit(2), f"doc.`{text_column}`").alias("k2")]
+    packed = docs.select(doc).select(*hashes, "doc")
+    repeated = materialize(packed.groupBy("k1", "k2").count().where("count > 1").drop("count"))
+    once = F.lit(0).cast("long").alias("copy")
+    if repeated.isEmpty():
+        return packed.select("k1", "k2", once, "doc")
+    copies = materialize(packed.join(repeated, ["k1", "k2"], "left_semi").withColumn("copy", F.monotonically_increasing_id()))
+    return packed.join(repeated, ["k1", "k2"], "left_anti").select("k1", "k2", once, "doc").union(copies.select(*NAME, "doc"))
 
 
 def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All rows and columns, with the text reduced to the lines that stay, and counts ``n_lines`` and ``n_removed``.
 
-    Occurrences are ordered by id (null first), then by row and line.  A line that only repeats lines that stay elsewhere goes; a
-    text may become empty.  Lines end at a line feed.  A null text stays null and has no lines; an empty one has one, which
-    is kept, as are all lines below the least number of words.  Repeated rows repeat each other's lines.  An empty table
-    gives an empty result.  Columns that are named like the two counts are replaced.  ``docs`` must give the same rows in the same
-    partitions whenever it is read, as a table does.
+    Occurrences are ordered by id (null first), then by a hash of the text, repeated row and line.  A line that only repeats lines that
+    stay elsewhere goes, lines of one word included; a text may become empty.  Lines end at a line feed.  A null text stays null
+    and has no lines; an empty one has one, which is kept, as are all lines without a letter or digit.  Repeated rows repeat each
+    other's lines.  An empty table gives an empty result.  Columns that are named like the two counts are replaced.  Lines count as
+    equal if 64 bits of a hash of their words are.
     """
     params = params or LineParams()
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"))
-    numbered = packed.select("row", F.col("doc").getField(id_column).alias("id"), F.col("doc").getField(text_column).alias("text"))
-    gone = materialize(removed_lines(numbered, params))
+    packed = _named(docs, id_column, text_column, own)
+    texts = packed.select(*NAME, F.col("doc").getField(id_column).alias("id"), F.col("doc").getField(text_column).alias("text"))
+    gone = materialize(removed_lines(texts, params))
     lines = F.split(F.col("doc").getField(text_column), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("doc").getField(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
@@ -191,9 +211,9 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_column: st
         columns = [text.alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in own]
         return rows.select(*columns, count.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
-    slots = F.broadcast(gone.select(_slot("row").alias("_slot")).distinct())
-    slotted = packed.withColumn("_slot", _slot("row"))
+    slots = F.broadcast(gone.select(_slot(*NAME).alias("_slot")).distinct())
+    slotted = packed.withColumn("_slot", _slot(*NAME))
     # A list of lines for each row grows with the input, so it is never broadcast.
-    touched = slotted.join(slots, "_slot", "left_semi").drop("_slot").join(gone.hint("merge"), "row", "left")
+    touched = slotted.join(slots, "_slot", "left_semi").drop("_slot").join(gone.hint("merge"), NAME, "left")
     others = slotted.join(slots, "_slot", "left_anti").drop("_slot").withColumn("gone", F.lit(None).cast("array<int>"))
     return result(touched).union(result(others))
