@@ -129,11 +129,12 @@ def wide_events(spark, d):
 
 
 @query("event_on_day", f"""WITH {DAY}, {WIDE_EVENTS}, dd AS (SELECT entity, session, string_agg(DISTINCT impact, '|' ORDER BY impact) AS st,
-    count(DISTINCT event_id) AS n FROM wide_ev GROUP BY 1, 2)
-SELECT entity, session, coalesce(st, 'NO_RECORDED_EVENT') AS event_status, coalesce(n, 0) AS event_count FROM panel LEFT JOIN dd USING (entity, session)""")
+    string_agg(DISTINCT CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR)) AS ids, count(DISTINCT event_id) AS n FROM wide_ev GROUP BY 1, 2)
+SELECT entity, session, coalesce(st, 'NO_RECORDED_EVENT') AS event_status, coalesce(ids, '') AS event_ids, coalesce(n, 0) AS event_count
+FROM panel LEFT JOIN dd USING (entity, session)""")
 def _(spark, d):
     out = e.event_on_day(day_panel(spark, d), wide_events(spark, d))
-    return out.select("entity", "session", "event_status", "event_count")
+    return out.select("entity", "session", "event_status", "event_ids", "event_count")
 
 
 @query("event_ids_on_day", f"WITH {DAY}, {WIDE_EVENTS} SELECT DISTINCT entity, session, event_id FROM panel JOIN wide_ev USING (entity, session)")

@@ -155,3 +155,11 @@ def test_ledger_ids_and_records(spark, tmp_path):
         record = json.dumps({c: r[c] for c in sorted(rd.LEDGER_COLUMNS)}, separators=(",", ":"))
         want += [(record, hashlib.sha256(f"ev_2024.csv:{n}:{record}".encode()).hexdigest()) for n in range(1, copies + 1)]
     assert sorted((r["source_record_json"], r["event_id"]) for r in got) == sorted(want)
+
+
+def test_event_on_day_lists_its_ids(spark):
+    """Whole list of ids in text order, each once, beside the count; other days and rows without events have none."""
+    panel = spark.createDataFrame([(1, day(0)), (1, day(1)), (2, day(0))], "entity int, session date")
+    events = spark.createDataFrame([(1, day(0), "m", 10), (1, day(0), "k", 9), (1, day(0), "m", 10), (1, day(0), "k", 10), (2, day(3), "m", 7)], "entity int, session date, impact string, event_id long")
+    got = {(r["entity"], r["session"]): (r["event_status"], r["event_ids"], r["event_count"]) for r in e.event_on_day(panel, events).collect()}
+    assert got == {(1, day(0)): ("k|m", "10|9", 2), (1, day(1)): ("NO_RECORDED_EVENT", "", 0), (2, day(0)): ("NO_RECORDED_EVENT", "", 0)}
