@@ -225,9 +225,9 @@ def mapping_summary(members: DataFrame, mapping: DataFrame, *, entity: str = "en
 def identity_aliases(daily: DataFrame, *, entity: str = "entity", identifier: str = "isin", session: str = "session") -> DataFrame:
     """Entities that share an identifier, identifiers per entity and a continuity status.
 
-    An entity in two sharing groups reports the group of its last identifier in sort order, as that identifier and the number of
-    others in it; ``alias_groups`` lists the members once, so a large group is never repeated for each of them.
-    Pairs are reduced to distinct (entity, identifier) first.
+    An entity in two sharing groups reports the group of its last identifier in sort order: that identifier, the number of others in it and
+    their list.  ``alias_groups`` has the members of all groups in long form as well.
+    Pairs are reduced to distinct (entity, identifier) first; a member list is made once for each identifier that an entity reports.
     """
     base = daily.groupBy(entity).agg(
         F.min(session).alias("first_session"), F.max(session).alias("last_session"), F.count(F.lit(1)).alias("observed_sessions")
@@ -235,10 +235,13 @@ def identity_aliases(daily: DataFrame, *, entity: str = "entity", identifier: st
     pairs = daily.where(F.col(identifier).isNotNull()).select(entity, identifier).distinct()
     sizes = pairs.groupBy(identifier).agg(F.count(F.lit(1)).alias("_n"))
     ids = pairs.join(sizes, identifier).groupBy(entity).agg(
-        F.count(F.lit(1)).alias("identifier_count"),
-        F.max(F.when(F.col("_n") > 1, F.struct(F.col(identifier).alias("i"), (F.col("_n") - 1).alias("n")))).alias("_g"))
-    out = base.join(ids, entity, "left").withColumns({"shared_identifier": F.col("_g.i"), "alias_count": F.coalesce("_g.n", F.lit(0))})
-    out = out.fillna({"identifier_count": 0})
+        F.count(F.lit(1)).alias("identifier_count"), F.max(F.when(F.col("_n") > 1, F.col(identifier))).alias("shared_identifier"))
+    picked = ids.where(F.col("shared_identifier").isNotNull()).select(F.col("shared_identifier").alias(identifier)).distinct()
+    groups = pairs.join(picked, identifier, "left_semi").groupBy(F.col(identifier).alias("shared_identifier")).agg(F.array_sort(F.collect_list(entity)).alias("_g"))
+    out = base.join(ids, entity, "left").join(groups, "shared_identifier", "left")
+    others = F.array_remove(F.col("_g"), F.col(entity))
+    out = out.withColumn("known_alias", F.coalesce(F.concat_ws("|", others.cast("array<string>")), F.lit("")))
+    out = out.withColumn("alias_count", F.coalesce(F.size(others), F.lit(0)).cast("long")).fillna({"identifier_count": 0})
     status = (
         F.when(F.col("alias_count") > 0, "SHARED_IDENTIFIER_NOT_STITCHED")
         .when(F.col("identifier_count") > 1, "SEVERAL_IDENTIFIERS")

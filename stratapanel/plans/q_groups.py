@@ -212,9 +212,9 @@ def _(spark, d):
 base AS (SELECT entity, min(session) AS first_session, max(session) AS last_session, count(*) AS observed_sessions FROM d GROUP BY 1),
 p AS (SELECT DISTINCT entity, isin FROM d), g AS (SELECT isin FROM p GROUP BY 1 HAVING count(*) > 1),
 pick AS (SELECT entity, max(isin) AS isin FROM p WHERE isin IN (SELECT isin FROM g) GROUP BY 1),
-al AS (SELECT pick.entity, pick.isin AS shared_identifier, count(*) AS alias_count FROM pick JOIN p ON p.isin = pick.isin AND p.entity <> pick.entity GROUP BY 1, 2),
+al AS (SELECT pick.entity, pick.isin AS shared_identifier, count(*) AS alias_count, string_agg(CAST(p.entity AS VARCHAR), '|' ORDER BY p.entity) AS known_alias FROM pick JOIN p ON p.isin = pick.isin AND p.entity <> pick.entity GROUP BY 1, 2),
 ids AS (SELECT entity, count(*) AS identifier_count FROM p GROUP BY 1)
-SELECT entity, first_session, last_session, observed_sessions, shared_identifier, coalesce(alias_count, 0) AS alias_count, identifier_count,
+SELECT entity, first_session, last_session, observed_sessions, shared_identifier, coalesce(alias_count, 0) AS alias_count, coalesce(known_alias, '') AS known_alias, identifier_count,
   CASE WHEN alias_count IS NOT NULL THEN 'SHARED_IDENTIFIER_NOT_STITCHED' WHEN identifier_count > 1 THEN 'SEVERAL_IDENTIFIERS' ELSE 'OBSERVED_NOT_STITCHED' END AS continuity_status,
   alias_count IS NOT NULL OR identifier_count > 1 AS identity_ambiguous FROM base LEFT JOIN al USING (entity) JOIN ids USING (entity)""")
 def _(spark, d):

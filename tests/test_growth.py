@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.operators import bars as b
 from stratapanel.operators import events as e
+from stratapanel.operators import groups as g
 from stratapanel.operators import influence as il
 from stratapanel.operators import orderstats
 from stratapanel.operators import portfolio as po
@@ -163,3 +164,12 @@ def test_event_on_day_lists_its_ids(spark):
     events = spark.createDataFrame([(1, day(0), "m", 10), (1, day(0), "k", 9), (1, day(0), "m", 10), (1, day(0), "k", 10), (2, day(3), "m", 7)], "entity int, session date, impact string, event_id long")
     got = {(r["entity"], r["session"]): (r["event_status"], r["event_ids"], r["event_count"]) for r in e.event_on_day(panel, events).collect()}
     assert got == {(1, day(0)): ("k|m", "10|9", 2), (1, day(1)): ("NO_RECORDED_EVENT", "", 0), (2, day(0)): ("NO_RECORDED_EVENT", "", 0)}
+
+
+def test_identity_aliases_list_the_others(spark):
+    """The whole group of the last shared identifier, without the entity itself, in the order of entities."""
+    rows = [(2, "a", day(0)), (10, "a", day(0)), (3, "a", day(1)), (3, "b", day(0)), (4, "b", day(0)), (4, "b", day(1)), (4, "c", day(0)), (5, None, day(0)), (6, "d", day(0))]
+    got = {r["entity"]: r for r in g.identity_aliases(spark.createDataFrame(rows, "entity int, isin string, session date")).collect()}
+    found = {k: (r["shared_identifier"], r["known_alias"], r["alias_count"], r["identifier_count"]) for k, r in got.items()}
+    assert found == {2: ("a", "3|10", 2, 1), 10: ("a", "2|3", 2, 1), 3: ("b", "4", 1, 2), 4: ("b", "3", 1, 2), 5: (None, "", 0, 0), 6: (None, "", 0, 1)}
+    assert got[4]["continuity_status"] == "SHARED_IDENTIFIER_NOT_STITCHED" and got[5]["continuity_status"] == "OBSERVED_NOT_STITCHED"
