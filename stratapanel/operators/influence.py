@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratapanel.functions.scalars import ratio
 from stratapanel.operators.evidence import bucket_spread_daily, correlation, correlation_aggregate, daily_statistics, summarize_daily
 from stratapanel.operators.orderstats import Split, average_ranks_within, quantiles_within, same_keys, totals_above
-from stratapanel.runtime import explode_literals, stage
+from stratapanel.runtime import clustered, explode_literals, row_count, stage
 
 
 def _inversions(ranked: DataFrame, keys: list[str], entity: str, split: Split) -> DataFrame:
@@ -141,7 +141,9 @@ def _without_groups(pairs: DataFrame, groups: list[str], keys: list[str], group:
 
     def below(mark: Column, value: str) -> Column:
         count = F.count_if(mark)
-        return count.over(whole.orderBy(value)) - count.over(W.partitionBy(*keys, value)) / 2
+        # Ties from the same window: the running count through them and the one in front of them.
+        line = whole.orderBy(value)
+        return count.over(line) - count.over(line.rangeBetween(W.currentRow, W.currentRow)) / 2
 
     def ranks(mark) -> list[Column]:
         return [below(mark & used, value).alias(name) for name, (value, used) in orders.items()]
@@ -152,6 +154,7 @@ def _without_groups(pairs: DataFrame, groups: list[str], keys: list[str], group:
     own = F.struct(*ranks(F.lit(True)), F.count(F.lit(1)).over(whole).alias("_m"))
     lost = F.array(*[
         F.struct(F.lit(g).alias("excluded_group"), *ranks(member(g)), F.count_if(member(g)).over(whole).alias("_m")) for g in groups])
+    pairs = clustered(pairs.select(*keys, group, factor, outcome), keys, row_count(pairs))
     rows = pairs.select(*keys, group, factor, outcome, own.alias("_own"), lost.alias("_lost")).where(both)
     rows = rows.select(*keys, group, outcome, "_own", F.explode("_lost").alias("_g")).where(F.col(group).isNull() | (F.col(group) != F.col("_g.excluded_group")))
     left = [(F.col(f"_own.{c}") - F.col(f"_g.{c}") + F.lit(0.5)).alias(c) for c in orders]

@@ -173,3 +173,24 @@ def test_identity_aliases_list_the_others(spark):
     found = {k: (r["shared_identifier"], r["known_alias"], r["alias_count"], r["identifier_count"]) for k, r in got.items()}
     assert found == {2: ("a", "3|10", 2, 1), 10: ("a", "2|3", 2, 1), 3: ("b", "4", 1, 2), 4: ("b", "3", 1, 2), 5: (None, "", 0, 0), 6: (None, "", 0, 1)}
     assert got[4]["continuity_status"] == "SHARED_IDENTIFIER_NOT_STITCHED" and got[5]["continuity_status"] == "OBSERVED_NOT_STITCHED"
+
+
+def test_tasks_of_ranks_grow_with_rows(spark, monkeypatch):
+    """Ranks of many cross-sections: the number of tasks follows the rows, one sort for each column; results as in plain Python."""
+    from stratapanel import runtime
+
+    rng = random.Random(9)
+    nan = float("nan")
+    rows = [(t, i, rng.choice([None, nan, -0.0, 0.0, *map(float, range(5))]), rng.random()) for t in range(40) for i in range(50)]
+    frame = runtime.stage(spark.createDataFrame(rows, "session int, entity int, x double, y double"))
+    monkeypatch.setattr(runtime, "TASK_ROWS", 50)
+    out = orderstats.average_ranks_within(frame, ["session"], {"rx": "x", "ry": "y"}, size="n")
+    assert out.rdd.getNumPartitions() == 40
+    assert orderstats.ordinal_within(frame, ["session"], "y", "entity").rdd.getNumPartitions() == 40
+    plan = out._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[-1].split("== Initial Plan ==")[-1].count("Sort [") == 2
+    key = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    for t in (0, 17):
+        line = sorted(key(x) for s, _, x, _ in rows if s == t)
+        got = {r["entity"]: (r["rx"], r["n"]) for r in out.where(F.col("session") == t).collect()}
+        assert got == {i: (line.index(key(x)) + (line.count(key(x)) + 1) / 2, 50) for s, i, x, _ in rows if s == t}
