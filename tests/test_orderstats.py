@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratapanel.operators import orderstats
 from stratapanel.operators.orderstats import Split, average_ranks_within, ordinal_within, quantiles_within, summarize_within, totals_above
 from stratapanel.runtime import stage
 
@@ -128,3 +129,29 @@ def test_summaries_keep_null_keys_and_groups_without_values(spark, pieces):
     df = spark.createDataFrame([(None, 1.0, 5.0), (None, 3.0, None), ("a", None, 1.0), ("b", 2.0, 2.0), ("b", 4.0, None)] * 9, "k string, v double, w double")
     got = summarize_within(df, ["k"], {"v": {"mid": 0.5}, "w": {"low": 0.0, "high": 1.0}}, [F.count(F.lit(1)).alias("n")], pieces=pieces)
     assert sorted(map(tuple, got.select("k", "n", "mid", "low", "high").collect()), key=str) == [("a", 9, None, 1.0, 1.0), ("b", 18, 3.0, 2.0, 2.0), (None, 18, 2.0, 5.0, 5.0)]
+
+
+def test_brackets_give_exact_quantiles(spark, monkeypatch):
+    """Sampled brackets (narrow, one-sided, missed) and weights: quantiles equal those of the whole groups; NaN, infinities, NULLs and a constant group."""
+    rng = random.Random(12)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    rows = [(g, rng.choice(odd) if rng.random() < 0.02 else 7.0 if g == "c" else rng.gauss(0, 1), rng.choice([1, 1, 2, 50])) for g in ("a", "b", None, "c", "d") for _ in range(20 if g == "d" else 4000)]
+    df = stage(spark.createDataFrame(rows, "g string, v double, w long"))
+    ask = {"v": {"p0": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}}
+    run = lambda w: {r["g"]: str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in orderstats.summarize_within(df, ["g"], ask, [F.count(F.lit(1)).alias("n")], weight=w).collect()}
+    for weight in (None, "w"):
+        monkeypatch.setattr(orderstats, "PIECE_ROWS", 1 << 20)
+        whole = run(weight)
+        monkeypatch.setattr(orderstats, "PIECE_ROWS", 500)
+        monkeypatch.setattr(orderstats, "BRACKET_LEAST", 100)
+        for sampled, errors in ((1 << 21, 6), (3000, 6), (3000, 0)):
+            monkeypatch.setattr(orderstats, "BRACKET_ROWS", sampled)
+            monkeypatch.setattr(orderstats, "BRACKET_ERRORS", errors)
+            assert run(weight) == whole
+    # Most rows never meet a shuffle: only those inside the brackets are held.
+    monkeypatch.setattr(orderstats, "BRACKET_ROWS", 8000)
+    monkeypatch.setattr(orderstats, "BRACKET_ERRORS", 6)
+    found = orderstats._bracketed(df, ["g"], {"v": {"p95": 0.95}}, [F.count(F.lit(1)).alias("n")], None)
+    assert {r["g"]: r["n"] for r in found.collect()} == {"a": 4000, "b": 4000, None: 4000, "c": 4000, "d": 20}
+    bounds = {r["g"]: (r["_lo0"], r["_hi0"]) for r in orderstats._brackets(df, ["g"], [("p", "v", 0.95)], F.lit(1)).collect()}
+    assert set(bounds) == {"a", "b", None, "c"} and all(lo is not None for lo, _ in bounds.values())
