@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratapanel.functions.scalars import ratio
 from stratapanel.operators.evidence import bucket_spread_daily, correlation, correlation_aggregate, daily_statistics, summarize_daily
@@ -34,6 +40,62 @@ def _inversions(ranked: DataFrame, keys: list[str], entity: str, split: Split) -
     )
 
 
+def _concordant(place: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Per row: how many rows have a larger place and a larger number ``tied``, equal numbers counting half.
+
+    The digits of ``_inversions``, over one group in memory: rows stay sorted by (higher digits, number) and are dealt by one more digit each time.
+    """
+    n, at = len(place), np.argsort(tied, kind="stable")
+    z, y, out, line = place[at], tied[at], np.zeros(len(place)), np.arange(len(place))
+    for digit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
+        block, one = z >> (digit + 1), (z >> digit & 1).astype(bool)
+        ones = np.concatenate([[0], np.cumsum(one)])
+        new = np.concatenate([[True], block[1:] != block[:-1]])
+        run = np.flatnonzero(np.concatenate([[True], new[1:] | (y[1:] != y[:-1])]))
+        starts = np.flatnonzero(new)
+        start, end = (np.repeat(e, np.diff(np.append(starts, n))) for e in (starts, np.append(starts[1:], n)))
+        first, last = (np.repeat(e, np.diff(np.append(run, n))) for e in (run, np.append(run[1:], n)))
+        found = ones[end] - ones[last] + (ones[last] - ones[first]) / 2
+        out[z[~one]] += found[~one]
+        before = ones[:-1] - ones[start]
+        to = np.where(one, end - (ones[end] - ones[start]) + before, line - before)
+        z[to], y[to] = z.copy(), y.copy()
+    return out[place]
+
+
+def _without_each(factor: np.ndarray, o: np.ndarray, q: int, minimum: int) -> list[tuple]:
+    """``deletion_statistics`` of one group: correlation and spread without each row, each with a mask of the rows that have none (None: all)."""
+    n = len(o)
+
+    def ranks(v):
+        _, number, count = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[number], number, count
+
+    (x, _, _), (y, number, count) = ranks(factor), ranks(o)
+    ic = spread = flat = None
+    if n >= 3:
+        place = np.empty(n, np.int64)
+        place[np.argsort(x, kind="stable")] = np.arange(n)
+        t, k, x_same = count[number].astype(float), n - 1.0, np.bincount(number, x)
+        x_above = (x_same.sum() - np.cumsum(x_same))[number]
+        y_line = np.empty(n)
+        y_line[place] = y
+        y_above = (y_line.sum() - np.cumsum(y_line))[place]
+        sxy = (x * y).sum() - x * y - x_above - (x_same[number] - x) / 2 - y_above + _concordant(place, number)
+        s1, s2 = k * (k + 1) / 2, k * (k + 1) * (2 * k + 1) / 6
+        syy = s2 - ((t * t - 1).sum() - (t**3 - t) + ((t - 1) ** 3 - (t - 1))) / 12
+        vx, vy = s2 - s1 * s1 / k, syy - s1 * s1 / k
+        flat = (vx <= 1e-12 * s2) | (vy <= 1e-12 * syy)
+        ic = (sxy - s1 * s1 / k) / np.sqrt(np.where(flat, 1.0, vx * vy))
+    # k and k+1 members at either end, as one may be deleted.
+    low, high = (n + q - 2) // q, (n - 1) - ((q - 1) * (n - 1) + q - 1) // q
+    if n >= minimum and low > 0 and high > 0:
+        bottom = np.where(x <= low, o[x <= low + 1].sum() - o, o[x <= low].sum()) / low
+        top = np.where(x > n - high, o[x > n - high - 1].sum() - o, o[x > n - high].sum()) / high
+        spread = top - bottom
+    return [(ic, flat), (spread, None)]
+
+
 def deletion_statistics(
     pairs: DataFrame, *, keys: list[str], entity: str = "entity", factor: str = "rank", outcome: str = "outcome",
     q: int = 10, minimum: int = 11,
@@ -41,13 +103,23 @@ def deletion_statistics(
     """Exact Spearman correlation and re-bucketed spread of the group without each row.
 
     Factor values are unique within the group.  All sums after a deletion follow from
-    sums before it, so the cost is n log n per group.
+    sums before it, so the cost is n log n per group.  Groups that need no cut meet in one task each, with one exchange of the
+    rows; if a group has to be cut, all are counted from rows in long form (``_inversions``).
     """
-    both = pairs.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
-    ranked = average_ranks_within(
-        both.select(*keys, entity, factor, outcome), keys, {"_x": factor, "_y": outcome}, size="_m"
-    )
-    ranked = stage(ranked)
+    both = stage(pairs.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull()).select(*keys, entity, factor, outcome))
+    if not Split(both, keys, {factor: [factor], outcome: [outcome]}).any:
+        whole = both.where(reduce(and_, [F.col(c).isNotNull() for c in keys])).select(*keys, entity, F.col(factor).cast("double").alias("_f"), F.col(outcome).cast("double").alias("_o"))
+
+        def run(rows: pa.Table) -> pa.Table:
+            found = _without_each(rows["_f"].to_numpy(), rows["_o"].to_numpy(), q, minimum)
+            numbers = [pa.nulls(len(rows), pa.float64()) if v is None else pa.array(v, pa.float64(), mask=gone) for v, gone in found]
+            columns = [pa.array(np.full(len(rows), len(rows)), pa.int64()), *numbers]
+            return pa.table([*rows.select([*keys, entity]).columns, *columns], names=[*keys, entity, "observations", "ic_without", "spread_without"])
+
+        added = [T.StructField("observations", T.LongType()), T.StructField("ic_without", T.DoubleType()), T.StructField("spread_without", T.DoubleType())]
+        schema = T.StructType([*whole.select(*keys, entity).schema.fields, *added])
+        return clustered(whole, keys, row_count(both)).groupBy(*keys).applyInArrow(run, schema)
+    ranked = stage(average_ranks_within(both, keys, {"_x": factor, "_y": outcome}, size="_m"))
     # One cut serves every sum: groups that need no boundary here need none among their digits.
     split = Split(ranked, keys, {"_x": ["_x"], "_y": ["_y"]})
     rows = totals_above(ranked.withColumn("_one", F.lit(1)), keys, "_y", "_x", above="_x_above", equal="_x_same", split=split)

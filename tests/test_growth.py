@@ -194,3 +194,29 @@ def test_tasks_of_ranks_grow_with_rows(spark, monkeypatch):
         line = sorted(key(x) for s, _, x, _ in rows if s == t)
         got = {r["entity"]: (r["rx"], r["n"]) for r in out.where(F.col("session") == t).collect()}
         assert got == {i: (line.index(key(x)) + (line.count(key(x)) + 1) / 2, 50) for s, i, x, _ in rows if s == t}
+
+
+def test_deletions_shuffle_rows_once(spark, monkeypatch):
+    """Each row without its group's others, ranked anew: ties, a constant outcome, groups of 1 to 40; the same from cut groups; no copies of rows for digits."""
+    rng = random.Random(11)
+    rows = [(5, day(t), i, i * 2.0, 3.0 if t == 6 else float(rng.randint(0, 9))) for t, n in enumerate((1, 2, 3, 11, 12, 40, 15)) for i in rng.sample(range(n), n)]
+    pairs = spark.createDataFrame(rows, "formation int, session date, entity long, rank double, outcome double")
+    out = il.deletion_statistics(pairs, keys=["formation", "session"])
+    plan = out._jdf.queryExecution().toString()
+    assert "Generate" not in plan and plan.split("== Physical Plan ==")[-1].split("== Initial Plan ==")[-1].count("Exchange") == 1
+    got, n = rounded(out, ["formation"]), 0
+    mean = lambda v: sum(v) / len(v)
+    for r in out.collect():
+        rest = sorted((x, o) for _, s, i, x, o in rows if s == r["session"] and i != r["entity"])
+        o, m = [v for _, v in rest], len(rest)
+        ranks = [sorted(o).index(v) + (o.count(v) + 1) / 2 for v in o]
+        c = (m + 1) / 2
+        sxy, syy = sum((i + 1 - c) * (y - c) for i, y in enumerate(ranks)), sum((y - c) ** 2 for y in ranks)
+        want = sxy / (syy * (m**3 - m) / 12) ** 0.5 if m >= 2 and syy else None
+        spread = mean([v for i, v in enumerate(o) if i * 10 // m == 9]) - mean([v for i, v in enumerate(o) if i * 10 // m == 0]) if m >= 10 else None
+        assert r["observations"] == m + 1
+        assert r["ic_without"] == (want if want is None else pytest.approx(want)) and r["spread_without"] == (spread if spread is None else pytest.approx(spread))
+        n += 1
+    assert n == len(rows)
+    monkeypatch.setattr(orderstats, "PIECE_ROWS", 8)
+    assert rounded(il.deletion_statistics(pairs, keys=["formation", "session"]), ["formation"]) == got
