@@ -18,8 +18,8 @@ enough for distances at which blocks no longer guarantee a meeting.  Then ``samp
 ``sample_bits`` bits take the place of the blocks: a pair that differs in a share q of the bits meets with probability
 1 - (1 - (1 - q)**sample_bits)**samples.
 
-With a ``similarity`` fingerprints only propose pairs: nodes are the distinct sets of shingles, and a pair is linked if the Jaccard
-similarity of its sets is high enough.  Buckets of up to ``small`` nodes give all their pairs within the distance.  Larger ones
+With a ``similarity`` buckets and pivot tables propose the pairs within the distance in the same way, and an exact check follows: nodes are the
+distinct sets of shingles, and a pair is linked if the Jaccard similarity of its sets is high enough.  Buckets of up to ``small`` nodes give all their pairs within the distance.  Larger ones
 are compared with one leader each for ``rounds`` rounds, with another leader every time; then all pairs whose nodes are not connected yet
 are compared, in units of about twice ``bucket_limit`` nodes, so that no bucket is held whole and no meeting is lost.
 """
@@ -194,7 +194,7 @@ def _search(buckets: DataFrame, params: SimHashParams, limit: int | None) -> Dat
     """
     names = names_of(params)
     schema = "again boolean, a bigint, b bigint, key bigint, " + ", ".join(f"{n} bigint" for n in names)
-    pivots = mix(np.arange(1, params.pivots * params.words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(params.pivots, params.words)
+    pivots = pivots_of(params)
 
     def edges_of(fps: np.ndarray, size: np.ndarray):
         """``size``: nodes of each whole bucket; the buckets lie one after the other in ``fps``."""
@@ -280,11 +280,21 @@ def links(nodes: DataFrame, params: SimHashParams) -> DataFrame:
     return first.where("not again").select("a", "b").union(second.where("not again").select("a", "b"))
 
 
+def pivots_of(params: SimHashParams) -> np.ndarray:
+    """Reference fingerprints (rows)."""
+    return mix(np.arange(1, params.pivots * params.words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(params.pivots, params.words)
+
+
 def _pairs_within(fps: np.ndarray, choice: np.ndarray, size: np.ndarray, params: SimHashParams):
-    """Places (x, y) of the pairs within the distance inside buckets that lie one after the other; each pair under its first common choice only."""
-    masks = first_masks(params)
+    """Places (x, y) of the pairs within the distance inside buckets that lie one after the other; each pair under its first common choice only.
+
+    The pivot table discards pairs, the others are verified bit by bit.
+    """
+    masks, table = first_masks(params), pivot_table(fps, pivots_of(params))
 
     def chosen(x, y):
+        survives = np.abs(table[x] - table[y]).max(axis=1) <= params.distance
+        x, y = x[survives], y[survives]
         near = hamming(fps[x], fps[y]) <= params.distance
         x, y = x[near], y[near]
         first = np.full(len(x), -1)
@@ -311,7 +321,7 @@ def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
     Buckets above ``limit`` (0: none is) only give pairs with their first node, and all their rows come back (``again``).  Nodes with one root
     are connected; a unit of two parts gives the pairs across them only.
     """
-    names = names_of(params)
+    names, pivots = names_of(params), pivots_of(params)
     schema = "again boolean, a bigint, b bigint, key bigint, choice int, node bigint, " + ", ".join(f"{n} bigint" for n in names)
     fields = ["again", "a", "b", "key", "choice", "node", *names]
 
@@ -358,7 +368,10 @@ def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
                 if hot is None or hot[0] != key[at[0]]:
                     hot = key[at[0]], held[2][at[0]], held[3][at[0]], fps[at[0]].copy()
                 yield returned(at)
-                near = at[(hamming(fps[at], hot[3]) <= params.distance) & (held[3][at] != hot[2])]
+                near = at[held[3][at] != hot[2]]
+                # The leader's row of the pivot table discards first, here as well.
+                near = near[np.abs(pivot_table(fps[near], pivots) - pivot_table(hot[3][None], pivots)).max(axis=1) <= params.distance]
+                near = near[hamming(fps[near], hot[3]) <= params.distance]
                 if len(near):
                     yield batch_of(np.full(len(near), hot[1]), held[2][near])
             whole = ~large & (size > 1)

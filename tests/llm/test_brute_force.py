@@ -516,3 +516,26 @@ def test_like_texts_by_jaccard(spark, small, limit):
     docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs, params).collect()}
     assert got == {i: root(i) for i in data}
+
+
+def test_pivot_tables_discard_pairs_before_the_bits(monkeypatch):
+    """The stage for like texts looks at pairs of a bucket through its pivot table first, and gives the same pairs as all comparisons."""
+    params = dataclasses.replace(simhash.LIKE_TEXTS, distance=20, samples=8, sample_bits=4)
+    rng = np.random.Generator(np.random.PCG64(3))
+    masks, size = simhash.first_masks(params), np.array([5, 40, 1, 8, 60])
+    fps = rng.integers(0, 1 << 63, (size.sum(), params.words), dtype=np.uint64)
+    bucket = np.repeat(np.arange(len(size)), size)
+    for k in range(0, len(fps), 3):  # every third is near the one in front of it
+        fps[k] = fps[k - 1] ^ np.uint64(1 << int(rng.integers(63)))
+    choice = bucket % len(masks)
+    want = set()
+    for x, y in itertools.combinations(range(len(fps)), 2):
+        met = [k for k, m in enumerate(masks) if not ((fps[x] ^ fps[y]) & m).any()]
+        if bucket[x] == bucket[y] and simhash.hamming(fps[x], fps[y]) <= params.distance and met and met[0] == choice[x]:
+            want.add((x, y))
+    verified, plain = [], simhash.hamming
+    monkeypatch.setattr(simhash, "pivot_table", lambda f, p: np.stack([plain(f, x) for x in p], axis=1))
+    monkeypatch.setattr(simhash, "hamming", lambda a, b: verified.append(len(a)) or plain(a, b))
+    got = {(int(x), int(y)) for xs, ys in simhash._pairs_within(fps, choice, size, params) for x, y in zip(xs, ys, strict=True)}
+    assert got == want and len(want) >= 3
+    assert sum(verified) < 0.5 * sum(int(n) * (int(n) - 1) // 2 for n in size)
