@@ -14,6 +14,7 @@ from stratapanel.operators import orderstats
 from stratapanel.operators import portfolio as po
 from stratapanel.operators import quality as qa
 from stratapanel.operators.rolling import full_mean
+from stratapanel.plans import views
 from stratapanel.sources import readers as rd
 
 
@@ -196,6 +197,17 @@ def test_tasks_of_ranks_grow_with_rows(spark, monkeypatch):
         assert got == {i: (line.index(key(x)) + (line.count(key(x)) + 1) / 2, 50) for s, i, x, _ in rows if s == t}
 
 
+def test_tasks_of_the_panel_grow_with_lines(spark, sf, monkeypatch):
+    """Lines of a large table are dealt before they are added up, so no task holds sums of keys that are not its own; the panel stays the same."""
+    for panel in (views.panel_month, views.panel_week):
+        monkeypatch.undo()
+        whole = rounded(panel(spark, sf), ["entity"])
+        monkeypatch.setattr(views, "LINE_ROWS", 100)
+        dealt = panel(spark, sf)
+        lines = views.table(spark, sf, "lineitem").count()
+        assert dealt.rdd.getNumPartitions() == -(-lines // 100) and rounded(dealt, ["entity"]) == whole
+
+
 def test_deletions_shuffle_rows_once(spark, monkeypatch):
     """Each row without its group's others, ranked anew: ties, a constant outcome, groups of 1 to 40; the same from cut groups; no copies of rows for digits."""
     rng = random.Random(11)
