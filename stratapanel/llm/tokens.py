@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,27 @@ from stratapanel.llm.arrays import PrefixHash, pieces, words_of
 
 #: The vocabulary's own end-of-text string; texts that hold it go to the tokenizer as they are.
 SPECIAL = b"<|endoftext|>"
-_BLANKS = re.compile(rb"\s \s|  |[\x1c-\x1f\x85]|" + re.escape(SPECIAL))
+_SPACES, _ODD = np.zeros(256, bool), np.zeros(256, bool)
+_SPACES[list(b" \t\n\r\f\v")] = True
+_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0x85]] = True
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[32] = True
 
 
+def _whole(data: np.ndarray, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Which texts are encoded whole: a blank meets other white space, or there are odd bytes or the end-of-text string."""
+    space = _SPACES[data]
+    blank = data == 32
+    found = [(np.flatnonzero(_ODD[data]), 1), (np.flatnonzero(blank[:-1] & blank[1:]), 2), (np.flatnonzero(space[:-2] & blank[1:-1] & space[2:]), 3)]
+    if SPECIAL in raw:
+        found.append((np.array([m.start() for m in re.finditer(re.escape(SPECIAL), raw)]), len(SPECIAL)))
+    out = np.zeros(len(offsets) - 1, bool)
+    for at, width in found:
+        owner = np.searchsorted(offsets, at, side="right") - 1
+        out[owner[at + width <= offsets[owner + 1]]] = True
+    return out
+
+
 class Encoder:
     """Encodes Arrow text columns; a word with its leading blank is encoded once and then looked up.
 
@@ -67,15 +84,15 @@ class Encoder:
         """Yields the ids (uint32 array) of each text, in order; null counts as empty."""
         for _, _, data, offsets in pieces(texts):
             raw = data.tobytes()
-            if _BLANKS.search(raw):
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    text = raw[a:b]
-                    if _BLANKS.search(text):
-                        yield np.asarray(self.encode(text.decode("utf-8", "replace")), np.uint32)
-                    else:
-                        yield from self._piece(data[a:b], text, np.array([0, b - a]))
-            else:
-                yield from self._piece(data, raw, offsets)
+            whole = _whole(data, raw, offsets)
+            # Texts in a row that are looked up word by word go together.
+            edges = [0, *(np.flatnonzero(whole[1:] | whole[:-1]) + 1).tolist(), len(whole)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                a, b = int(offsets[i]), int(offsets[j])
+                if j > i and whole[i]:
+                    yield np.asarray(self.encode(raw[a:b].decode("utf-8", "replace")), np.uint32)
+                elif j > i:
+                    yield from self._piece(data[a:b], raw[a:b], offsets[i : j + 1] - a)
 
     def _piece(self, data: np.ndarray, raw: bytes, offsets: np.ndarray):
         if not raw:
@@ -93,11 +110,12 @@ class Encoder:
         if len(self.index) + len(keys) > self.capacity:
             self._clear()
         known = keys.tolist()
-        missing = [i for i, k in enumerate(known) if k not in self.index]
-        if missing:
-            places = first[missing]
-            self._add([known[i] for i in missing], [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
-        rows = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))[inverse]
+        rows = np.fromiter(map(self.index.get, known, repeat(-1)), np.int64, len(known))
+        if len(missing := np.flatnonzero(rows < 0)):
+            places, n = first[missing], len(self.index)
+            self._add(keys[missing].tolist(), [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
+            rows[missing] = np.arange(n, n + len(missing))
+        rows = rows[inverse]
         lengths = self.length[rows]
         total = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.ids[np.repeat(self.start[rows] - total[:-1], lengths) + np.arange(total[-1])]
