@@ -19,7 +19,9 @@ enough for distances at which blocks no longer guarantee a meeting.  Then ``samp
 1 - (1 - (1 - q)**sample_bits)**samples.
 
 With a ``similarity`` buckets and pivot tables propose the pairs within the distance in the same way, and an exact check follows: nodes are the
-distinct sets of shingles, and a pair is linked if the Jaccard similarity of its sets is high enough.  Buckets of up to ``small`` nodes give all their pairs within the distance.  Larger ones
+distinct sets of shingles, and a pair is linked if the Jaccard similarity of its sets is high enough.  Sets of too unlike sizes cannot be alike, so nodes of a bucket lie in the order
+of their sizes and each meets the next ones only.  Buckets grow with the input, as random choices are fixed: what they hold by chance is far apart and gives no pairs.  Buckets of up to
+``bucket_limit`` nodes give all their pairs within the distance, if these are no more for each node than a bucket of ``small`` nodes could give.  The others
 are compared with one leader each for ``rounds`` rounds, with another leader every time; then all pairs whose nodes are not connected yet
 are compared, in units of about twice ``bucket_limit`` nodes, so that no bucket is held whole and no meeting is lost.
 """
@@ -27,6 +29,7 @@ are compared, in units of about twice ``bucket_limit`` nodes, so that no bucket
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -106,9 +109,10 @@ def names_of(params: SimHashParams) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, params: SimHashParams, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Id, node and fingerprint (bits of signed longs f0, f1 ...) of every row; null texts have no words."""
+    """Id, node, with a similarity size (number of distinct shingles), and fingerprint (bits of signed longs f0, f1 ...) of every row; null texts have no words."""
     kind = docs.schema[id_column].dataType.simpleString()
     names = names_of(params)
+    size = ["size"] if params.similarity else []
 
     def run(batches):
         for batch in batches:
@@ -119,9 +123,10 @@ def fingerprints(docs: DataFrame, params: SimHashParams, id_column: str = "doc_i
                 found = np.array([fingerprint(h, params) for h in sets], U64).reshape(-1, params.words)
                 node = np.array([set_number(h) for h in sets], U64) if params.similarity else node_of(found)
                 columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(params.words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node.view(np.int64)), *columns], names=["id", "node", *names])
+                sizes = [pa.array([len(h) for h in sets], pa.int32()) for _ in size]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node.view(np.int64)), *sizes, *columns], names=["id", "node", *size, *names])
 
-    schema = f"id {kind}, node bigint, " + ", ".join(f"{n} bigint" for n in names)
+    schema = f"id {kind}, node bigint, " + "size int, " * len(size) + ", ".join(f"{n} bigint" for n in names)
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -285,10 +290,20 @@ def pivots_of(params: SimHashParams) -> np.ndarray:
     return mix(np.arange(1, params.pivots * params.words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(params.pivots, params.words)
 
 
-def _pairs_within(fps: np.ndarray, choice: np.ndarray, size: np.ndarray, params: SimHashParams):
-    """Places (x, y) of the pairs within the distance inside buckets that lie one after the other; each pair under its first common choice only.
+def largest_partner(size: np.ndarray, params: SimHashParams) -> np.ndarray:
+    """The largest set that may be alike to a set of each size."""
+    return np.floor(size / params.similarity + 1e-6).astype(np.int64)
 
-    The pivot table discards pairs, the others are verified bit by bit.
+
+#: Pairs of nodes that are looked at in one step.
+STEP = 1 << 17
+
+
+def _pairs_within(fps: np.ndarray, choice: np.ndarray, size: np.ndarray, params: SimHashParams, sizes: np.ndarray | None = None):
+    """Places (x < y) of the pairs within the distance inside buckets that lie one after the other; each pair under its first common choice only.
+
+    With ``sizes`` (of the nodes' sets) pairs of too unlike sizes are not looked at.  The pivot table discards pairs, the others are verified bit by bit.
+    Steps run across buckets, so that the many small ones cost no more for each pair than large ones.
     """
     masks, table = first_masks(params), pivot_table(fps, pivots_of(params))
 
@@ -297,61 +312,100 @@ def _pairs_within(fps: np.ndarray, choice: np.ndarray, size: np.ndarray, params:
         x, y = x[survives], y[survives]
         near = hamming(fps[x], fps[y]) <= params.distance
         x, y = x[near], y[near]
-        first = np.full(len(x), -1)
-        for k, m in enumerate(masks):
-            first[(first < 0) & ~((fps[x] ^ fps[y]) & m).any(axis=1)] = k
-        own = first == choice[x]
-        return x[own], y[own]
-
-    heads, bucket = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-    small = size <= 8
-    for step in range(1, int(size[small].max(initial=1))):
-        i = np.flatnonzero((bucket[:-step] == bucket[step:]) & small[bucket[:-step]])
-        for a in range(0, len(i), 1 << 16):
-            yield chosen(i[a : a + (1 << 16)], i[a : a + (1 << 16)] + step)
-    for k in np.flatnonzero(~small).tolist():
-        end = int(heads[k] + size[k])
-        for x in range(int(heads[k]), end - 1):
-            yield chosen(np.full(end - x - 1, x), np.arange(x + 1, end))
-
-
-def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
-    """Pairs (a, b) within the distance of buckets (key, choice, node, root, part, f0 ...), sorted by ``turn``.
-
-    Buckets above ``limit`` (0: none is) only give pairs with their first node, and all their rows come back (``again``).  Nodes with one root
-    are connected; a unit of two parts gives the pairs across them only.
+        if len(x):
+            other, first = fps[x] ^ fps[y], np.full(len(x), -1)
+            for k, m in enumerate(masks):
+                first[(first < 0) & ~(other & m).any(axis=1)] = k
+            own = first == choice[x]
+            x, y = x[own], y[own]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    bucket = np.repeat(np.arange(len(size)), size)
+    if sizes is None:
+        order, last = np.arange(len(fps)), np.cumsum(size)[bucket]
+    else:
+        order = np.lexsort((sizes, bucket))
+        place = lambda n: (bucket << 32) + np.minimum(n, (1 << 32) - 1)
+        last = np.searchsorted(place(sizes[order]), place(largest_partner(sizes[order], params)), "right")
+    # Node k of the order meets those behind it up to ``last``.
+    reach = last - np.arange(len(order)) - 1
+    before = np.concatenate([[0], np.cumsum(reach)])
+    i = 0
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + STEP, "right")) - 1)
+        if n := int(before[j] - before[i]):
+            x = np.repeat(np.arange(i, j), reach[i:j])
+            y = x + 1 + np.arange(n) - (before[x] - before[i])
+            yield chosen(order[x], order[y])
+        i = j
+
+
+def _met(buckets: DataFrame, params: SimHashParams, limit: int, most: int = 0, turn: str = "node") -> DataFrame:
+    """Pairs (a, b) within the distance of buckets (key, choice, node, size, root, part, parts, f0 ...), sorted by ``turn``.
+
+    Buckets above ``limit`` (0: none is), and those of over ``most`` nodes that would give more pairs for each node than one of ``most`` nodes could (0: none does), only give pairs
+    with their first node, and all their rows come back (``again``).  Nodes with one root are connected; a unit of two parts gives the pairs across them only.
     """
     names, pivots = names_of(params), pivots_of(params)
-    schema = "again boolean, a bigint, b bigint, key bigint, choice int, node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    fields = ["again", "a", "b", "key", "choice", "node", *names]
+    schema = "again boolean, a bigint, b bigint, key bigint, choice int, node bigint, size int, " + ", ".join(f"{n} bigint" for n in names)
+    fields = ["again", "a", "b", "key", "choice", "node", "size", *names]
 
     def run(batches):
-        plain = ("key", "choice", "node", "root", "part", "parts")
+        plain = ("key", "choice", "node", "size", "root", "part", "parts")
         held = [np.zeros(0, np.int64) for _ in plain]
-        fps, hot = np.zeros((0, params.words), U64), None  # hot: key, node, root and fingerprint of the leader of a bucket that streams by
+        fps, hot = np.zeros((0, params.words), U64), None  # hot: key, node, size, root and fingerprint of the leader of a bucket that streams by
 
         def pairs(x, y):
-            key, choice, node, root, part, parts = held
+            _, _, node, _, root, part, parts = held
             ok = (root[x] != root[y]) & ((parts[x] == 1) | (part[x] != part[y]))
-            return batch_of(node[x[ok]], node[y[ok]])
+            return x[ok], y[ok]
 
         def batch_of(a, b):
             blank = lambda t: pa.nulls(len(a), t)
-            columns = [pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), blank(pa.int64()), blank(pa.int32()), *(blank(pa.int64()) for _ in range(1 + params.words))]
+            columns = [pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), blank(pa.int64()), blank(pa.int32()), blank(pa.int64()), blank(pa.int32()), *(blank(pa.int64()) for _ in names)]
             return pa.RecordBatch.from_arrays(columns, names=fields)
 
         def returned(at):
-            key, choice, node = (held[k][at] for k in range(3))
+            key, choice, node, size = (held[k][at] for k in range(4))
             blank = pa.nulls(len(key), pa.int64())
-            columns = [pa.array(np.ones(len(key), bool)), blank, blank, pa.array(key), pa.array(choice.astype(np.int32)), pa.array(node)]
+            columns = [pa.array(np.ones(len(key), bool)), blank, blank, pa.array(key), pa.array(choice.astype(np.int32)), pa.array(node), pa.array(size.astype(np.int32))]
             return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(fps[at, k]).view(np.int64)) for k in range(params.words))], names=fields)
 
+        def leader(at: int):
+            return held[0][at], held[2][at], held[3][at], held[4][at], fps[at].copy()
+
+        def led(lead, at):
+            """All rows, and the pairs with the leader."""
+            _, node, size, root, fp = lead
+            yield returned(at)
+            near = at[held[4][at] != root]
+            near = near[(held[3][near] <= largest_partner(size, params)) & (size <= largest_partner(held[3][near], params))]
+            # The leader's row of the pivot table discards first, here as well.
+            near = near[np.abs(pivot_table(fps[near], pivots) - pivot_table(fp[None], pivots)).max(axis=1) <= params.distance]
+            near = near[hamming(fps[near], fp) <= params.distance]
+            if len(near):
+                yield batch_of(np.full(len(near), node), held[2][near])
+
         def closed(whole, size):
             """Pairs of whole buckets; ``whole`` tells them among the held."""
-            at = np.flatnonzero(np.repeat(whole, size))
-            for x, y in _pairs_within(fps[at], held[1][at], size[whole], params):
+            crowded = whole & (size > most) if most else np.zeros(len(whole), bool)
+            yield from given(np.flatnonzero(np.repeat(whole & ~crowded, size)), size[whole & ~crowded])
+            heads = np.cumsum(size) - size
+            for k in np.flatnonzero(crowded).tolist():
+                at, found, n = np.arange(heads[k], heads[k] + size[k]), [], 0
+                for batch in given(at, size[k : k + 1]):
+                    found.append(batch)
+                    n += len(batch)
+                    if 2 * n > most * len(at):
+                        found = led(leader(at[0]), at)
+                        break
+                yield from found
+
+        def given(at, size):
+            for x, y in _pairs_within(fps[at], held[1][at], size, params, held[3][at]):
+                x, y = pairs(at[x], at[y])
                 if len(x):
-                    yield pairs(at[x], at[y])
+                    yield batch_of(held[2][x], held[2][y])
 
         for batch in batches:
             if not len(batch):
@@ -366,14 +420,8 @@ def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
             for k in np.flatnonzero(large).tolist():
                 at = np.arange(heads[k], heads[k] + size[k])
                 if hot is None or hot[0] != key[at[0]]:
-                    hot = key[at[0]], held[2][at[0]], held[3][at[0]], fps[at[0]].copy()
-                yield returned(at)
-                near = at[held[3][at] != hot[2]]
-                # The leader's row of the pivot table discards first, here as well.
-                near = near[np.abs(pivot_table(fps[near], pivots) - pivot_table(hot[3][None], pivots)).max(axis=1) <= params.distance]
-                near = near[hamming(fps[near], hot[3]) <= params.distance]
-                if len(near):
-                    yield batch_of(np.full(len(near), hot[1]), held[2][near])
+                    hot = leader(at[0])
+                yield from led(hot, at)
             whole = ~large & (size > 1)
             whole[-1] = False  # the last bucket may go on
             if whole.any():
@@ -385,37 +433,46 @@ def _met(buckets: DataFrame, params: SimHashParams, limit: int) -> DataFrame:
         if len(fps) > 1:
             yield from closed(np.array([True]), np.array([len(fps)]))
 
-    columns = ["key", "choice", "node", "root", "part", "parts", *names]
-    return buckets.repartition("key").sortWithinPartitions("key", "turn").select(*columns).mapInArrow(run, schema)
+    columns = ["key", "choice", "node", "size", "root", "part", "parts", *names]
+    return buckets.repartition("key").sortWithinPartitions("key", turn).select(*columns).mapInArrow(run, schema)
+
+
+def _proposed(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, params: SimHashParams) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the Jaccard similarity."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(_thinned(sets, ends, "node").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    left, right = (wanted.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    """The proposed pairs (a, b) whose sets of shingles have the Jaccard similarity."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     n, both = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
     return materialize(pairs.join(left, "a").join(right, "b").where(both * (1 + params.similarity) >= n * params.similarity - 1e-9).select("a", "b"))
 
 
-def alike_links(nodes: DataFrame, sets: DataFrame, params: SimHashParams) -> DataFrame:
-    """Edges (a, b) that connect nodes (node, f0 ...) as all pairs do that meet and whose sets (node, shingles) are alike."""
-    names = names_of(params)
+def alike_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], params: SimHashParams) -> DataFrame:
+    """Edges (a, b) that connect nodes (node, size, f0 ...) as all pairs do that meet and whose sets are alike; ``sets_of`` reads (node, shingles) of nodes from the texts."""
+    names = ["node", "size", *names_of(params)]
     one = {"root": F.col("node"), "part": F.lit(0), "parts": F.lit(1)}
     turn = lambda k: F.xxhash64(F.col("node"), F.lit(k))
-    met = materialize(_met(_dealt(nodes, ["node", *names], params).withColumns(one).withColumn("turn", turn(0)), params, params.small))
-    edges = _alike(met.where("not again"), sets, params)
-    rest = met.where("again").select("key", "choice", "node", *names)
+    # A small set that differs from another one by a single shingle is not alike to it.
+    able = nodes.where(F.col("size") * (1 - params.similarity) >= params.similarity - 1e-6)
+    met = materialize(_met(_dealt(able, names, params).withColumns(one), params, params.bucket_limit, params.small))
+    pairs, rest = _proposed(met.where("not again")), met.where("again").select("key", "choice", *names)
+    # The texts are read once, for the pairs there are and for all that may follow.
+    sets = sets_of(_ends(pairs).union(rest.select("node")).distinct())
     if rest.isEmpty():
-        return edges
+        return _alike(pairs, sets, params)
+    edges = _alike(pairs, sets, params)
 
     def rooted():
         return rest.join(components(edges).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     for k in range(1, params.rounds):
-        led = _met(rooted().withColumns({"part": one["part"], "parts": one["parts"]}).withColumn("turn", turn(k)), params, 1)
-        edges = materialize(edges.union(_alike(led.where("not again"), sets, params)))
+        led = _met(rooted().withColumns({"part": one["part"], "parts": one["parts"]}).withColumn("turn", turn(k)), params, 1, turn="turn")
+        edges = materialize(edges.union(_alike(_proposed(led.where("not again")), sets, params)))
     left = materialize(rooted())
     # Buckets whose nodes are all connected are done; the others go in units of two parts (a unit of one part if one is enough).
     counts = left.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
@@ -423,8 +480,8 @@ def alike_links(nodes: DataFrame, sets: DataFrame, params: SimHashParams) -> Dat
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))
     units = sized.select("*", other.alias("other")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     parts = F.when(F.col("part") == F.col("other"), 1).otherwise(2)
-    last = _met(units.withColumn("parts", parts).withColumn("turn", turn(0)), params, 0)
-    return edges.union(_alike(last.where("not again"), sets, params))
+    last = _met(units.withColumn("parts", parts), params, 0)
+    return edges.union(_alike(_proposed(last.where("not again")), sets, params))
 
 
 def shingle_sets(docs: DataFrame, params: SimHashParams, text_column: str) -> DataFrame:
@@ -450,9 +507,17 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, id_col
     params = params or SimHashParams()
     names = names_of(params)
     rows = materialize(fingerprints(docs, params, id_column, text_column))
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(n).alias(n) for n in names)))
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(n).alias(n) for n in rows.columns[2:])))
     if params.similarity:
-        edges = alike_links(nodes.select("node", *names), shingle_sets(docs, params, text_column), params)
+
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            # Only texts of rows whose id may name a wanted node are cut into shingles a second time.
+            wanted = materialize(wanted)
+            ids = rows.join(wanted, "node", "left_semi").select("id")
+            texts = _thinned(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), ids, "id")
+            return materialize(_thinned(shingle_sets(texts, params, "text"), wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+        edges = alike_links(nodes.select("node", "size", *names), sets_of, params)
     else:
         edges = links(nodes.select(*names), params)
     roots = components(edges)

@@ -1,11 +1,14 @@
 """Work that must not grow with the square of a group, or with the number of odd texts."""
 
+import dataclasses
+import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratapanel.llm import line_dedup, tokens
+from stratapanel.llm import line_dedup, simhash, tokens
 from stratapanel.llm.queries import vocabulary_path
 
 
@@ -75,3 +78,62 @@ def test_buckets_hold_lines_of_like_lengths_only(spark):
 
     assert buckets(texts[:2]) == set()
     assert buckets(texts) == {0, 2}
+
+
+def test_pairs_of_many_small_buckets_take_few_steps(monkeypatch):
+    """Buckets of over eight nodes are searched together, only nodes of sets of like sizes are looked at, and no pair is lost."""
+    params = dataclasses.replace(simhash.LIKE_TEXTS, samples=8, sample_bits=4)
+    rng = np.random.Generator(np.random.PCG64(5))
+    masks, size = simhash.first_masks(params), np.full(400, 12)
+    fps, bucket = rng.integers(0, 1 << 63, (4800, params.words), dtype=np.uint64), np.repeat(np.arange(400), 12)
+    sizes = rng.integers(1, 1000, 4800)
+    for k in range(0, 4800, 5):  # every fifth is near the one in front of it
+        fps[k], sizes[k] = fps[k - 1] ^ np.uint64(7), sizes[k - 1] + k % 3
+    choice = bucket % len(masks)
+    want = set()
+    for k in range(0, 4800, 12):
+        for x, y in itertools.combinations(range(k, k + 12), 2):
+            met = [i for i, m in enumerate(masks) if not ((fps[x] ^ fps[y]) & m).any()]
+            like = min(sizes[x], sizes[y]) >= 0.8 * max(sizes[x], sizes[y])
+            if like and np.bitwise_count(fps[x] ^ fps[y]).sum() <= params.distance and met and met[0] == choice[x]:
+                want.add((x, y))
+    looked, plain = [], simhash.hamming
+    monkeypatch.setattr(simhash, "pivot_table", lambda f, p: np.stack([plain(f, x) for x in p], axis=1))
+    monkeypatch.setattr(simhash, "hamming", lambda a, b: looked.append(len(a)) or plain(a, b))
+    got = [(int(x), int(y)) for xs, ys in simhash._pairs_within(fps, choice, size, params, sizes) for x, y in zip(xs, ys, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 50
+    assert len(looked) <= 3 and sum(looked) < 0.5 * 400 * 66
+
+
+def test_only_dense_buckets_come_back(spark):
+    """A bucket of 300 nodes that are far apart gives its few pairs at once; one of 300 near copies is left to the rounds of leaders."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    far = rng.integers(0, 1 << 62, (300, 4), dtype=np.int64)
+    far[1:6:2] = far[0:6:2] ^ 1
+    near = far[:1] ^ (1 << rng.integers(0, 62, (300, 4), dtype=np.int64))
+    # The first of its choices decides, and key bits of those near ones may differ: both buckets are given as of choice 0.
+    mask = simhash.first_masks(simhash.LIKE_TEXTS)[0].view(np.int64)
+    far, near = far & ~mask, near & ~mask
+    data = [(key, 0, 1000 * key + i, 100, 1000 * key + i, 0, 1, *map(int, f)) for key, fps in ((1, far), (2, near)) for i, f in enumerate(fps)]
+    buckets = spark.createDataFrame(data, "key long, choice int, node long, size int, root long, part int, parts int, f0 long, f1 long, f2 long, f3 long")
+    got = simhash._met(buckets, simhash.LIKE_TEXTS, 1 << 13, 128).collect()
+    assert {(r["a"], r["b"]) for r in got if not r["again"] and r["a"] < 2000} == {(1000, 1001), (1002, 1003), (1004, 1005)}
+    assert sorted(r["node"] for r in got if r["again"]) == [2000 + i for i in range(300)]
+    assert {r["b"] for r in got if not r["again"] and r["a"] >= 2000} == {2000 + i for i in range(1, 300)}
+
+
+def test_texts_are_cut_into_shingles_twice(spark, monkeypatch):
+    """Once for the fingerprints and once for the pairs, also where crowded buckets need rounds of leaders."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    base, data = rng.choices(words, k=200), []
+    for i in range(12):
+        w = list(base)
+        w[rng.randrange(200)] = "new"
+        data += [(i, " ".join(w)), (100 + i, " ".join(rng.choices(words, k=200)))]
+    written = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, real=simhash.materialize: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    params = dataclasses.replace(simhash.LIKE_TEXTS, small=2, bucket_limit=5)
+    left = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string"), params)
+    assert {r["doc_id"] for r in left.collect()} == {0, *(100 + i for i in range(12))}
+    assert sum("MapInArrow" in plan and "shingles" in plan for plan in written) == 1
